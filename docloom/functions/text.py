@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values.
 MIN_DOC_CHARS = 50
@@ -24,18 +25,18 @@ SPACE = r"[\s\x1c-\x1f]"
 UUID = r"^[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_text(content: pd.Series) -> pd.Series:
     """UTF-8 with replacement and universal newlines."""
     return content.map(lambda b: None if b is None else bytes(b).decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_checksum(kind: pd.Series, payload: pd.Series) -> pd.Series:
     """SHA-256 of the kind and the payload's JSON with sorted keys."""
     digest = lambda k, p: hashlib.sha256((k + json.dumps(json.loads(p), sort_keys=True, ensure_ascii=False)).encode()).hexdigest()
