@@ -6,7 +6,8 @@ a query's overlap with every group is bounded by its row in that matrix, and onl
 
 All tokens have one global order: common ones last, so prefixes hold rare tokens. For a similarity of num/den a partner shares at
 least need = ceil(num*n/den) of n tokens; so among the first n - need + EXTRA tokens of both, at least min(EXTRA, need) are
-shared. Counting shared prefix tokens therefore bounds the overlap, of a node or of a group's union, and loses no link.
+shared. Counting shared prefix tokens therefore bounds the overlap, of a node or of a group's union, and loses no link. A second bound adds up, over
+classes of tokens, the smaller of two nodes' counts: sets that share a passage only fall well below the need.
 
 Steps: (1) common tokens, counted over all documents, give the order (a bounded list: it changes costs only, never
 results); (2) prefixes of all documents; tokens with one node only drop out; (3) each token's smallest node leads it; nodes that
@@ -37,6 +38,7 @@ EXTRA = 3
 COMMON = 1 << 18  # tokens in the list of common ones: 2 MB
 COUNTED = 4_000_000  # tokens counted together before they leave a task
 COMMON_IN_TASK = 4
+PARTS = 256  # classes of tokens that are counted for each node
 
 
 def tokens_of(text: str | None, words: int) -> np.ndarray:
@@ -103,7 +105,7 @@ def _prefixes(docs: DataFrame, id_col: str, text_col: str, words: int, num: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, rank = shared.value
         for b in batches:
-            n, sig, prefix = [], [], []
+            n, sig, prefix, parts = [], [], [], []
             for text in b.column(1).to_pylist():
                 t = tokens_of(text, words)
                 n.append(len(t))
@@ -119,10 +121,14 @@ def _prefixes(docs: DataFrame, id_col: str, text_col: str, words: int, num: int,
                 else:
                     own = t[:size]
                 prefix.append(own.view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "n", "sig", "prefix"])
+                parts.append(np.bincount((t & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int32()))],
+                ["doc_id", "n", "sig", "prefix", "parts"],
+            )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n long, sig binary, prefix array<long>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n long, sig binary, prefix array<long>, parts array<int>")
 
 
 def _token_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -150,51 +156,77 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     lead = materialise(spots.groupBy("token").agg(F.min("sig").alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"), "lead")
     stars = spots.join(lead, "token").filter("sig <> lead").groupBy("sig", "lead").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
     pairs = materialise(stars.filter(F.col("c") >= least(F.col("n"))).select(F.col("sig").alias("a"), F.col("lead").alias("b")), "pairs")
-    # Whole sets only of nodes that share enough tokens to be in any pair.
-    seen = spots.join(lead, "token").groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")).filter(F.col("c") >= least(F.col("n"))).select("sig")
-    seen = materialise(seen, "seen")
-    one = materialise(rows.join(seen, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("__i")).select("__i").distinct(), "one")
-    texts = docs.select(F.col(id_col).alias("__d"), F.col(text_col).alias("__t"))
-    texts = texts.join(one, texts["__d"].eqNullSafe(one["__i"]), "left_semi")
-    sets = materialise(_token_sets(texts, "__d", "__t", words).join(seen, "sig", "left_semi").dropDuplicates(["sig"]), "sets")
-
-    def linked(pairs: DataFrame, tag: str) -> DataFrame:
-        a, b = sets.select(F.col("sig").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("sig").alias("b"), F.col("tokens").alias("tb"))
-        sizes = (F.least(F.size("ta"), F.size("tb")) * den >= F.greatest(F.size("ta"), F.size("tb")) * num)
-        both = pairs.select("a", "b").join(a, "a").join(b, "b").filter(sizes)
-        shared = F.size(F.array_intersect("ta", "tb"))
-        return materialise(both.filter(shared * den >= (F.size("ta") + F.size("tb") - shared) * num).select("a", "b"), tag)
-
-    edges = linked(pairs, "links")
+    parts = materialise(first.select("sig", "n", "parts").join(spots.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"]), "parts")
+    sets: list[DataFrame] = []
+
+    def enough(common: Column, na: Column, nb: Column) -> Column:
+        return common * (num + den) >= (na + nb) * num
+
+    def bounded(pairs: DataFrame) -> DataFrame:
+        """Pairs whose overlap can be large enough: no class of tokens shares more than the smaller of its two counts."""
+        side = lambda x: parts.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("parts").alias(f"p{x}"))
+        most = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
+        sizes = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
+        both = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").filter(sizes)
+        return materialise(both.filter(enough(most, F.col("na"), F.col("nb"))).select("a", "b"), "bounded")
+
+    def token_sets(pairs: DataFrame) -> DataFrame:
+        """The whole sets of all nodes in pairs; texts are read only for those not at hand."""
+        nodes = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
+        for have in sets:
+            nodes = nodes.join(have.select("sig"), "sig", "left_anti")
+        nodes = materialise(nodes, "nodes")
+        if nodes.limit(1).count():
+            one = materialise(rows.join(nodes, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("__i")).select("__i").distinct(), "one")
+            texts = docs.select(F.col(id_col).alias("__d"), F.col(text_col).alias("__t"))
+            texts = texts.join(one, texts["__d"].eqNullSafe(one["__i"]), "left_semi")
+            found = _token_sets(texts, "__d", "__t", words).join(nodes, "sig", "left_semi").dropDuplicates(["sig"])
+            sets.append(materialise(found, "sets"))
+        out = sets[0]
+        for more in sets[1:]:
+            out = out.unionByName(more)
+        return out
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The pairs that are links, by their whole sets."""
+        pairs = bounded(pairs)
+        if not pairs.limit(1).count():
+            return pairs
+        whole = token_sets(pairs)
+        side = lambda x: whole.select(F.col("sig").alias(x), F.col("tokens").alias(f"t{x}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        common = F.size(F.array_intersect("ta", "tb"))
+        return materialise(both.filter(enough(common, F.size("ta"), F.size("tb"))).select("a", "b"), "links")
+
+    edges = linked(pairs)
     for opened in ("leader", "members"):
         roots = components(edges)
         named = spots.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
         named = materialise(named, "named")
-        sizes = named.select("root", "sig").distinct().groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-        named2 = materialise(named.join(materialise(sizes, "sizes"), "root"), "groups")
+        sizes = materialise(named.select("root", "sig").distinct().groupBy("root").agg(F.count(F.lit(1)).alias("members")), "sizes")
         # Only tokens that more than one group has.
-        apart = materialise(named2.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token"), "apart")
-        query = materialise(named2.join(apart, "token"), "query")
-        matrix = materialise(query.groupBy("token", "root", "members").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).select("token", F.col("root").alias("g"), F.col("members").alias("gm"), "lo", "hi"), "matrix")
+        apart = materialise(named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token"), "apart")
+        query = materialise(named.join(apart, "token").join(sizes, "root"), "query")
+        matrix = query.groupBy("token", "root", "members").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+        matrix = materialise(matrix.select("token", F.col("root").alias("g"), F.col("members").alias("gm"), "lo", "hi"), "matrix")
         fits = (F.col("lo") * num <= F.col("n") * den) & (F.col("n") * num <= F.col("hi") * den)
         smaller = (F.col("members") < F.col("gm")) | ((F.col("members") == F.col("gm")) & (F.col("root") < F.col("g")))
-        bound = query.join(matrix, "token").filter(fits & smaller).groupBy("sig", "g").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
-        open_ = materialise(bound.filter(F.col("c") >= least(F.col("n"))).select("sig", "g", "n"), "open")
-        if opened == "leader":
-            todo = open_.select(F.col("sig").alias("a"), F.col("g").alias("b"))
-        else:
-            inside = named.select(F.col("root").alias("g"), F.col("sig").alias("b"), F.col("n").alias("m")).distinct()
+        # A group of one was compared as its own leader.
+        todo = smaller if opened == "leader" else smaller & (F.col("gm") > 1)
+        bound = query.join(matrix, "token").filter(fits & todo).groupBy("sig", "g").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
+        bound = bound.filter(F.col("c") >= least(F.col("n"))).select("sig", "g", "n")
+        if opened == "members":
+            inside = materialise(named.select(F.col("root").alias("g"), F.col("sig").alias("b"), F.col("n").alias("m")).distinct(), "inside")
             close = (F.col("m") * num <= F.col("n") * den) & (F.col("n") * num <= F.col("m") * den)
-            todo = open_.join(materialise(inside, "inside"), "g").filter(close).select(F.col("sig").alias("a"), "b")
-        more = linked(materialise(todo, "todo"), "more")
-        for t in (named, named2, apart, query, matrix):
+            opened_pairs = materialise(bound, "open").join(inside, "g").filter(close).select(F.col("sig").alias("a"), "b")
+        else:
+            opened_pairs = bound.select(F.col("sig").alias("a"), F.col("g").alias("b"))
+        more = linked(opened_pairs)
+        for t in (named, sizes, apart, query, matrix):
             discard(t)
-        if not more.limit(1).count():
-            if opened == "leader":
-                continue
-            break
-        edges = materialise(edges.unionByName(more), "links")
-    for t in (shared, spots, sets):
+        if more.limit(1).count():
+            edges = materialise(edges.unionByName(more), "edges")
+    for t in (shared, spots, parts, *sets):
         discard(t)
     return rows, components(edges)
 
