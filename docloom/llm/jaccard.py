@@ -199,8 +199,8 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
         return materialise(both.filter(enough(common, F.size("ta"), F.size("tb"))).select("a", "b"), "links")
 
     edges = linked(pairs)
+    roots = components(edges)
     for opened in ("leader", "members"):
-        roots = components(edges)
         named = spots.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
         named = materialise(named, "named")
         sizes = materialise(named.select("root", "sig").distinct().groupBy("root").agg(F.count(F.lit(1)).alias("members")), "sizes")
@@ -226,9 +226,10 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
             discard(t)
         if more.limit(1).count():
             edges = materialise(edges.unionByName(more), "edges")
+            roots = components(edges)
     for t in (shared, spots, parts, *sets):
         discard(t)
-    return rows, components(edges)
+    return rows, roots
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, num: int = 9, den: int = 10) -> DataFrame:
