@@ -86,7 +86,8 @@ def with_chunks(df: DataFrame, text: str = "text", **sizes: int) -> DataFrame:
 
 def with_page_chunks(df: DataFrame, pages: str = "pages", **sizes: int) -> DataFrame:
     """No chunk spans pages; index and count run over the whole document (array<struct<page,text>>)."""
-    cut = df.select(*[c for c in df.columns if c != pages], F.monotonically_increasing_id().alias("__r"), F.posexplode(pages).alias("__p", "__page"))
+    numbered = df.withColumn("__r", F.monotonically_increasing_id())  # before the explode: one number for each document
+    cut = numbered.select(*[c for c in df.columns if c != pages], "__r", F.posexplode(pages).alias("__p", "__page"))
     cut = cut.withColumn("__chunks", chunks(F.col("__page.text"), **sizes))
     whole = cut.groupBy("__r", *[c for c in df.columns if c != pages]).agg(F.sort_array(F.collect_list(F.struct("__p", F.col("__page.page").alias("page"), "__chunks"))).alias("__all"))
     flat = F.flatten(F.transform("__all", lambda p: F.transform(p["__chunks"], lambda c: F.struct(p["page"].alias("page"), c.alias("document")))))
