@@ -244,6 +244,24 @@ def test_alignment_finds_offsets(spark):
     assert got[2] == (2, 50, 0) and got[50] == (2, 50, 0) and got[1] == (1, 50, -16) and got[3] == (3, None, None) and got[4] == (None, None, None)
 
 
+def test_query_blocks_equal_brute_force(monkeypatch):
+    monkeypatch.setattr(chroma, "EXPANDED", 50)
+    rng = np.random.default_rng(4)
+    prints = [rng.integers(0, 6, rng.integers(1, 40)).astype(np.uint32) << np.uint32(8) for _ in range(30)]
+    prints += [prints[0][5:], np.zeros(30, np.uint32), np.zeros(25, np.uint32)]
+    queries = range(0, len(prints), 3)
+    got = chroma.QueryBlock(np.array(list(queries)), [prints[i].view(np.int32) for i in queries]).best([p.view(np.int32) for p in prints], 4, 0.25)
+    for p, g in zip(prints, got, strict=True):
+        found = []
+        for k in queries:
+            votes = collections.Counter(i - j for i, x in enumerate(p) for j, y in enumerate(prints[k]) if x >> 8 == y >> 8)
+            at = max(votes, key=lambda o: (votes[o], -abs(o), o), default=None)
+            if at is not None and votes[at] >= 4:
+                both = [(int(p[i]), int(prints[k][i - at])) for i in range(len(p)) if 0 <= i - at < len(prints[k])]
+                found.append((sum((x ^ y).bit_count() for x, y in both) / (32 * len(both)), k, at))
+        assert g == min((f for f in found if f[0] <= 0.25), default=None)
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     import corpus_pipeline as p
 
