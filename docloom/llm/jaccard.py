@@ -153,9 +153,10 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     spots = materialise(each.join(shared, "token").distinct(), "spots")
     least = lambda n: F.least(F.lit(EXTRA), _need(n, num, den))
 
-    lead = materialise(spots.groupBy("token").agg(F.min("sig").alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"), "lead")
-    stars = spots.join(lead, "token").filter("sig <> lead").groupBy("sig", "lead").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
-    pairs = materialise(stars.filter(F.col("c") >= least(F.col("n"))).select(F.col("sig").alias("a"), F.col("lead").alias("b")), "pairs")
+    lead = materialise(spots.groupBy("token").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).filter("lo <> hi"), "lead")
+    stars = spots.join(lead, "token").select("sig", "n", F.explode(F.array("lo", "hi")).alias("lead")).filter("sig <> lead")
+    stars = stars.groupBy("sig", "lead").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")).filter(F.col("c") >= least(F.col("n")))
+    pairs = materialise(stars.select(F.greatest("sig", "lead").alias("a"), F.least("sig", "lead").alias("b")), "pairs")
     parts = materialise(first.select("sig", "n", "parts").join(spots.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"]), "parts")
     sets: list[DataFrame] = []
 
@@ -175,12 +176,11 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
         nodes = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
         for have in sets:
             nodes = nodes.join(have.select("sig"), "sig", "left_anti")
-        nodes = materialise(nodes, "nodes")
-        if nodes.limit(1).count():
-            one = materialise(rows.join(nodes, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("__i")).select("__i").distinct(), "one")
+        one = materialise(rows.join(nodes, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("__i")), "one")
+        if one.limit(1).count():
             texts = docs.select(F.col(id_col).alias("__d"), F.col(text_col).alias("__t"))
             texts = texts.join(one, texts["__d"].eqNullSafe(one["__i"]), "left_semi")
-            found = _token_sets(texts, "__d", "__t", words).join(nodes, "sig", "left_semi").dropDuplicates(["sig"])
+            found = _token_sets(texts, "__d", "__t", words).join(one, "sig", "left_semi").dropDuplicates(["sig"])
             sets.append(materialise(found, "sets"))
         out = sets[0]
         for more in sets[1:]:
@@ -200,33 +200,25 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
 
     edges = linked(pairs)
     roots = components(edges)
-    for opened in ("leader", "members"):
-        named = spots.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-        named = materialise(named, "named")
-        sizes = materialise(named.select("root", "sig").distinct().groupBy("root").agg(F.count(F.lit(1)).alias("members")), "sizes")
-        # Only tokens that more than one group has.
-        apart = materialise(named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token"), "apart")
-        query = materialise(named.join(apart, "token").join(sizes, "root"), "query")
-        matrix = query.groupBy("token", "root", "members").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-        matrix = materialise(matrix.select("token", F.col("root").alias("g"), F.col("members").alias("gm"), "lo", "hi"), "matrix")
-        fits = (F.col("lo") * num <= F.col("n") * den) & (F.col("n") * num <= F.col("hi") * den)
-        smaller = (F.col("members") < F.col("gm")) | ((F.col("members") == F.col("gm")) & (F.col("root") < F.col("g")))
-        # A group of one was compared as its own leader.
-        todo = smaller if opened == "leader" else smaller & (F.col("gm") > 1)
-        bound = query.join(matrix, "token").filter(fits & todo).groupBy("sig", "g").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
-        bound = bound.filter(F.col("c") >= least(F.col("n"))).select("sig", "g", "n")
-        if opened == "members":
-            inside = materialise(named.select(F.col("root").alias("g"), F.col("sig").alias("b"), F.col("n").alias("m")).distinct(), "inside")
-            close = (F.col("m") * num <= F.col("n") * den) & (F.col("n") * num <= F.col("m") * den)
-            opened_pairs = materialise(bound, "open").join(inside, "g").filter(close).select(F.col("sig").alias("a"), "b")
-        else:
-            opened_pairs = bound.select(F.col("sig").alias("a"), F.col("g").alias("b"))
-        more = linked(opened_pairs)
-        for t in (named, sizes, apart, query, matrix):
-            discard(t)
-        if more.limit(1).count():
-            edges = materialise(edges.unionByName(more), "edges")
-            roots = components(edges)
+    sizes = materialise(roots.groupBy("root").agg((F.count(F.lit(1)) + 1).alias("members")), "sizes")
+    named = spots.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    named = materialise(named.join(sizes, "root", "left").withColumn("members", F.coalesce("members", F.lit(1))), "named")
+    # Only tokens that more than one group has.
+    apart = materialise(named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token"), "apart")
+    query = materialise(named.join(apart, "token"), "query")
+    matrix = query.groupBy("token", "root", "members").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    matrix = materialise(matrix.select("token", F.col("root").alias("g"), F.col("members").alias("gm"), "lo", "hi"), "matrix")
+    fits = (F.col("lo") * num <= F.col("n") * den) & (F.col("n") * num <= F.col("hi") * den)
+    smaller = (F.col("members") < F.col("gm")) | ((F.col("members") == F.col("gm")) & (F.col("root") < F.col("g")))
+    bound = query.join(matrix, "token").filter(fits & smaller).groupBy("sig", "g").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
+    opened = materialise(bound.filter(F.col("c") >= least(F.col("n"))).select("sig", "g", "n"), "open")
+    inside = materialise(query.select(F.col("root").alias("g"), F.col("sig").alias("b"), F.col("n").alias("m")).distinct(), "inside")
+    close = (F.col("m") * num <= F.col("n") * den) & (F.col("n") * num <= F.col("m") * den)
+    more = linked(opened.join(inside, "g").filter(close).select(F.col("sig").alias("a"), "b"))
+    for t in (sizes, named, apart, query, matrix, inside):
+        discard(t)
+    if more.limit(1).count():
+        roots = components(edges.unionByName(more))
     for t in (shared, spots, parts, *sets):
         discard(t)
     return rows, roots
