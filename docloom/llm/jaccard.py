@@ -7,7 +7,9 @@ a query's overlap with every group is bounded by its row in that matrix, and onl
 All tokens have one global order: common ones last, so prefixes hold rare tokens. For a similarity of num/den a partner shares at
 least need = ceil(num*n/den) of n tokens; so among the first n - need + EXTRA tokens of both, at least min(EXTRA, need) are
 shared. Counting shared prefix tokens therefore bounds the overlap, of a node or of a group's union, and loses no link. A second bound adds up, over
-classes of tokens, the smaller of two nodes' counts: sets that share a passage only fall well below the need.
+classes of tokens, the smaller of two nodes' counts: sets that share a passage only fall well below the need. A third bound needs no
+pair: where the parities of two counts differ, so do the sets, in one token at least; a matrix cell keeps the conjunction and disjunction of its
+members' parities, and classes in which a query differs from all of them are counted against the largest difference that a link allows.
 
 Steps: (1) common tokens, counted over all documents, give the order (a bounded list: it changes costs only, never
 results); (2) prefixes of all documents; tokens with one node only drop out; (3) each token's smallest node leads it; nodes that
@@ -23,6 +25,8 @@ different texts are different nodes; other input columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +43,7 @@ COMMON = 1 << 18  # tokens in the list of common ones: 2 MB
 COUNTED = 4_000_000  # tokens counted together before they leave a task
 COMMON_IN_TASK = 4
 PARTS = 256  # classes of tokens that are counted for each node
+ODD = [f"o{i}" for i in range(PARTS // 64)]  # columns that hold the parities of these counts, one bit for each class
 
 
 def tokens_of(text: str | None, words: int) -> np.ndarray:
@@ -122,13 +127,15 @@ def _prefixes(docs: DataFrame, id_col: str, text_col: str, words: int, num: int,
                     own = t[:size]
                 prefix.append(own.view(np.int64))
                 parts.append(np.bincount((t & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS).astype(np.int32))
+            odd = np.packbits(np.array(parts, np.int32).reshape(-1, PARTS) & 1, axis=1).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int32()))],
-                ["doc_id", "n", "sig", "prefix", "parts"],
+                [b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int32()))]
+                + [pa.array(odd[:, i]) for i in range(len(ODD))],
+                ["doc_id", "n", "sig", "prefix", "parts", *ODD],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n long, sig binary, prefix array<long>, parts array<int>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n long, sig binary, prefix array<long>, parts array<int>, " + ", ".join(f"{x} long" for x in ODD))
 
 
 def _token_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -157,7 +164,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     stars = spots.join(lead, "token").select("sig", "n", F.explode(F.array("lo", "hi")).alias("lead")).filter("sig <> lead")
     stars = stars.groupBy("sig", "lead").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")).filter(F.col("c") >= least(F.col("n")))
     pairs = materialise(stars.select(F.greatest("sig", "lead").alias("a"), F.least("sig", "lead").alias("b")), "pairs")
-    parts = materialise(first.select("sig", "n", "parts").join(spots.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"]), "parts")
+    parts = materialise(first.select("sig", "n", "parts", *ODD).join(spots.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"]), "parts")
     sets: list[DataFrame] = []
 
     def enough(common: Column, na: Column, nb: Column) -> Column:
@@ -201,21 +208,30 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     edges = linked(pairs)
     roots = components(edges)
     sizes = materialise(roots.groupBy("root").agg((F.count(F.lit(1)) + 1).alias("members")), "sizes")
-    named = spots.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    named = materialise(named.join(sizes, "root", "left").withColumn("members", F.coalesce("members", F.lit(1))), "named")
+    nodes = parts.select("sig", *ODD).join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    nodes = materialise(nodes.join(sizes, "root", "left").withColumn("members", F.coalesce("members", F.lit(1))), "nodes")
+    named = materialise(spots.join(nodes, "sig"), "named")
     # Only tokens that more than one group has.
     apart = materialise(named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token"), "apart")
     query = materialise(named.join(apart, "token"), "query")
-    matrix = query.groupBy("token", "root", "members").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    matrix = materialise(matrix.select("token", F.col("root").alias("g"), F.col("members").alias("gm"), "lo", "hi"), "matrix")
+    both = [f(x).alias(f"{x}_{k}") for x in ODD for k, f in (("and", F.bit_and), ("or", F.bit_or))]
+    matrix = query.groupBy("token", "root", "members").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), *both)
+    matrix = materialise(matrix.withColumnsRenamed({"root": "g", "members": "gm"}), "matrix")
+
+    def near(differ: list[Column], most: Column) -> Column:
+        """No more classes differ than the sets of a link with a node of at most that many tokens."""
+        return reduce(add, map(F.bit_count, differ)) * (num + den) <= (F.col("n") + most) * (den - num)
+
     fits = (F.col("lo") * num <= F.col("n") * den) & (F.col("n") * num <= F.col("hi") * den)
+    fits &= near([F.col(x).bitwiseAND(F.bitwise_not(f"{x}_or")).bitwiseOR(F.bitwise_not(x).bitwiseAND(F.col(f"{x}_and"))) for x in ODD], F.col("hi"))
     smaller = (F.col("members") < F.col("gm")) | ((F.col("members") == F.col("gm")) & (F.col("root") < F.col("g")))
-    bound = query.join(matrix, "token").filter(fits & smaller).groupBy("sig", "g").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
-    opened = materialise(bound.filter(F.col("c") >= least(F.col("n"))).select("sig", "g", "n"), "open")
-    inside = materialise(query.select(F.col("root").alias("g"), F.col("sig").alias("b"), F.col("n").alias("m")).distinct(), "inside")
+    bound = query.join(matrix, "token").filter(fits & smaller).groupBy("sig", "g").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), *(F.first(x).alias(x) for x in ODD))
+    opened = materialise(bound.filter(F.col("c") >= least(F.col("n"))).drop("c"), "open")
+    inside = materialise(query.select(F.col("root").alias("g"), F.col("sig").alias("b"), F.col("n").alias("m"), *(F.col(x).alias(f"{x}_b") for x in ODD)).distinct(), "inside")
     close = (F.col("m") * num <= F.col("n") * den) & (F.col("n") * num <= F.col("m") * den)
+    close &= near([F.col(x).bitwiseXOR(F.col(f"{x}_b")) for x in ODD], F.col("m"))
     more = linked(opened.join(inside, "g").filter(close).select(F.col("sig").alias("a"), "b"))
-    for t in (sizes, named, apart, query, matrix, inside):
+    for t in (sizes, nodes, named, apart, query, matrix, inside):
         discard(t)
     if more.limit(1).count():
         roots = components(edges.unionByName(more))
