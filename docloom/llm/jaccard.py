@@ -158,12 +158,14 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     shared = materialise(each.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token"), "shared")
     # token, sig, n of tokens that more than one row has.
     spots = materialise(each.join(shared, "token").distinct(), "spots")
+    discard(shared)
     least = lambda n: F.least(F.lit(EXTRA), _need(n, num, den))
 
     lead = materialise(spots.groupBy("token").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).filter("lo <> hi"), "lead")
     stars = spots.join(lead, "token").select("sig", "n", F.explode(F.array("lo", "hi")).alias("lead")).filter("sig <> lead")
     stars = stars.groupBy("sig", "lead").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")).filter(F.col("c") >= least(F.col("n")))
     pairs = materialise(stars.select(F.greatest("sig", "lead").alias("a"), F.least("sig", "lead").alias("b")), "pairs")
+    discard(lead)
     parts = materialise(first.select("sig", "n", "parts", *ODD).join(spots.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"]), "parts")
     sets: list[DataFrame] = []
 
@@ -208,12 +210,10 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     edges = linked(pairs)
     roots = components(edges)
     sizes = materialise(roots.groupBy("root").agg((F.count(F.lit(1)) + 1).alias("members")), "sizes")
-    nodes = parts.select("sig", *ODD).join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    nodes = parts.select("sig", "n", *ODD).join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     nodes = materialise(nodes.join(sizes, "root", "left").withColumn("members", F.coalesce("members", F.lit(1))), "nodes")
-    named = materialise(spots.join(nodes, "sig"), "named")
-    # Only tokens that more than one group has.
-    apart = materialise(named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token"), "apart")
-    query = materialise(named.join(apart, "token"), "query")
+    query = materialise(spots.drop("n").join(nodes, "sig"), "query")
+    discard(spots)
     both = [f(x).alias(f"{x}_{k}") for x in ODD for k, f in (("and", F.bit_and), ("or", F.bit_or))]
     matrix = query.groupBy("token", "root", "members").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), *both)
     matrix = materialise(matrix.withColumnsRenamed({"root": "g", "members": "gm"}), "matrix")
@@ -227,15 +227,17 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     smaller = (F.col("members") < F.col("gm")) | ((F.col("members") == F.col("gm")) & (F.col("root") < F.col("g")))
     bound = query.join(matrix, "token").filter(fits & smaller).groupBy("sig", "g").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), *(F.first(x).alias(x) for x in ODD))
     opened = materialise(bound.filter(F.col("c") >= least(F.col("n"))).drop("c"), "open")
-    inside = materialise(query.select(F.col("root").alias("g"), F.col("sig").alias("b"), F.col("n").alias("m"), *(F.col(x).alias(f"{x}_b") for x in ODD)).distinct(), "inside")
+    for t in (query, matrix):
+        discard(t)
+    inside = nodes.select(F.col("root").alias("g"), F.col("sig").alias("b"), F.col("n").alias("m"), *(F.col(x).alias(f"{x}_b") for x in ODD))
     close = (F.col("m") * num <= F.col("n") * den) & (F.col("n") * num <= F.col("m") * den)
     close &= near([F.col(x).bitwiseXOR(F.col(f"{x}_b")) for x in ODD], F.col("m"))
     more = linked(opened.join(inside, "g").filter(close).select(F.col("sig").alias("a"), "b"))
-    for t in (sizes, nodes, named, apart, query, matrix, inside):
+    for t in (sizes, nodes, opened):
         discard(t)
     if more.limit(1).count():
         roots = components(edges.unionByName(more))
-    for t in (shared, spots, parts, *sets):
+    for t in (parts, *sets):
         discard(t)
     return rows, roots
 
