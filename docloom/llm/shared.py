@@ -40,10 +40,14 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Delete a table written by materialise() that no pending plan reads any more."""
+    """Delete a table written by materialise() that no pending plan reads any more.
+
+    Shuffle files of finished jobs go when the driver collects their plans; it is told to, as a small heap may not fill for long.
+    """
     spark = df.sparkSession
     jvm = spark._jvm
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/docloom/" in path:
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    jvm.System.gc()
