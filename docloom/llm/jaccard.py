@@ -12,10 +12,9 @@ pair: where the parities of two counts differ, so do the sets, in one token at l
 members' parities, and classes in which a query differs from all of them are counted against the largest difference that a link allows.
 
 Steps: (1) common tokens, counted over all documents, give the order (a bounded list: it changes costs only, never
-results); (2) prefixes of all documents; tokens with one node only drop out; (3) each token's smallest node leads it; nodes that
-share enough tokens with a leader are compared with it, and linked nodes form groups; (4) the matrix of tokens and groups;
-each node of a smaller group queries larger ones, first against the group's leader, which joins most groups, then against
-the members of groups still apart; (5) components of all links. Pairs inside a group are not listed. Every set is compared exactly.
+results); (2) prefixes of all documents; tokens with one node only drop out; (3) each token's smallest and largest node lead it; nodes that
+share enough tokens with a leader are compared with it, and components of these links form groups; (4) the matrix of tokens and groups;
+each node of a smaller group queries larger ones, and is compared with the members of those that its bounds open; (5) components of all links. Pairs inside a group are not listed. Every set is compared exactly.
 
 Defined results: null, empty and blank texts have no tokens, n 0, and are their own component; of fewer words than ``words``
 the whole sequence is one token; null ids and repeated rows each have a result row (a null id is never the smallest unless alone); rows with equal ids but
