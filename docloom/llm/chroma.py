@@ -5,7 +5,7 @@ rectangle's sum in four look-ups; sixteen filters, each the log ratio of two hal
 integer for each frame. Equal fingerprints form a class, which one recording stands for. Queries meet recordings that have an integer's
 leading bits in common; a histogram of offsets finds the alignment, and bit errors over the overlap judge it.
 The queries' integers go out in blocks of at most about ``BLOCK`` integers, sorted by their keys; each task runs its recordings against
-a block and returns only the best alignment of each class, so no votes are shuffled or written.
+a block and returns the alignments of each class, so no votes are shuffled or written.
 
 Defined results: null, empty or unreadable audio, or audio shorter than a window, has no integers, a class of its own kind (the empty one) and no match; null ids
 and repeated rows each have a result row; other input columns are ignored. The class id is the smallest id with that fingerprint.
@@ -182,15 +182,14 @@ class QueryBlock:
         first = np.r_[True, pair[1:] != pair[:-1]] if len(pair) else np.empty(0, bool)
         return pair[first] // n_queries, pair[first] % n_queries, offset[first]
 
-    def best(self, prints: list[np.ndarray], min_votes: int, max_bit_error: float) -> list[tuple[float, object, int] | None]:
-        """(bit error, query, offset) of each recording, or None."""
+    def judged(self, prints: list[np.ndarray], rec: np.ndarray, query: np.ndarray, offset: np.ndarray, max_bit_error: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(recording, query, offset, bit error) of the alignments within max_bit_error."""
         size = np.array([len(p) for p in prints], dtype=np.int64)
-        flat, found = np.concatenate(prints).view(np.uint32), [None] * len(prints)
+        flat = np.concatenate(prints).view(np.uint32)
         begin = np.cumsum(size) - size
-        rec, query, offset = self.candidates(flat, size, min_votes)
         lo = np.maximum(0, offset)
         n = np.minimum(size[rec], self.size[query] + offset) - lo
-        step, i, ends = np.cumsum(n), 0, []
+        step, i, ends = np.cumsum(n), 0, [np.empty(0, np.int64)]
         while i < len(rec):
             j = max(i + 1, int(np.searchsorted(step, (step[i - 1] if i else 0) + EXPANDED, "right")))
             m = n[i:j]
@@ -198,14 +197,31 @@ class QueryBlock:
             a, b = np.repeat(begin[rec[i:j]] + lo[i:j], m) + along, np.repeat(self.start[query[i:j]] + lo[i:j] - offset[i:j], m) + along
             ends.append(np.add.reduceat(np.bitwise_count(flat[a] ^ self.flat[b]).astype(np.int64), np.cumsum(m) - m))
             i = j
-        if not ends:
-            return found
         error = np.concatenate(ends) / (32 * n)
         near = error <= max_bit_error
-        for e, r, q, o in sorted(zip(error[near], rec[near], query[near], offset[near], strict=True), reverse=True):
+        return rec[near], query[near], offset[near], error[near]
+
+    def voted(self, prints: list[np.ndarray], min_votes: int, max_bit_error: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """judged() of the candidates by votes."""
+        size = np.array([len(p) for p in prints], dtype=np.int64)
+        return self.judged(prints, *self.candidates(np.concatenate(prints).view(np.uint32), size, min_votes), max_bit_error)
+
+    def best(self, prints: list[np.ndarray], min_votes: int, max_bit_error: float) -> list[tuple[float, object, int] | None]:
+        """(bit error, query, offset) of each recording's best voted alignment, or None."""
+        found = [None] * len(prints)
+        rec, query, offset, error = self.voted(prints, min_votes, max_bit_error)
+        for e, r, q, o in sorted(zip(error, rec, query, offset, strict=True), reverse=True):
             found[r] = (float(e), self.ids[q], int(o))
         return found
 
+    def others(self, prints: list[np.ndarray], min_votes: int, max_bit_error: float) -> list[list[tuple[float, object, int]]]:
+        """(bit error, query, offset) of all alignments of each recording with queries of other fingerprints."""
+        found: list[list[tuple[float, object, int]]] = [[] for _ in prints]
+        for r, q, o, e in zip(*(x.tolist() for x in self.voted(prints, min_votes, max_bit_error)), strict=True):
+            if not np.array_equal(prints[r].view(np.uint32), self.flat[self.start[q] : self.start[q] + self.size[q]]):
+                found[r].append((e, self.ids[q], o))
+        return found
+
 
 def _query_blocks(queries: DataFrame) -> Iterator[QueryBlock]:
     """All rows (query, prints) in blocks by a hash of the query."""
@@ -219,15 +235,21 @@ def _query_blocks(queries: DataFrame) -> Iterator[QueryBlock]:
 
 
 def align(prints: DataFrame, query_condition: str = "id % 50 = 0", min_votes: int = MIN_VOTES, max_bit_error: float = MAX_BIT_ERROR) -> DataFrame:
-    """id, n_prints, prints_sha256, class_id, best_query, offset, bit_error of every row; the best query is another class's or the row's own class."""
+    """id, n_prints, prints_sha256, class_id, best_query, offset, bit_error, alignments of every row; the best query is another class's or the row's own class.
+
+    alignments: every (bit_error, query, offset) of the class with queries of other classes. Pairs are of class representatives: the row whose id is
+    class_id holds them for all members, others hold null, and a query stands for all rows of its class.
+    """
     spark = prints.sparkSession
     ship(spark)
     text = F.array_join(F.transform("prints", lambda x: x.cast("string")), ",")
     rows = materialise(prints.select("id", "prints", F.sha2(text, 256).alias("sha")), "prints")
     # A class may be large; it is one row from here on.
     classes = materialise(rows.filter("size(prints) > 0").groupBy("sha").agg(F.min("id").alias("class_id"), F.min(F.when(F.expr(query_condition), F.col("id"))).alias("query"), F.first("prints").alias("prints")), "classes")
-    schema = f"sha string, bit_error double, query {classes.schema['query'].dataType.simpleString()}, offset int"
-    kind = pa.string() if "string" in schema.split("query ")[1] else pa.int64()
+    id_type = classes.schema["query"].dataType.simpleString()
+    one = f"struct<bit_error:double,query:{id_type},offset:int>"
+    schema = f"sha string, m {one}, others array<{one}>"
+    arrow = pa.struct([("bit_error", pa.float64()), ("query", pa.string() if id_type == "string" else pa.int64()), ("offset", pa.int32())])
     found = spark.createDataFrame([], schema)
     for block in _query_blocks(classes.filter("query IS NOT NULL").select("query", "prints")):
         shared = spark.sparkContext.broadcast(block)
@@ -236,15 +258,19 @@ def align(prints: DataFrame, query_condition: str = "id % 50 = 0", min_votes: in
             for b in batches:
                 for i in range(0, b.num_rows, 200):
                     part = b.slice(i, 200)
-                    best = shared.value.best([np.array(p, np.int32) for p in part.column(1).to_pylist()], min_votes, max_bit_error)
-                    hits = [(sha, *m) for sha, m in zip(part.column(0).to_pylist(), best, strict=True) if m]
-                    yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in hits], t) for k, t in enumerate((pa.string(), pa.float64(), kind, pa.int32()))], ["sha", "bit_error", "query", "offset"])
+                    prints = [np.array(p, np.int32) for p in part.column(1).to_pylist()]
+                    best = shared.value.best(prints, min_votes, max_bit_error)
+                    others = shared.value.others(prints, min_votes, max_bit_error)
+                    hits = [(sha, m and dict(zip(arrow.names, m, strict=True)), [dict(zip(arrow.names, x, strict=True)) for x in o]) for sha, m, o in zip(part.column(0).to_pylist(), best, others, strict=True) if m or o]
+                    yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in hits], t) for k, t in enumerate((pa.string(), arrow, pa.list_(arrow)))], ["sha", "m", "others"])
 
         found = found.unionByName(materialise(classes.select("sha", "prints").mapInArrow(run, schema), "alignments"))
         shared.unpersist()
-    found = found.groupBy("sha").agg(F.min(F.struct("bit_error", "query", "offset")).alias("m"))
-    named = materialise(classes.select("sha", "class_id").join(found, "sha", "left").select("sha", "class_id", F.col("m.query").alias("best_query"), F.col("m.offset").alias("offset"), F.col("m.bit_error").alias("bit_error")), "named")
-    return rows.select("id", F.size("prints").cast("long").alias("n_prints"), "sha").join(named, "sha", "left").select("id", "n_prints", F.col("sha").alias("prints_sha256"), "class_id", "best_query", "offset", "bit_error")
+    found = found.groupBy("sha").agg(F.min("m").alias("m"), F.array_sort(F.flatten(F.collect_list("others"))).alias("others"))
+    named = materialise(classes.select("sha", "class_id").join(found, "sha", "left").select("sha", "class_id", F.col("m.query").alias("best_query"), F.col("m.offset").alias("offset"), F.col("m.bit_error").alias("bit_error"), F.coalesce("others", F.array().cast(f"array<{one}>")).alias("others")), "named")
+    told = F.when(F.col("id").eqNullSafe(F.col("class_id")) & (F.col("n_prints") > 0), F.col("others"))
+    joined = rows.select("id", F.size("prints").cast("long").alias("n_prints"), "sha").join(named, "sha", "left")
+    return joined.select("id", "n_prints", F.col("sha").alias("prints_sha256"), "class_id", "best_query", "offset", "bit_error", told.alias("alignments"))
 
 
 _pitch = 2 * np.pi * A4 / 2 * (2 ** (np.arange(25) / 12))[:, None] * np.arange(HOP * 2) / RATE

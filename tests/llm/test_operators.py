@@ -244,6 +244,17 @@ def test_alignment_finds_offsets(spark):
     assert got[2] == (2, 50, 0) and got[50] == (2, 50, 0) and got[1] == (1, 50, -16) and got[3] == (3, None, None) and got[4] == (None, None, None)
 
 
+def test_alignments_keep_all_partners(spark):
+    rng = np.random.default_rng(7)
+    v = [float(x) for x in rng.normal(0, 0.3, 64)]
+    rows = [(50, v), (100, v[4:]), (1, v[8:]), (2, v), (3, v[:48])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.id: r for r in chroma.align(chroma.fingerprints(d, "vec_id", "embedding", chroma.rendered)).collect()}
+    full = lambda i: {(a.query, a.offset) for a in got[i].alignments if a.bit_error < 0.1}
+    assert got[50].class_id == 2 and got[50].alignments is None
+    assert full(2) == {(100, 8)} and full(100) == {(50, -8)} and full(1) == {(50, -16), (100, -8)} and full(3) == {(50, 0), (100, 8)}
+
+
 def test_query_blocks_equal_brute_force(monkeypatch):
     monkeypatch.setattr(chroma, "EXPANDED", 50)
     rng = np.random.default_rng(4)
