@@ -2,8 +2,9 @@
 
 A recording (16-bit mono WAV) becomes frames of energy by pitch class. An integral image over frames and classes gives any
 rectangle's sum in four look-ups; sixteen filters, each the log ratio of two halves of a rectangle, are quantised to two bits (Gray code) and packed into one 32-bit
-integer for each frame. Equal fingerprints form a class, which one recording stands for. Queries meet recordings that have an integer's
-leading bits in common; a histogram of offsets finds the alignment, and bit errors over the overlap judge it.
+integer for each frame. Equal fingerprints form a class, which one recording stands for. Queries meet every recording at every offset: correlations
+count the bits that agree, and bit errors over an overlap of at least ``OVERLAP`` positions (or the shorter recording) judge it. For the best query alone,
+a histogram of offsets of integers that have their leading bits in common must find the alignment as well, so that chance over a few positions does not.
 The queries' integers go out in blocks of at most about ``BLOCK`` integers, sorted by their keys; each task runs its recordings against
 a block and returns the alignments of each class, so no votes are shuffled or written.
 
@@ -14,6 +15,7 @@ and repeated rows each have a result row; other input columns are ignored. The c
 from __future__ import annotations
 
 import io
+import math
 import wave
 from collections.abc import Callable, Iterator
 
@@ -31,8 +33,9 @@ CUTS = (-0.3, 0.0, 0.3)  # of the log ratio, between the four levels
 KEY_BITS = 24  # of an integer, that a query and a recording must have in common to meet
 MIN_VOTES = 4
 MAX_BIT_ERROR = 0.25
+OVERLAP = 4  # positions that an alignment covers at least, or all of a shorter recording
 BLOCK = 2_000_000  # integers of queries that a task holds at a time: about 40 MB with their index
-EXPANDED = 2_000_000  # meetings that a task counts together
+EXPANDED = 2_000_000  # meetings or correlations that a task counts together
 A4 = 440.0
 
 
@@ -201,28 +204,77 @@ class QueryBlock:
         near = error <= max_bit_error
         return rec[near], query[near], offset[near], error[near]
 
-    def voted(self, prints: list[np.ndarray], min_votes: int, max_bit_error: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """judged() of the candidates by votes."""
-        size = np.array([len(p) for p in prints], dtype=np.int64)
-        return self.judged(prints, *self.candidates(np.concatenate(prints).view(np.uint32), size, min_votes), max_bit_error)
-
     def best(self, prints: list[np.ndarray], min_votes: int, max_bit_error: float) -> list[tuple[float, object, int] | None]:
         """(bit error, query, offset) of each recording's best voted alignment, or None."""
         found = [None] * len(prints)
-        rec, query, offset, error = self.voted(prints, min_votes, max_bit_error)
+        size = np.array([len(p) for p in prints], dtype=np.int64)
+        rec, query, offset, error = self.judged(prints, *self.candidates(np.concatenate(prints).view(np.uint32), size, min_votes), max_bit_error)
         for e, r, q, o in sorted(zip(error, rec, query, offset, strict=True), reverse=True):
             found[r] = (float(e), self.ids[q], int(o))
         return found
 
-    def others(self, prints: list[np.ndarray], min_votes: int, max_bit_error: float) -> list[list[tuple[float, object, int]]]:
+    def near(self, prints: list[np.ndarray], overlap: int, max_bit_error: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(recording, query, offset, bit error) of all alignments within max_bit_error over at least ``overlap`` positions, or all of a shorter recording.
+
+        Bits as signs are correlated at every offset by Fourier transforms, 32 channels summed before the way back; bits are counted exactly afterwards.
+        Recordings and queries are padded to powers of two and go in tiles of at most about EXPANDED numbers.
+        """
+        size = np.array([len(p) for p in prints], dtype=np.int64)
+        room, query_room = _padded(size), _padded(self.size)
+        for q_len in np.unique(query_room):
+            for r_len in np.unique(room):
+                n = int(2 * max(q_len, r_len))
+                tile = max(1, min(4 * EXPANDED // (32 * n), math.isqrt(4 * EXPANDED // n)))
+                for query in _tiles(np.flatnonzero(query_room == q_len), tile):
+                    theirs = np.ascontiguousarray(_spectra([self.flat[self.start[k] : self.start[k] + self.size[k]] for k in query], n).conj().transpose(1, 2, 0))
+                    for rec in _tiles(np.flatnonzero(room == r_len), min(tile, max(1, EXPANDED // (n * len(query))))):
+                        ours = np.ascontiguousarray(_spectra([prints[k].view(np.uint32) for k in rec], n).transpose(1, 0, 2))
+                        agree = np.fft.irfft(ours @ theirs, n, axis=0)
+                        offset = np.arange(n)
+                        offset[n // 2 :] -= n
+                        r, q, o = _one(size[rec])[None, :, None], _one(self.size[query])[None, None, :], offset[:, None, None]
+                        common = np.minimum(r, q + o) - np.maximum(0, o)
+                        least = 32 * common * (1 - 2 * max_bit_error) - (1 + 1e-6 * 32 * n)
+                        least = np.where(common >= np.minimum(overlap, np.minimum(r, q)), least, np.inf).astype(np.float32)
+                        at, i, k = np.unravel_index(np.flatnonzero(agree >= least), agree.shape)
+                        yield self.judged(prints, rec[i], query[k], offset[at], max_bit_error)
+
+    def others(self, prints: list[np.ndarray], overlap: int, max_bit_error: float) -> list[list[tuple[float, object, int]]]:
         """(bit error, query, offset) of all alignments of each recording with queries of other fingerprints."""
         found: list[list[tuple[float, object, int]]] = [[] for _ in prints]
-        for r, q, o, e in zip(*(x.tolist() for x in self.voted(prints, min_votes, max_bit_error)), strict=True):
-            if not np.array_equal(prints[r].view(np.uint32), self.flat[self.start[q] : self.start[q] + self.size[q]]):
-                found[r].append((e, self.ids[q], o))
+        own: dict[tuple[int, int], bool] = {}
+        for part in self.near(prints, overlap, max_bit_error):
+            rec, query, offset, error = (x.tolist() for x in part)
+            for r, q, o, e in zip(rec, query, offset, error, strict=True):
+                if (r, q) not in own:
+                    own[r, q] = np.array_equal(prints[r].view(np.uint32), self.flat[self.start[q] : self.start[q] + self.size[q]])
+                if not own[r, q]:
+                    found[r].append((e, self.ids[q], o))
         return found
 
 
+def _padded(size: np.ndarray) -> np.ndarray:
+    """The next power of two, 16 at least."""
+    return 2 ** np.ceil(np.log2(np.maximum(size, 16))).astype(np.int64)
+
+
+def _tiles(at: np.ndarray, most: int) -> list[np.ndarray]:
+    return np.array_split(at, -(-len(at) // most))
+
+
+def _one(size: np.ndarray) -> np.ndarray:
+    """A single size if all are equal."""
+    return size[:1] if (size == size[0]).all() else size
+
+
+def _spectra(prints: list[np.ndarray], n: int) -> np.ndarray:
+    """prints x frequencies x 32, of the bits as signs."""
+    signs = np.zeros((len(prints), n, 32), np.float32)
+    for k, p in enumerate(prints):
+        signs[k, : len(p)] = np.unpackbits(p.astype(">u4").view(np.uint8)).reshape(-1, 32) * np.float32(2) - 1
+    return np.fft.rfft(signs, axis=1)
+
+
 def _query_blocks(queries: DataFrame) -> Iterator[QueryBlock]:
     """All rows (query, prints) in blocks by a hash of the query."""
     total = queries.agg(F.sum(F.size("prints")).alias("n")).first()["n"] or 0
@@ -237,7 +289,7 @@ def _query_blocks(queries: DataFrame) -> Iterator[QueryBlock]:
 def align(prints: DataFrame, query_condition: str = "id % 50 = 0", min_votes: int = MIN_VOTES, max_bit_error: float = MAX_BIT_ERROR) -> DataFrame:
     """id, n_prints, prints_sha256, class_id, best_query, offset, bit_error, alignments of every row; the best query is another class's or the row's own class.
 
-    alignments: every (bit_error, query, offset) of the class with queries of other classes. Pairs are of class representatives: the row whose id is
+    alignments: every (bit_error, query, offset) within max_bit_error of the class with queries of other classes, without votes. Pairs are of class representatives: the row whose id is
     class_id holds them for all members, others hold null, and a query stands for all rows of its class.
     """
     spark = prints.sparkSession
@@ -260,7 +312,7 @@ def align(prints: DataFrame, query_condition: str = "id % 50 = 0", min_votes: in
                     part = b.slice(i, 200)
                     prints = [np.array(p, np.int32) for p in part.column(1).to_pylist()]
                     best = shared.value.best(prints, min_votes, max_bit_error)
-                    others = shared.value.others(prints, min_votes, max_bit_error)
+                    others = shared.value.others(prints, OVERLAP, max_bit_error)
                     hits = [(sha, m and dict(zip(arrow.names, m, strict=True)), [dict(zip(arrow.names, x, strict=True)) for x in o]) for sha, m, o in zip(part.column(0).to_pylist(), best, others, strict=True) if m or o]
                     yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in hits], t) for k, t in enumerate((pa.string(), arrow, pa.list_(arrow)))], ["sha", "m", "others"])
 

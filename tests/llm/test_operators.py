@@ -273,6 +273,31 @@ def test_query_blocks_equal_brute_force(monkeypatch):
         assert g == min((f for f in found if f[0] <= 0.25), default=None)
 
 
+@pytest.mark.parametrize("expanded", [50, 2_000_000])
+def test_alignments_equal_all_offsets(monkeypatch, expanded):
+    """Without keys or votes: noisy and shifted copies up to the limit, and recordings of one to three integers."""
+    monkeypatch.setattr(chroma, "EXPANDED", expanded)
+    rng = np.random.default_rng(8)
+    prints = [rng.integers(0, 2**32, n, dtype=np.uint64).astype(np.uint32) for n in (118, 118, 1, 2, 3, 40, 200)]
+    for share in (0.05, 0.15, 0.2, 0.23, 0.3):
+        flips = (rng.random((118, 32)) < share) @ (1 << np.arange(32, dtype=np.uint64))
+        prints += [prints[0] ^ flips.astype(np.uint32), (prints[0] ^ flips.astype(np.uint32))[30:]]
+    prints += [prints[0][7:8], prints[0][9:12]]
+    queries = [0, 2, 4, 6, 8]
+    block = chroma.QueryBlock(np.array(queries), [prints[i].view(np.int32) for i in queries])
+    got = block.others([p.view(np.int32) for p in prints], 4, 0.25)
+    for p, g in zip(prints, got, strict=True):
+        want = []
+        for k in queries:
+            for o in range(1 - len(prints[k]), len(p)) if not np.array_equal(p, prints[k]) else []:
+                lo, hi = max(0, o), min(len(p), len(prints[k]) + o)
+                e = int(np.bitwise_count(p[lo:hi] ^ prints[k][lo - o : hi - o]).sum()) / (32 * (hi - lo))
+                if hi - lo >= min(4, len(p), len(prints[k])) and e <= 0.25:
+                    want.append((e, k, o))
+        assert sorted(g) == sorted(want)
+    assert {(k, o) for _, k, o in got[13]} >= {(0, 0)} and {(k, o) for _, k, o in got[18]} >= {(0, -9)}
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     import corpus_pipeline as p
 
