@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,8 @@ from docloom.operators.kinds import Kind
 OVERFETCH = 5
 MAX_QUERY_CHARS = 10_000
 MAX_TOP_K = 50
-MAX_QUERIES = 10_000  # vectors that a batch search may broadcast
+MAX_QUERIES = 10_000  # vectors, about, that a batch search broadcasts at a time
+ROWS = 1_000  # chunks that a batch search multiplies at a time
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -94,11 +96,15 @@ def search(chunks: DataFrame, kind: Kind, embedder: Embedder, query: str, top_k:
 def top_chunks_batch(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", query_id: str = "query_id") -> DataFrame:
     """Many queries: one matrix product for each Arrow batch, k best of each task, then k best overall.
 
-    The queries are collected and broadcast, MAX_QUERIES at most; split larger sets.
+    The queries are collected and broadcast in blocks of about MAX_QUERIES, by a hash of the id.
     """
-    rows = queries.select(query_id, "embedding").limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError("too many queries for one batch")
+    blocks = max(1, -(-queries.count() // MAX_QUERIES))
+    part = F.pmod(F.xxhash64(query_id), F.lit(blocks))
+    return reduce(DataFrame.unionByName, (_top_block(chunks, queries.filter(part == i), k, id_col, query_id) for i in range(blocks)))
+
+
+def _top_block(chunks: DataFrame, queries: DataFrame, k: int, id_col: str, query_id: str) -> DataFrame:
+    rows = queries.select(query_id, "embedding").collect()
     ids = [r[0] for r in rows]
     unit = np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), -1)
     norms = np.linalg.norm(unit, axis=1, keepdims=True)
@@ -110,11 +116,9 @@ def top_chunks_batch(chunks: DataFrame, queries: DataFrame, k: int, id_col: str
         if not ids:
             return
         best_d, best_i = [np.empty(0)] * len(ids), [np.empty(0, np.int64)] * len(ids)
-        for b in batches:
+        for b in (x.slice(i, ROWS) for x in batches for i in range(0, x.num_rows, ROWS)):
             key = b.column(0).to_numpy(zero_copy_only=False)
             m = np.array(b.column(1).to_pylist(), dtype=np.float64).reshape(len(key), -1)
-            if not len(key):
-                continue
             size = np.linalg.norm(m, axis=1, keepdims=True)
             d = 1 - np.divide(m, size, out=np.zeros_like(m), where=size > 0) @ unit.T
             for q in range(len(ids)):

@@ -138,6 +138,15 @@ def search_batch(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select("query_id", "rank", X.round4(X.similarity(F.col("distance"))).alias("similarity"))
 
 
+@query()
+def search_batch_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every id divisible by 50 is a query, against all rows."""
+    e = table(spark, sf, "embeddings")
+    qs = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    hits = search.top_chunks_batch(e, qs, 5)
+    return hits.select("query_id", "rank", X.round4(X.similarity(F.col("distance"))).alias("similarity"))
+
+
 QUERY_TEXT = "the of and to in"
 BUCKETS = f"""chars AS (SELECT doc_id, ord(ch) % {DIM} AS b FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> ''),
 counts AS (SELECT doc_id, b, count(*) AS c FROM chars GROUP BY doc_id, b)"""

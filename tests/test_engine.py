@@ -4,6 +4,7 @@ import unicodedata
 import zipfile
 
 import duckdb
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -37,6 +38,19 @@ def test_query_equals_sql(spark, sf, name):
     assert sorted(tuple(value(r[c]) for c in cols) for r in got.collect()) == sorted(tuple(value(r[i]) for i in at) for r in want.fetchall())
 
 
+def test_batch_search_runs_every_query_in_blocks(spark, sf, monkeypatch):
+    monkeypatch.setattr(search, "MAX_QUERIES", 3)
+    monkeypatch.setattr(search, "ROWS", 7)
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    ids, m = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    got = catalogue.queries()["search_batch_all"](spark, sf).orderBy("query_id", "rank").collect()
+    asked = sorted(i for i in ids.tolist() if i % 50 == 0)
+    assert len(asked) > 3 and [r.query_id for r in got] == [i for i in asked for _ in range(5)]
+    want = [x for i in asked for x in np.sort(m @ m[ids == i][0])[::-1][:5] / 2 + 0.5]
+    assert np.allclose([r.similarity for r in got], want, atol=1e-4)
+
+
 def test_chunk_limits():
     assert chunk_text("나" * 5500) == ["나" * 5500]
     assert len(chunk_text("다" * 5501)) > 1
