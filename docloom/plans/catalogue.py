@@ -275,14 +275,14 @@ def list_documents_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def zip_name_detect(spark: SparkSession, sf: str) -> DataFrame:
-    """File names as an archiver without the UTF-8 flag would garble them."""
+    """Whole texts as file names, as an archiver without the UTF-8 flag would garble them."""
     ship(spark)
 
     @F.pandas_udf("name string, encoding string")
     def detect(names: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([files.detect_zip_name(n.encode("utf-8").decode("cp437", "replace"), 0) for n in names], columns=["name", "encoding"])
 
-    d = documents(spark, sf).select("doc_id", F.concat(F.substring("text", 1, 12), F.lit(".md")).alias("n"))
+    d = documents(spark, sf).select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(".md")).alias("n"))
     return d.select("doc_id", detect("n").alias("d")).select("doc_id", "d.name", "d.encoding")
 
 
@@ -517,3 +517,10 @@ def dashboard(spark: SparkSession, sf: str) -> DataFrame:
 def embed_texts(spark: SparkSession, sf: str) -> DataFrame:
     d = documents(spark, sf).select("doc_id", X.decode_year(X.encode_year(F.col("year"))).alias("year"), F.col("doc_id").cast("string").alias("title"), F.col("source").alias("category"), F.substring("text", 1, 20).alias("t"))
     return d.select("doc_id", "year", INVENTION.embed_text(F.col("t")).alias("invention"), PLAIN.embed_text(F.col("t")).alias("plain"))
+
+
+@query(f"WITH {DOCS} SELECT doc_id, year, sha256('제목: ' || doc_id || ' | 분야: ' || source || chr(10) || text) AS invention_sha256, sha256('제목: ' || doc_id || chr(10) || text) AS plain_sha256 FROM docs")
+def embed_texts_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The strings to embed, of title and whole text, as hashes."""
+    d = documents(spark, sf).select("doc_id", X.decode_year(X.encode_year(F.col("year"))).alias("year"), F.col("doc_id").cast("string").alias("title"), F.col("source").alias("category"), "text")
+    return d.select("doc_id", "year", F.sha2(INVENTION.embed_text(F.col("text")), 256).alias("invention_sha256"), F.sha2(PLAIN.embed_text(F.col("text")), 256).alias("plain_sha256"))

@@ -1,3 +1,4 @@
+import hashlib
 import io
 import json
 import unicodedata
@@ -51,6 +52,15 @@ def test_batch_search_runs_every_query_in_blocks(spark, sf, monkeypatch):
     assert np.allclose([r.similarity for r in got], want, atol=1e-4)
 
 
+def test_whole_texts_are_embedded_and_detected(spark, tmp_path):
+    rows = [(1, "s", "x" * 30 + "한글 end"), (2, "s", "x" * 30 + "other")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    names = {r.doc_id: (r.name, r.encoding) for r in catalogue.queries()["zip_name_detect"](spark, str(tmp_path)).collect()}
+    assert names == {1: (rows[0][2] + ".md", "utf-8"), 2: (rows[1][2] + ".md", "cp437")}
+    got = {r.doc_id: r.plain_sha256 for r in catalogue.queries()["embed_texts_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i: hashlib.sha256(f"제목: {i}\n{t}".encode()).hexdigest() for i, _, t in rows}
+
+
 def test_chunk_limits():
     assert chunk_text("나" * 5500) == ["나" * 5500]
     assert len(chunk_text("다" * 5501)) > 1
