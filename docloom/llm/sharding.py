@@ -1,11 +1,11 @@
 """Sharding over fixed virtual slots, balanced by bytes.
 
-A record's virtual slot is a hash of its id, modulo a fixed number of slots. Bytes and rows are summed for
+A record's virtual slot is a hash of its id, modulo a fixed number of slots; an id that repeats with more than an eighth of a shard's bytes is dealt by the text's crc32 as well. Bytes and rows are summed for
 each slot, and a versioned table maps slots to shards. Version 1 deals the slots in turn; a rebalance edits it: slots go
 from the fullest shard to the emptiest as long as that brings the two closer. Only the map is planned on the driver; it
 has ``slots`` rows, however large the data. The law is ``bytes``: the shards' sizes are nearly equal.
 
-Defined results: a null text has no bytes (crc32 0), a null id hashes as the word null; repeated rows share a slot, each with
+Defined results: a null text has no bytes (crc32 0), a null id hashes as the word null; equal rows share a slot, each with
 its own place; an empty table gives an empty result; other input columns are ignored.
 """
 
@@ -27,8 +27,26 @@ def _lookup(values: list[int], at: Column, kind: str = "int") -> Column:
     return F.get(F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>"), at)
 
 
-def virtual_slot(id_col: str, slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))), F.lit(slots)).cast("int")
+def _key(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+
+
+def virtual_slot(id_col: str, slots: int = SLOTS, hot: list[str] | None = None, salt: Column | None = None) -> Column:
+    """Of the id; of id and salt for hot ids."""
+    plain = F.xxhash64(_key(id_col))
+    h = F.when(_key(id_col).isin(hot), F.xxhash64(_key(id_col), salt)).otherwise(plain) if hot else plain
+    return F.pmod(h, F.lit(slots)).cast("int")
+
+
+def hot_ids(docs: DataFrame, id_col: str, size: Column, slots: int, shards: int) -> list[str]:
+    """Repeated ids with more than an eighth of a shard's bytes: fewer than 8 * shards."""
+    sums = docs.groupBy(virtual_slot(id_col, slots).alias("slot")).agg(F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("rows")).collect()
+    most = sum(r["bytes"] for r in sums) / (8 * shards)
+    full = [r["slot"] for r in sums if r["bytes"] > most and r["rows"] > 1]
+    if not full:
+        return []
+    ids = docs.filter(virtual_slot(id_col, slots).isin(full)).groupBy(_key(id_col).alias("id")).agg(F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("rows"))
+    return sorted(r["id"] for r in ids.filter((F.col("bytes") > most) & (F.col("rows") > 1)).collect())
 
 
 def initial_map(slots: int, shards: int) -> list[int]:
@@ -36,26 +54,34 @@ def initial_map(slots: int, shards: int) -> list[int]:
 
 
 def rebalance(slot_to_shard: list[int], slot_bytes: list[int], shards: int) -> list[int]:
-    """The next version: moves, each of the slot nearest to half the gap between fullest and emptiest shard."""
+    """The next version: moves, each of the slot nearest to half the gap between fullest and emptiest shard.
+
+    A shard that holds no slot smaller than the gap is set aside until it is given one, and the next fullest gives.
+    """
     out = list(slot_to_shard)
     held = [sorted((slot_bytes[s], s) for s in range(len(out)) if out[s] == k and slot_bytes[s]) for k in range(shards)]
     load = [sum(b for b, _ in h) for h in held]
-    while True:
-        hi, lo = max(range(shards), key=lambda k: (load[k], -k)), min(range(shards), key=lambda k: (load[k], k))
+    giving = set(range(shards))
+    while giving:
+        hi, lo = max(giving, key=lambda k: (load[k], -k)), min(range(shards), key=lambda k: (load[k], k))
         gap = load[hi] - load[lo]
         i = bisect.bisect_left(held[hi], (gap / 2, -1))
         near = [held[hi][j] for j in (i - 1, i) if 0 <= j < len(held[hi]) and held[hi][j][0] < gap]
         if not near:
-            return out
+            giving.remove(hi)
+            continue
         b, s = min(near, key=lambda x: (abs(x[0] - gap / 2), x))
         held[hi].remove((b, s))
         bisect.insort(held[lo], (b, s))
         load[hi], load[lo], out[s] = load[hi] - b, load[lo] + b, lo
+        giving.add(lo)
+    return out
 
 
-def map_versions(docs: DataFrame, id_col: str, size: Column, slots: int, shards: int, versions: list[list[int]] | None = None) -> tuple[DataFrame, list[list[int]], list[int]]:
+def map_versions(docs: DataFrame, id_col: str, size: Column, slots: int, shards: int, versions: list[list[int]] | None = None, slot: Column | None = None) -> tuple[DataFrame, list[list[int]], list[int]]:
     """(table of version, slot, shard, bytes, rows; the versions; rows of each slot), after a rebalance over docs."""
-    sums = docs.groupBy(virtual_slot(id_col, slots).alias("slot")).agg(F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("rows"))
+    slot = virtual_slot(id_col, slots) if slot is None else slot
+    sums = docs.groupBy(slot.alias("slot")).agg(F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("rows"))
     n_bytes, n_rows = [0] * slots, [0] * slots
     for r in sums.collect():  # one row for each slot at most
         n_bytes[r["slot"]], n_rows[r["slot"]] = int(r["bytes"]), int(r["rows"])
@@ -69,13 +95,15 @@ def map_versions(docs: DataFrame, id_col: str, size: Column, slots: int, shards:
 def shard_by_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot (the row's place in its shard, gapless from 0), grown_shard, virtual_slot, map_version."""
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long") + OVERHEAD
-    _, versions, n_rows = map_versions(docs, id_col, size, slots, shards)
+    crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    at = virtual_slot(id_col, slots, hot_ids(docs, id_col, size, slots, shards), crc)
+    _, versions, n_rows = map_versions(docs, id_col, size, slots, shards, slot=at)
     now = versions[-1]
     first, filled = [0] * slots, [0] * shards
     for s in range(slots):
         first[s], filled[now[s]] = filled[now[s]], filled[now[s]] + n_rows[s]
     df = docs.select(
-        F.col(id_col).alias("doc_id"), size.alias("size"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"), virtual_slot(id_col, slots).alias("virtual_slot")
+        F.col(id_col).alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), at.alias("virtual_slot")
     )
     # Places are counted within virtual slots, thousands of small windows, and start where the slots before end.
     place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "size", "text_crc32")) - 1

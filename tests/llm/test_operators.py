@@ -165,6 +165,22 @@ def test_shards(spark, sf):
     assert new == old  # nothing to move
 
 
+def test_rebalance_goes_on_beside_a_heavy_slot():
+    sizes = [10_000] + [1 + i % 7 for i in range(1, 64)]
+    new = sharding.rebalance(sharding.initial_map(64, 8), sizes, 8)
+    load = [sum(b for b, k in zip(sizes, new, strict=True) if k == s) for s in range(8)]
+    others = sorted(load)[:-1]
+    assert sorted(load)[-1] == 10_000 and others[-1] - others[0] <= 1
+
+
+def test_hot_ids_are_spread(spark):
+    rows = [(None, f"text {i:04d}") for i in range(2000)] + [(7, f"more {i:04d}") for i in range(2000)] + [(100 + i, f"rest {i:04d}") for i in range(2000)]
+    r = sharding.shard_by_bytes(table(spark, rows)).toPandas()
+    sums = r.groupby("shard")["size"].sum()
+    assert len(r) == 6000 and len(sums) == 40 and sums.max() - sums.min() < 0.1 * sums.mean()
+    assert all(sorted(g) == list(range(len(g))) for _, g in r.groupby("shard")["slot"])
+
+
 def test_language_held_out(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     r = language_id.language_digest(d).join(d.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
