@@ -3,7 +3,7 @@
 Base kinds are email, ip, card (Luhn) and phone; the method adds IBANs confirmed by mod 97 and
 US social security numbers, which need a nearby context word to reach ``min_score``. Scores are
 whole per cents: a prior for the kind, a bonus for a passed checksum, and a bonus for a word of the
-kind within ``context`` characters before the span. Base spans stay whatever their score.
+kind within ``context`` characters before the span (on either side for the kinds added). Base spans stay whatever their score.
 
 Defined results: a null or empty text gives no spans and the hash of the empty string; null ids and
 repeated rows pass through, one result row for each input row; other input columns are ignored.
@@ -23,7 +23,15 @@ EMAIL = f"(?:\\G|(?<!{LOCAL})){LOCAL}++@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)++"
 IP = "(?<![0-9])[0-9]++\\.[0-9]++\\.[0-9]++\\.[0-9]++"
 CARD = "[0-9](?:[\\x20-]?[0-9])++"
 PHONE = "\\+[0-9][\\x20().0-9-]+[0-9]"
-IBAN = "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
+#: Characters of an IBAN, by country code as registered; other codes take the longest match.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_REGISTERED = "|".join(IBAN_LENGTHS.values()).replace(" ", "|")
+_BY_LENGTH = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+IBAN = f"(?<![A-Za-z0-9])(?:{_BY_LENGTH}|(?!{_REGISTERED})[A-Z]{{2}}[0-9]{{2}}(?:\\x20?[A-Z0-9]){{11,30}})(?![A-Za-z0-9])"
 SSN = "(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])"
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "iban", "ssn"]
@@ -73,7 +81,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
         prior, checked, near, words = SCORES[k]
         base = prior + (checked if k in ("card", "iban") else 0)
         before = f"lower(substr(__text, greatest(1, s.start + 1 - {context}), least(s.start, {context})))"
-        score = f"{base} + CASE WHEN {before} RLIKE '{words}' THEN {near} ELSE 0 END"
+        after = f"lower(substr(__text, s.end + 1, {context}))"
+        found = f"{before} RLIKE '{words}'" + (f" OR {after} RLIKE '{words}'" if k not in BASE else "")
+        score = f"{base} + CASE WHEN {found} THEN {near} ELSE 0 END"
         df = df.withColumn(k, F.expr(f"transform(filter({k}, s -> {tests.get(k, 'true')}), s -> named_struct('start', s.start, 'end', s.end, 'hit', s.hit, 'score', {score}))"))
         if k not in BASE:
             df = df.withColumn(k, F.expr(f"filter({k}, s -> s.score >= {min_score})"))

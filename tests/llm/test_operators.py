@@ -98,6 +98,12 @@ def test_linear_and_deep_matches(spark):
     assert r[1].n_email == 1 and r[2].spans.startswith("iban:0:27") and r[3].spans == "ssn:10:21"
 
 
+def test_ibans_end_at_their_length_and_context_may_follow(spark):
+    texts = ["DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "DE89370400440532013000 2024-01-01", "123-45-6789 (SSN)", "DE89370400440532013000 GB82 WEST 1234 5698 7654 32", "DE89370400440532013001 x", "TR33 0006 1005 1978 6457 8413 26 IBAN"]
+    got = {r.doc_id: [x for x in r.scored.split(",") if x[:4] in ("iban", "ssn:")] for r in pii_digest(table(spark, list(enumerate(texts)))).collect()}
+    assert got == {0: ["iban:0:27:80"], 1: ["iban:0:22:80"], 2: ["ssn:0:11:80"], 3: ["iban:0:22:80", "iban:23:50:80"], 4: [], 5: ["iban:0:32:100"]}
+
+
 @pytest.mark.parametrize("kw", [{}, {"block_bytes": 32}, {"block_bytes": 32, "fingerprint": lambda c: F.pmod(F.xxhash64(c), F.lit(3))}])
 def test_block_naming(spark, kw):
     rng = random.Random(2)
