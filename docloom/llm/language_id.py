@@ -2,14 +2,14 @@
 
 A known word scores its log frequency in every language. An unseen word is cut from the left into the
 longest known character n-grams, from ``ORDER`` characters down to one, whose log frequencies add up. The language with
-the highest sum wins; the score is its softmax over sums divided by the root of the number of words.
+the highest sum wins, of tied ones the first by name; the score is its softmax over sums divided by the root of the number of words.
 
-Learning reads the labelled rows: a hash of the id picks at most about ``per_lang`` of each language, and the
-model keeps the ``max_words`` most frequent words, so it is bounded and broadcast. Prediction reads
-whole texts in Arrow batches; words that were scored once are remembered up to a bound.
+Learning reads the labelled rows: a hash of the id picks at most about ``per_lang`` of each language, the one bound of the
+model. All words and n-grams of the picked rows are counted in tasks, whatever their frequency, and reach the driver as flat Arrow columns; the
+model is a few arrays, broadcast. Prediction reads whole texts in Arrow batches; words that were scored once are remembered up to a bound.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, as is any text if nothing could be
-learned; null ids and repeated rows pass through; labels, ids and other columns never enter a prediction.
+learned (an empty table, or no labels); null ids and repeated rows pass through, repeated labelled rows count each time; labels, ids and other columns never enter a prediction.
 """
 
 from __future__ import annotations
@@ -25,120 +25,157 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.llm.shared import discard, materialise
 from docloom.shipping import ship
 
-PER_LANG = 5000
-MAX_WORDS = 200_000
+PER_LANG = 2000
 ORDER = 4
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
-REMEMBERED = 300_000
+REMEMBERED = 200_000
+COUNTED = 500_000  # words and n-grams that a task counts before it sends them on
 
 
 def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+class Table:
+    """Strings and the log frequencies of each, a row over languages; frequencies are smoothed by half an occurrence."""
+
+    def __init__(self, counts: pa.Table, key: str, langs: list[str]):
+        """counts: lang, key, n; each (lang, key) once."""
+        coded = counts.column(key).combine_chunks().dictionary_encode()
+        self.keys = coded.dictionary
+        at = counts.column("lang").combine_chunks().dictionary_encode()
+        lang = np.array([langs.index(x) for x in at.dictionary.to_pylist()], np.int64)[at.indices.to_numpy()] if len(at) else np.empty(0, np.int64)
+        m = np.full((len(self.keys), len(langs)), 0.5)
+        np.add.at(m, (coded.indices.to_numpy(), lang), counts.column("n").to_numpy())
+        self.logs = (np.log(m) - np.log(m.sum(0))).astype(np.float32)
+
+    def rows(self) -> dict[str, int]:
+        return dict(zip(self.keys.to_pylist(), range(len(self.keys)), strict=True))
+
+
 class Model:
     """Scores of words and n-grams; every row is a vector over ``langs``."""
 
-    def __init__(self, counts: list[tuple[str, str, int]], order: int = ORDER):
-        self.langs = sorted({lang for lang, _, _ in counts})
-        at = {lang: i for i, lang in enumerate(self.langs)}
-        n = len(self.langs)
-        by_word: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(n))
-        grams: list[dict[str, np.ndarray]] = [defaultdict(lambda: np.zeros(n)) for _ in range(order)]
-        for lang, word, count in counts:
-            by_word[word][at[lang]] += count
-            padded = f" {word} "
-            for size in range(1, order + 1):
-                for i in range(len(padded) - size + 1):
-                    grams[size - 1][padded[i : i + size]][at[lang]] += count
-        self.words = self._logs(by_word)
-        self.grams = [self._logs(g) for g in grams]
+    def __init__(self, word_counts: pa.Table, gram_counts: pa.Table, order: int = ORDER):
+        """word_counts: lang, word, n. gram_counts: lang, gram, n; n-grams of one length share a table, as their frequencies do."""
+        self.langs = sorted(set(word_counts.column("lang").to_pylist()))
         self.order = order
-        self.floor = np.zeros(n)
+        self.words = Table(word_counts, "word", self.langs)
+        size = np.array([len(g) for g in gram_counts.column("gram").to_pylist()], np.int64)
+        self.grams = [Table(gram_counts.filter(pa.array(size == k)), "gram", self.langs) for k in range(1, order + 1)]
 
-    @staticmethod
-    def _logs(table: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        if not table:
-            return {}
-        keys, m = list(table), np.array(list(table.values()))
-        logs = np.log(m + 0.5) - np.log(m.sum(0) + 0.5 * len(keys))
-        return dict(zip(keys, logs.astype(np.float32), strict=True))
 
-    def word(self, w: str) -> np.ndarray:
-        known = self.words.get(w)
-        return known if known is not None else self.backoff(w)
+def grams_of(word: str, order: int) -> Iterator[str]:
+    padded = f" {word} "
+    for size in range(1, order + 1):
+        for i in range(len(padded) - size + 1):
+            yield padded[i : i + size]
+
+
+class Scorer:
+    """A model with the rows of remembered words, for one task."""
+
+    def __init__(self, model: Model):
+        self.langs, self.order = model.langs, model.order
+        self.known = model.words.rows()
+        self.grams = [g.rows() for g in model.grams]
+        self.gram_logs = [g.logs for g in model.grams]
+        self.n_known = len(self.known)
+        self.row = self.known
+        self.table = np.zeros((self.n_known + REMEMBERED, max(1, len(self.langs))), np.float32)
+        self.table[: self.n_known] = model.words.logs
 
     def backoff(self, w: str) -> np.ndarray:
-        padded, i, total = f" {w} ", 0, self.floor
+        padded, i, total = f" {w} ", 0, np.zeros(len(self.langs), np.float32)
         while i < len(padded):
             for size in range(min(self.order, len(padded) - i), 0, -1):
-                v = self.grams[size - 1].get(padded[i : i + size])
-                if v is not None:
-                    total = total + v
+                k = self.grams[size - 1].get(padded[i : i + size])
+                if k is not None:
+                    total = total + self.gram_logs[size - 1][k]
                     break
             i += max(1, size)
         return total
 
+    def word(self, w: str) -> np.ndarray:
+        k = self.row.get(w)
+        return self.table[k] if k is not None else self.backoff(w)
 
-class Scorer:
-    """A model with the rows of remembered words, for one task."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self._reset()
-
-    def _reset(self) -> None:
-        known = self.model.words
-        self.row = {w: i for i, w in enumerate(known)}
-        self.table = np.zeros((len(known) + REMEMBERED, max(1, len(self.model.langs))), np.float32)
-        if known:
-            self.table[: len(known)] = np.array(list(known.values()))
+    def _forget(self) -> None:
+        """Drop remembered words: rows after the known ones."""
+        for w in [w for w, k in self.row.items() if k >= self.n_known]:
+            del self.row[w]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         found = words(text) if text else []
-        if not found or not self.model.langs:
+        if not found or not self.langs:
             return UNKNOWN, 0.0
-        total, chunk = np.zeros(len(self.model.langs)), 200_000
+        total, chunk = np.zeros(len(self.langs)), REMEMBERED
         for k in range(0, len(found), chunk):
             part = found[k : k + chunk]
             if len(self.row) + len(part) > len(self.table):
-                self._reset()
+                self._forget()
             row = self.row
             for w in part:
                 if w not in row:
-                    self.table[len(row)] = self.model.backoff(w)
+                    self.table[len(row)] = self.backoff(w)
                     row[w] = len(row)
             total += self.table[[row[w] for w in part]].sum(0, dtype=np.float64)
         x = (total - total.max()) / math.sqrt(len(found))
         p = np.exp(x) / np.exp(x).sum()
         best = int(p.argmax())
-        return self.model.langs[best], float(p[best])
+        return self.langs[best], float(p[best])
+
+
+def _summed(key: str, pairs):
+    """An Arrow function: pairs(batch) yields (lang, key, n), which are added up within the task as far as memory allows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, Counter] = defaultdict(Counter)
+
+        def flush() -> pa.RecordBatch:
+            flat = [(lang, w, n) for lang, c in seen.items() for w, n in c.items()]
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in flat], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", key, "n"])
 
+        for b in batches:
+            for lang, found in pairs(b):
+                c = seen[lang]
+                for w, n in found:
+                    c[w] += n
+                if sum(map(len, seen.values())) >= COUNTED:
+                    yield flush()
+        yield flush()
+
+    return run
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, max_words: int = MAX_WORDS) -> Model:
+
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, order: int = ORDER) -> Model:
     """From rows with a text and a language; about ``per_lang`` rows of each language, picked by a hash of the id."""
     rows = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).filter("t IS NOT NULL AND l IS NOT NULL")
     ship(docs.sparkSession)
     there = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not there:
-        return Model([])
-    share = F.create_map(*(x for k, n in there.items() for x in (F.lit(k), F.lit(min(1.0, per_lang / n)))))
+    share = F.create_map(*(x for k, n in there.items() for x in (F.lit(k), F.lit(min(1.0, per_lang / n))))) if there else F.lit(None).cast("map<string,double>")
     picked = rows.filter(F.pmod(F.xxhash64(F.coalesce("i", F.lit("null"))), F.lit(1 << 30)) < F.element_at(share, F.col("l")) * (1 << 30))
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seen: dict[str, Counter] = defaultdict(Counter)
-            for t, lang in zip(b.column("t").to_pylist(), b.column("l").to_pylist(), strict=True):
-                seen[lang].update(words(t))
-            flat = [(lang, w, n) for lang, c in seen.items() for w, n in c.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in flat], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
+    def text_words(b: pa.RecordBatch):
+        for t, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            yield lang, Counter(words(t)).items()
+
+    def word_grams(b: pa.RecordBatch):
+        for lang, w, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            yield lang, ((g, n) for g in grams_of(w, order))
+
+    def total(df: DataFrame, key: str, pairs) -> DataFrame:
+        return df.mapInArrow(_summed(key, pairs), f"lang string, {key} string, n long").groupBy("lang", key).agg(F.sum("n").alias("n"))
 
-    sums = picked.select("t", "l").mapInArrow(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = sums.orderBy(F.col("n").desc(), "word", "lang").limit(max_words)
-    return Model([(r["lang"], r["word"], r["n"]) for r in top.collect()])
+    by_word = materialise(total(picked.select("t", "l"), "word", text_words), "words")
+    model = Model(by_word.toArrow(), total(by_word, "gram", word_grams).toArrow(), order)
+    discard(by_word)
+    return model
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
