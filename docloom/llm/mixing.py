@@ -87,31 +87,44 @@ def thresholds(sized: DataFrame, budgets: DataFrame, bits: int = BITS, levels: i
     return state.select("source", F.when(F.col("lo").isNull(), F.lit(2**total)).otherwise(last).alias("below"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """doc_id, size, source_size, target, taken, source, repeats: the mix holds each document ``repeats`` times."""
-    sized = materialise(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), hash60(id_col).alias("hash")), "sized"
-    )
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), hash60(id_col).alias("hash"))
+
+
+def mix_plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """s (the source), source_size, target, whole, below: each document goes in ``whole`` times, and once more if its hash is below ``below``.
+
+    sized: source, size, hash, a written table. One row for each source.
+    """
     targets = materialise(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = targets.withColumn("whole", whole)
     below = thresholds(sized, plan.select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget")))
     below = below.withColumnRenamed("source", "s")
-    plan = materialise(plan.join(below, plan["source"].eqNullSafe(below["s"])).drop("s"), "plan").withColumnRenamed("source", "s")
-    more = F.when((F.col("hash") < F.col("below")) & (F.col("whole") < most), 1).otherwise(0)
+    return materialise(plan.join(below, plan["source"].eqNullSafe(below["s"])).drop("s"), "plan").withColumnRenamed("source", "s")
+
+
+def _repeats(size: str, hash_: str, whole: str, below: str, most: int) -> Column:
+    more = F.when((F.col(hash_) < F.col(below)) & (F.col(whole) < most), 1).otherwise(0)
+    return F.when(F.col(size) > 0, F.col(whole) + more).otherwise(0).cast("int")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """doc_id, size, source_size, target, taken, source, repeats: the mix holds each document ``repeats`` times."""
+    sized = materialise(_sized(docs, id_col, text_col, source_col), "sized")
+    plan = mix_plan(sized, weights, most)
     return (
         sized.join(plan, sized["source"].eqNullSafe(plan["s"]))
-        .withColumn("repeats", F.when(F.col("size") > 0, F.col("whole") + more).otherwise(0).cast("long"))
+        .withColumn("repeats", _repeats("size", "hash", "whole", "below", most).cast("long"))
         .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "source", "repeats")
     )
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The documents of the mix with all their columns, each as often as it is taken."""
-    parts = mix(docs, id_col, text_col, source_col)
-    # Equal ids share a hash, and size depends on the row: one factor for each (id, source), 0 for blank texts.
-    times = parts.filter("repeats > 0").groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__i"), F.col("source").alias("__s")).agg(F.max("repeats").cast("int").alias("__n"))
-    keyed = docs.withColumn("__k", F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
-    kept = keyed.join(times, (F.col("__k") == F.col("__i")) & F.col(source_col).cast("string").eqNullSafe(F.col("__s")))
-    kept = kept.filter(word_count(F.col(text_col)) > 0)
-    return kept.withColumn("__c", F.explode(F.array_repeat(F.lit(1), F.col("__n")))).drop("__k", "__i", "__s", "__n", "__c")
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """The documents of the mix with all their columns, each as often as it is taken: a filter by its source's threshold, one row for each source being joined."""
+    sized = materialise(_sized(docs, id_col, text_col, source_col), "sized")
+    plan = mix_plan(sized, weights, most).select(*(F.col(c).alias(f"__{c}") for c in ("s", "whole", "below")))
+    keyed = docs.withColumns({"__size": word_count(F.col(text_col)), "__hash": hash60(id_col)})
+    kept = keyed.join(plan, F.col(source_col).cast("string").eqNullSafe(F.col("__s")))
+    times = F.array_repeat(F.lit(1), _repeats("__size", "__hash", "__whole", "__below", most))
+    return kept.withColumn("__c", F.explode(times)).select(*docs.columns)

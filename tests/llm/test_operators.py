@@ -191,8 +191,60 @@ def test_language_held_out(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     r = language_id.language_digest(d).join(d.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert sum(x.lang == x.lang_pred for x in r) >= 0.95 * len(r)
-    m = language_id.Model([("de", "der", 5), ("en", "the", 5)])
-    assert language_id.Scorer(m).predict("thee")[0] == "en" and language_id.Scorer(m).predict("12 !")[0] == "und"
+
+
+def brute_language(text, labelled, order=4):
+    """Fresh counts in dictionaries, and one word at a time."""
+    langs = sorted({lang for _, lang in labelled})
+    by_word = {lang: collections.Counter(w for t, x in labelled if x == lang for w in language_id.words(t)) for lang in langs}
+    by_gram = [{lang: collections.Counter() for lang in langs} for _ in range(order)]
+    for lang in langs:
+        for w, n in by_word[lang].items():
+            for k in range(1, order + 1):
+                for i in range(len(w) + 3 - k):
+                    by_gram[k - 1][lang][f" {w} "[i : i + k]] += n
+
+    def log(table, x):
+        size = len(set().union(*table.values()))
+        return [math.log(table[lang][x] + 0.5) - math.log(sum(table[lang].values()) + 0.5 * size) for lang in langs]
+
+    sums, found = [0.0] * len(langs), language_id.words(text)
+    for w in found:
+        if any(by_word[lang][w] for lang in langs):
+            parts = [log(by_word, w)]
+        else:
+            parts, rest = [], f" {w} "
+            while rest:
+                size = next((k for k in range(min(order, len(rest)), 0, -1) if any(by_gram[k - 1][lang][rest[:k]] for lang in langs)), 0)
+                parts += [log(by_gram[size - 1], rest[:size])] if size else []
+                rest = rest[max(1, size) :]
+        sums = [a + sum(p[i] for p in parts) for i, a in enumerate(sums)]
+    if not found:
+        return "und", 0.0
+    x = [math.exp((s - max(sums)) / math.sqrt(len(found))) for s in sums]
+    return langs[x.index(max(x))], max(x) / sum(x)
+
+
+def test_language_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "REMEMBERED", 40)
+    rng = random.Random(9)
+    spell = lambda a: "".join(rng.choice(a) for _ in range(rng.randint(1, 6)))
+    letters = {"aa": "abcdeé", "bb": "defgh", "cc": "ghijkß"}
+    words = {lang: [spell(a) for _ in range(30)] for lang, a in letters.items()}
+    labelled = [(" ".join(rng.choice(words[lang]) for _ in range(12)), lang) for lang in letters for _ in range(20)]
+    texts = [t for t, _ in labelled] + [" ".join(spell(letters[rng.choice("abc") * 2]) for _ in range(rng.randint(1, 20))) for _ in range(40)] + ["", None, "12 !", "zzz", "abc1def"]
+    model = language_id.learn(table(spark, [(i, *x) for i, x in enumerate(labelled)]))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(table(spark, list(enumerate(texts))), model).collect()}
+    for i, t in enumerate(texts):
+        want = brute_language(t or "", labelled)
+        assert got[i][0] == want[0] and abs(got[i][1] - want[1]) < 1e-4
+
+
+def test_language_with_few_words_stays(spark):
+    rows = [(i, " ".join(f"word{i}x{k}" for k in range(50)).translate(str.maketrans("0123456789", "abcdefghij")), "big") for i in range(60)] + [(100, "zwölf böse möwen", "small")]
+    model = language_id.learn(table(spark, rows))
+    got = language_id.identify(table(spark, [(1, "böse möwen"), (2, "wordaxb")]), model).collect()
+    assert model.langs == ["big", "small"] and [r.lang_pred for r in got] == ["small", "big"]
 
 
 def test_mixing_targets(spark, odd):
@@ -201,7 +253,9 @@ def test_mixing_targets(spark, odd):
     s = r.groupby("source", dropna=False).agg(size=("source_size", "first"), target=("target", "first"), taken=("taken", "sum"))
     assert abs(s.target.sum() - r["size"].sum()) < 1e-6 and (s.target <= 3 * s["size"] + 1e-9).all()
     assert (abs(s.taken - s.target) <= 7).all() and (r.taken <= 3 * r["size"]).all()
-    assert mixing.mixed_documents(table(spark, rows)).count() == r.repeats.sum()
+    times = collections.Counter(dict(zip(r.doc_id, r.repeats, strict=True)))
+    mixed = mixing.mixed_documents(table(spark, rows))
+    assert mixed.columns == table(spark, rows).columns and collections.Counter(x.doc_id for x in mixed.collect()) == +times
 
 
 def test_bpe_equals_tiktoken(spark):
