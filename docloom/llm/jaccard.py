@@ -12,7 +12,7 @@ pair: where the parities of two counts differ, so do the sets, in one token at l
 members' parities, and classes in which a query differs from all of them are counted against the largest difference that a link allows.
 
 Steps: (1) common tokens, counted over all documents, give the order (a bounded list: it changes costs only, never
-results); (2) prefixes of all documents; tokens with one node only drop out; (3) each token's smallest and largest node lead it; nodes that
+results); (2) prefixes of all documents; tokens drop out unless two nodes have them whose sizes allow a link; (3) each token's smallest and largest node lead it; nodes that
 share enough tokens with a leader are compared with it, and components of these links form groups; (4) the matrix of tokens and groups;
 each node of a smaller group queries larger ones, and is compared with the members of those that its bounds open; (5) components of all links. Pairs inside a group are not listed. Every set is compared exactly.
 
@@ -23,6 +23,7 @@ different texts are different nodes; other input columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 from operator import add
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.components import components
-from docloom.llm.shared import discard, materialise
+from docloom.llm.shared import discard, join_each, materialise
 from docloom.shipping import ship
 
 EXTRA = 3
@@ -73,6 +74,20 @@ def _need(n: Column, num: int, den: int) -> Column:
     return F.ceil(n * num / den) if den == 1 else F.floor((n * num + den - 1) / den)
 
 
+def _size_class(num: int, den: int) -> Column:
+    """A bit for n: sizes of a link are in the same class or in neighbouring ones. Classes are numbered around 64; that only lets more pass."""
+    width = math.log(den / num) * (1 + 1e-6)
+    return F.expr(f"shiftleft(1L, cast(pmod(floor(ln(greatest(n, 1)) / {width!r}D), 64) AS int))")
+
+
+def _next_class(bits: Column | str) -> Column:
+    return F.shiftleft(bits, 1).bitwiseOR(F.shiftrightunsigned(bits, 63))
+
+
+def _previous_class(bits: Column | str) -> Column:
+    return F.shiftrightunsigned(bits, 1).bitwiseOR(F.shiftleft(bits, 63))
+
+
 def identity(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
@@ -152,11 +167,17 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     ship(docs.sparkSession)
     common = _common_tokens(docs, text_col, words)
     first = materialise(_prefixes(docs, id_col, text_col, words, num, den, common), "prefixes")
-    rows = first.select("doc_id", "n", "sig")
+    rows = materialise(first.select("doc_id", "n", "sig"), "rows")
     each = first.select(F.explode("prefix").alias("token"), "sig", "n")
-    shared = materialise(each.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token"), "shared")
-    # token, sig, n of tokens that more than one row has.
-    spots = materialise(each.join(shared, "token").distinct(), "spots")
+    # Tokens of two nodes whose sizes allow a link, with a bit for each class of sizes among their holders.
+    code = F.xxhash64("sig")
+    held = each.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.bit_or(_size_class(num, den)).alias("classes"), F.min(code).alias("lo"), F.max(code).alias("hi"))
+    crowded = F.col("c") > F.bit_count("classes")  # a class of sizes has several holders
+    shared = held.filter("lo <> hi").filter(crowded | (F.col("classes").bitwiseAND(_next_class("classes")) != 0))
+    shared = materialise(shared.select("token", "classes", crowded.alias("crowded")), "shared")
+    own = _size_class(num, den)
+    beside = F.col("classes").bitwiseAND(_next_class(own).bitwiseOR(_previous_class(own))) != 0
+    spots = materialise(each.join(shared, "token").filter(F.col("crowded") | beside).select("token", "sig", "n").distinct(), "spots")
     discard(shared)
     least = lambda n: F.least(F.lit(EXTRA), _need(n, num, den))
 
@@ -166,6 +187,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     pairs = materialise(stars.select(F.greatest("sig", "lead").alias("a"), F.least("sig", "lead").alias("b")), "pairs")
     discard(lead)
     parts = materialise(first.select("sig", "n", "parts", *ODD).join(spots.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"]), "parts")
+    discard(first)
     sets: list[DataFrame] = []
 
     def enough(common: Column, na: Column, nb: Column) -> Column:
@@ -243,11 +265,15 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, num: int = 9, den: int = 10) -> DataFrame:
     """doc_id, n_shingles, component_id, sig of every row."""
-    rows, nodes = links(docs, id_col, text_col, words, num, den)
-    rooted = materialise(rows.join(nodes, rows["sig"] == nodes["node"], "left").select("doc_id", "n", "sig", F.coalesce("root", "sig").alias("root")), "rooted")
-    lowest = materialise(rooted.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id")), "lowest")
-    full = rooted.filter("n > 0").join(lowest, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "sig")
-    return full.unionByName(rooted.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "sig"))
+    rows, roots = links(docs, id_col, text_col, words, num, den)
+    # Equal sets meet once: the smallest id of each node, then of each component.
+    nodes = rows.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("low"))
+    nodes = materialise(nodes.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")), "nodes")
+    lowest = materialise(nodes.groupBy("root").agg(F.min("low").alias("component_id")), "lowest")
+    named = materialise(join_each(nodes, lowest, "root").select("sig", "component_id"), "named")
+    full = join_each(rows, named, "sig")
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return full.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "sig")
 
 
 def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
