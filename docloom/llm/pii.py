@@ -6,7 +6,8 @@ whole per cents: a prior for the kind, a bonus for a passed checksum, and a bonu
 kind within ``context`` characters before the span (on either side for the kinds added). Base spans stay whatever their score.
 
 Defined results: a null or empty text gives no spans and the hash of the empty string; null ids and
-repeated rows pass through, one result row for each input row; other input columns are ignored.
+repeated rows pass through, one result row for each input row; an empty table gives an empty one; other input columns are ignored.
+Very long texts are scanned whole, in time proportional to their length and matches. Spans of different kinds may overlap; of one kind they never do.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.spans import joined, listed, quoted, with_spans
+from docloom.llm.spans import around, joined, listed, pieces, quoted, with_spans
 
 # Runs are taken possessively and only from their start (or the end of the match before), which
 # finds the same matches as the plain patterns in linear time and without recursion.
@@ -68,6 +69,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
     """doc_id and an array of struct<start,end,hit,score> for each kind, offsets in code points, end exclusive."""
     df = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     df = with_spans(df, "__text", {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "iban": IBAN, "ssn": SSN})
+    any_found = " OR ".join(f"size({k}) > 0" for k in KINDS)
+    df = df.withColumn("__pieces", F.expr(f"CASE WHEN {any_found} THEN {pieces('__text')} END"))
     only = lambda x: f"regexp_replace({x}, '[^0-9]', '')"
     compact = "replace(s.hit, ' ', '')"
     ip_ok = quoted(f"^{BYTE}\\.{BYTE}\\.{BYTE}\\.{BYTE}$")
@@ -80,14 +83,13 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
     for k in KINDS:
         prior, checked, near, words = SCORES[k]
         base = prior + (checked if k in ("card", "iban") else 0)
-        before = f"lower(substr(__text, greatest(1, s.start + 1 - {context}), least(s.start, {context})))"
-        after = f"lower(substr(__text, s.end + 1, {context}))"
-        found = f"{before} RLIKE '{words}'" + (f" OR {after} RLIKE '{words}'" if k not in BASE else "")
+        before, after = around("__pieces", "s.start", "s.end", context)
+        found = f"lower({before}) RLIKE '{words}'" + (f" OR lower({after}) RLIKE '{words}'" if k not in BASE else "")
         score = f"{base} + CASE WHEN {found} THEN {near} ELSE 0 END"
         df = df.withColumn(k, F.expr(f"transform(filter({k}, s -> {tests.get(k, 'true')}), s -> named_struct('start', s.start, 'end', s.end, 'hit', s.hit, 'score', {score}))"))
         if k not in BASE:
             df = df.withColumn(k, F.expr(f"filter({k}, s -> s.score >= {min_score})"))
-    return df.drop("__text")
+    return df.drop("__text", "__pieces")
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
