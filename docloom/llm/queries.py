@@ -103,15 +103,20 @@ def _op1_sql() -> str:
         "assign": (secrets.ASSIGN, "length(regexp_extract({hit}, '" + ("^" + secrets.ASSIGN).replace("'", "''") + "', 2)) >= 8"),
         "access": (secrets.ACCESS, "true"),
         "hex": (secrets.HEX, "true"),
-        "run": (f"{secrets.TOKEN}{{{secrets.WINDOW},}}", " AND ".join(f"NOT regexp_matches({{hit}}, '{p.replace('{', '{{').replace('}', '}}')}')" for p in secrets.ALLOW)),
+        "run": (f"{secrets.TOKEN}{{{secrets.WINDOW},}}", "true"),
     }
     most = "CASE " + " ".join(f"WHEN regexp_matches(hit, '{p}') THEN {secrets.limit(b)}" for p, b in secrets.CLASSES) + " END"
-    w = secrets.WINDOW
+    w, mask = secrets.WINDOW, f"regexp_replace(hit, '{secrets.UUID}', '{secrets.MASK * 36}', 'g')"
+    for word in secrets.ALLOW:
+        mask = f"replace({mask}, '{word}', '{secrets.MASK * len(word)}')"
     return f"""WITH {_spans_sql(kinds)},
-      windows AS (SELECT row, s, hit, i, {most} AS most, substr(hit, i, {w}) AS win FROM found, generate_series(1, length(hit) - {w - 1}) g(i) WHERE kind = 'run'),
+      runs AS (SELECT row, s, {most} AS most, {mask} AS hit FROM found WHERE kind = 'run'),
+      windows AS (SELECT row, s, i, most, substr(hit, i, {w}) AS win FROM runs, generate_series(1, length(hit) - {w - 1}) g(i) WHERE most >= 0 AND NOT contains(substr(hit, i, {w}), '{secrets.MASK}')),
       chars AS (SELECT row, s, i, any_value(most) AS most, ch, count(*) AS c FROM (SELECT row, s, i, most, unnest(string_split(win, '')) AS ch FROM windows) GROUP BY row, s, i, ch),
       hot AS (SELECT row, s, i FROM chars GROUP BY row, s, i HAVING sum({secrets.weights()}[c + 1]) <= any_value(most)),
-      every AS (SELECT row, kind, rank, s, e FROM found WHERE kind <> 'run' UNION ALL SELECT row, 'entropy', 3, s + min(i) - 1, s + max(i) + {w - 1} FROM hot GROUP BY row, s),
+      edges AS (SELECT *, coalesce(i - lag(i) OVER (PARTITION BY row, s ORDER BY i) > {w}, true) AS opens FROM hot),
+      islands AS (SELECT *, sum(opens::INT) OVER (PARTITION BY row, s ORDER BY i) AS island FROM edges),
+      every AS (SELECT row, kind, rank, s, e FROM found WHERE kind <> 'run' UNION ALL SELECT row, 'entropy', 3, s + min(i) - 1, s + max(i) + {w - 1} FROM islands GROUP BY row, s, island),
       {_counts_sql(secrets.BASE, "every")}, coalesce(n_entropy, 0)::BIGINT AS n_entropy FROM d LEFT JOIN agg USING (row) LEFT JOIN (SELECT row, count(*) AS n_entropy FROM every WHERE kind = 'entropy' GROUP BY row) USING (row)"""
 
 

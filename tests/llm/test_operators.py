@@ -1,3 +1,4 @@
+import base64
 import collections
 import hashlib
 import io
@@ -5,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -61,36 +63,56 @@ def test_query_equals_sql(spark, sf, name):
     assert sorted(str([r[c] for c in cols]) for r in got.collect()) == sorted(str([r[i] for i in at]) for r in want.fetchall())
 
 
-def entropy_spans(text):
-    """By fresh counts in every window."""
+def entropy_spans(text, allow=secrets.ALLOW):
+    """By fresh counts in every window, marking characters."""
     out = []
     for m in re.finditer(secrets.TOKEN + "{20,}", text):
         hit = m[0]
-        if any(re.search(p, hit) for p in secrets.ALLOW):
-            continue
         bits = next(b for p, b in secrets.CLASSES if re.search(p, hit))
-        hot = []
+        barred = {i for w in map(re.escape, allow) for x in re.finditer(w, hit) for i in range(*x.span())} | {i for x in re.finditer(secrets.UUID, hit) for i in range(*x.span())}
+        marked = set()
         for i in range(len(hit) - 19):
             c = collections.Counter(hit[i : i + 20])
-            if -sum(n / 20 * math.log2(n / 20) for n in c.values()) >= bits - 1e-9:
-                hot.append(i)
-        if hot:
-            out.append((m.start() + hot[0], m.start() + hot[-1] + 20))
+            if bits is not None and not barred & set(range(i, i + 20)) and -sum(n / 20 * math.log2(n / 20) for n in c.values()) >= bits - 1e-9:
+                marked |= set(range(i, i + 20))
+        starts = sorted(i for i in marked if i - 1 not in marked)
+        ends = sorted(i + 1 for i in marked if i + 1 not in marked)
+        out += [(m.start() + a, m.start() + b) for a, b in zip(starts, ends, strict=True)]
     return out
 
 
+def found_entropy(spark, texts, **kw):
+    return {r.doc_id: [(s.start, s.end) for s in r.entropy] for r in secrets.scan_secrets(table(spark, list(enumerate(texts))), **kw).collect()}
+
+
 def test_entropy_windows(spark):
     rng = random.Random(1)
-    alphabets = ["abcdef0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", secrets.SYMBOLS, "a1", "abcdefgh"]
+    alphabets = ["abcdef0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", secrets.SYMBOLS, "a1", "abcdefgh", "0123456789", secrets.SYMBOLS[:52], "x"]
+    spell = lambda: "".join(rng.choice(alphabets[k]) for k in rng.choices(range(8), k=3) for _ in range(rng.randint(1, 60)))
     texts = [" é ".join("".join(rng.choice(a) for _ in range(rng.randint(15, 60))) for a in rng.choices(alphabets, k=6)) for _ in range(60)]
-    got = {r.doc_id: [(s.start, s.end) for s in r.entropy] for r in secrets.scan_secrets(table(spark, list(enumerate(texts)))).collect()}
+    texts += [rng.choice(["", "example", "x" * 8, "12345678-abcd-abcd-abcd-1234567890ab"]).join(spell() for _ in range(12)) for _ in range(30)]
+    assert max(map(len, texts)) > 3 * secrets.PIECE
+    got = found_entropy(spark, texts)
     assert got == {i: entropy_spans(t) for i, t in enumerate(texts)} and any(got.values())
 
 
-def test_allow_list(spark):
-    key = "q7Gz9LmX2vTb4RkY8wNc6P"
-    d = table(spark, [(1, key)])
-    assert len(secrets.scan_secrets(d).first().entropy) == 1 and not secrets.scan_secrets(d, allow_values=(key,)).first().entropy
+def test_allow_list_and_separate_secrets(spark):
+    key, other = "q7Gz9LmX2vTb4RkY8wNc6P", "Zt5Wq8Hs1Jd4Fn7Bv0KxMy"
+    texts = [key, f"key/{key}/example/{other}", key + "a" * 500 + other, "kQzWvXjPbLmRtYcHgNfDsUoEaIqZxJ"]
+    got = found_entropy(spark, texts)
+    assert len(got[0]) == 1 and len(got[1]) == 2 and len(got[2]) == 2 and got[2][0][1] < 60 and len(got[3]) == 1
+    assert found_entropy(spark, texts[:2], allow=(*secrets.ALLOW, key)) == {0: [], 1: entropy_spans(texts[1], (*secrets.ALLOW, key))}
+
+
+def test_long_runs_and_many_matches_take_seconds(spark):
+    rng = random.Random(11)
+    blob = base64.b64encode(rng.randbytes(1_500_000)).decode()
+    began = time.time()
+    got = found_entropy(spark, [blob, "token=abcdefgh12 " * 100_000])
+    assert sum(b - a for a, b in got[0]) > 0.99 * len(blob) and not got[1]
+    r = pii_digest(table(spark, [(1, "é a.b@c.de " * 100_000)])).first()
+    assert r.n_email == 100_000 and r.spans.endswith(f"email:{11 * 99_999 + 2}:{11 * 99_999 + 10}")
+    assert time.time() - began < 120
 
 
 def test_linear_and_deep_matches(spark):
