@@ -6,7 +6,7 @@ places then wait in the index, so every word is merged in the order of the tikto
 
 Each task replays the words that it has not met before, chunk by chunk, and remembers their ids up to a bound: no shuffle, no table of words.
 
-Defined results: a null or empty text has no ids, and both hashes are of empty input; null ids and repeated rows pass through.
+Defined results: a null or empty text has no ids, and both hashes are of empty input; null ids and repeated rows pass through; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -49,6 +49,10 @@ def _ranges(kind: str, end: int) -> str:
     return "".join(out)
 
 
+#: The pattern that splitter() spells out; another one must be refused.
+SPELT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 @lru_cache
 def splitter(astral: bool) -> re.Pattern:
     """The tokenizer's pattern with its classes spelt out; texts of the basic plane use smaller, faster classes."""
@@ -195,8 +199,10 @@ def _chunks(texts: list[str | None]) -> Iterator[list[str]]:
         yield chunk
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, and the ids themselves if wanted. vocabulary: a rank file that all executors can open."""
+def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, pattern: str = SPELT) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, and the ids themselves if wanted. vocabulary: a rank file that all executors can open; pattern: the one that goes with it."""
+    if pattern != SPELT:
+        raise ValueError("the vocabulary goes with another pattern")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(vocabulary)

@@ -55,7 +55,7 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(_table(spark, sf_dir, "documents"), VOCABULARY, ids=False)
+    return encode_documents(_table(spark, sf_dir, "documents"), VOCABULARY, ids=False, pattern=public_tokenizers.PATTERN)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """Sharding over fixed virtual slots, balanced by bytes.
 
 A record's virtual slot is a hash of its id, modulo a fixed number of slots; an id that repeats with more than an eighth of a shard's bytes is dealt by the text's crc32 as well. Bytes and rows are summed for
-each slot, and a versioned table maps slots to shards. Version 1 deals the slots in turn; a rebalance edits it: slots go
-from the fullest shard to the emptiest as long as that brings the two closer. Only the map is planned on the driver; it
-has ``slots`` rows, however large the data. The law is ``bytes``: the shards' sizes are nearly equal.
+each slot, and a versioned table at a given path maps slots to shards. Version 1 deals the slots in turn; a rebalance loads the newest version, edits it and appends
+the next: slots go from the fullest shard to the emptiest as long as that brings the two closer, all others stay. Records find their shard by a join with the newest
+version. Only the map is planned on the driver; it has ``slots`` rows, however large the data. The law is ``bytes``: the shards' sizes are nearly equal.
 
 Defined results: a null text has no bytes (crc32 0), a null id hashes as the word null; equal rows share a slot, each with
 its own place; an empty table gives an empty result; other input columns are ignored.
@@ -12,21 +12,19 @@ its own place; an empty table gives an empty result; other input columns are ign
 from __future__ import annotations
 
 import bisect
+from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.shared import materialise
+from docloom.llm.shared import new_path
+from docloom.sources.store import Files
 
 SLOTS = 4096
+MAP = "slot int, shard int, bytes long, rows long, first long"
 OVERHEAD = 16
 
 
-def _lookup(values: list[int], at: Column, kind: str = "int") -> Column:
-    """values[at], from one folded literal."""
-    return F.get(F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>"), at)
-
-
 def _key(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
 
@@ -78,39 +76,61 @@ def rebalance(slot_to_shard: list[int], slot_bytes: list[int], shards: int) -> l
     return out
 
 
-def map_versions(docs: DataFrame, id_col: str, size: Column, slots: int, shards: int, versions: list[list[int]] | None = None, slot: Column | None = None) -> tuple[DataFrame, list[list[int]], list[int]]:
-    """(table of version, slot, shard, bytes, rows; the versions; rows of each slot), after a rebalance over docs."""
-    slot = virtual_slot(id_col, slots) if slot is None else slot
-    sums = docs.groupBy(slot.alias("slot")).agg(F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("rows"))
-    n_bytes, n_rows = [0] * slots, [0] * slots
-    for r in sums.collect():  # one row for each slot at most
-        n_bytes[r["slot"]], n_rows[r["slot"]] = int(r["bytes"]), int(r["rows"])
-    versions = [*(versions or [initial_map(slots, shards)])]
-    versions.append(rebalance(versions[-1], n_bytes, shards))
-    table = docs.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot"))
-    table = table.select("slot", _lookup(n_bytes, F.col("slot"), "bigint").alias("bytes"), _lookup(n_rows, F.col("slot"), "bigint").alias("rows"), F.explode(F.array(*(F.struct(F.lit(v + 1).alias("version"), _lookup(m, F.col("slot")).alias("shard")) for v, m in enumerate(versions)))).alias("m"))
-    return materialise(table.select("m.version", "slot", "m.shard", "bytes", "rows"), "slot_map"), versions, n_rows
+class SlotMap:
+    """Versions of a map below a path: version=<n> with a row (slot, shard, bytes, rows, first) for each slot. One writer at a time."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.files = spark, path, Files(spark, path)
+
+    def version(self) -> int:
+        """The newest whole version; 0 if there is none."""
+        names = [n for n in self.files.names(self.path) if n.startswith("version=") and self.files.exists(f"{self.path}/{n}/_SUCCESS")]
+        return max((int(n[8:]) for n in names), default=0)
+
+    def read(self, version: int | None = None) -> DataFrame:
+        return self.spark.read.schema(MAP).parquet(f"{self.path}/version={version or self.version()}")
 
+    def append(self, shard_of: list[int], n_bytes: list[int], n_rows: list[int]) -> int:
+        filled, rows = defaultdict(int), []
+        for slot, (shard, b, n) in enumerate(zip(shard_of, n_bytes, n_rows, strict=True)):
+            rows.append((slot, shard, b, n, filled[shard]))
+            filled[shard] += n
+        version = self.version() + 1
+        self.spark.createDataFrame(rows, MAP).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/version={version}")
+        return version
 
-def shard_by_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot (the row's place in its shard, gapless from 0), grown_shard, virtual_slot, map_version."""
+    def rebalance(self, sums: DataFrame, slots: int, shards: int) -> int:
+        """Append the version that fits sums (slot, bytes, rows); slots of shards that are no more are dealt in turn first."""
+        n_bytes, n_rows = [0] * slots, [0] * slots
+        for r in sums.collect():  # one row for each slot at most
+            n_bytes[r["slot"]], n_rows[r["slot"]] = int(r["bytes"]), int(r["rows"])
+        if not self.version():
+            self.append(initial_map(slots, shards), [0] * slots, [0] * slots)
+        old = [r["shard"] for r in self.read().orderBy("slot").collect()]
+        if len(old) != slots:
+            raise ValueError("the stored map has another number of slots")
+        old = [k if k < shards else slot % shards for slot, k in enumerate(old)]
+        return self.append(rebalance(old, n_bytes, shards), n_bytes, n_rows)
+
+
+def shard_by_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot (the row's place in its shard, gapless from 0), grown_shard, virtual_slot, map_version.
+
+    map_path: where the map's versions are kept from one call to the next; a new path if none is given.
+    """
+    spark = docs.sparkSession
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long") + OVERHEAD
     crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
     at = virtual_slot(id_col, slots, hot_ids(docs, id_col, size, slots, shards), crc)
-    _, versions, n_rows = map_versions(docs, id_col, size, slots, shards, slot=at)
-    now = versions[-1]
-    first, filled = [0] * slots, [0] * shards
-    for s in range(slots):
-        first[s], filled[now[s]] = filled[now[s]], filled[now[s]] + n_rows[s]
-    df = docs.select(
-        F.col(id_col).alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), at.alias("virtual_slot")
-    )
-    # Places are counted within virtual slots, thousands of small windows, and start where the slots before end.
+    slot_map = SlotMap(spark, map_path or new_path(spark, "slot_map"))
+    sums = docs.groupBy(at.alias("slot")).agg(F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("rows"))
+    version = slot_map.rebalance(sums, slots, shards)
+    now = slot_map.read(version).select(F.col("slot").alias("virtual_slot"), "shard", "first")
+    df = docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), at.alias("virtual_slot"))
+    # Places are counted within virtual slots, thousands of small windows, and start where the shard's slots before end.
     place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "size", "text_crc32")) - 1
-    df = df.withColumn("place", place)
+    df = df.withColumn("place", place).join(now, "virtual_slot")
     return df.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"),
-        _lookup(now, F.col("virtual_slot")).alias("shard"),
-        (_lookup(first, F.col("virtual_slot"), "bigint") + F.col("place")).alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(len(versions)).alias("map_version"),
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("place")).alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(version).alias("map_version"),
     )

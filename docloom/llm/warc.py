@@ -2,8 +2,8 @@
 
 Writing: pages with equal payloads of at least ``min_revisit`` bytes become one response, that with the largest id, and
 revisits of it; every task writes archives of bounded size to the shared folder, under names of its own, and a manifest lists those of
-tasks that succeeded. Reading: an archive's bytes go through an incremental inflater piece by piece; each member is one record, framed by
-Content-Length, whose block and payload digests must hold.
+tasks that succeeded. Payloads are equal by SHA-256 and length. Reading: an archive's bytes go through an incremental inflater piece by piece; each member is one record, framed by
+Content-Length, whose stated block and payload digests must hold; records of other writers and of other types are read too.
 
 Defined results: null html is an empty payload; a null id is written as the word null and is never the largest; rows tied at the
 largest id are all responses; a null url is empty; an empty table gives an empty result; other input columns are ignored.
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -80,32 +81,56 @@ def members(stream) -> Iterator[bytes]:
         raise ValueError("the archive ends within a record")
 
 
+def _digest_holds(stated: str | None, data: bytes) -> bool:
+    """Of sha1 and sha256 in base 32 or hexadecimal; a digest that is not stated, or of another kind, holds."""
+    kind, _, value = (stated or "").strip().partition(":")
+    if kind.lower() not in ("sha1", "sha256"):
+        return True
+    raw = hashlib.new(kind.lower(), data).digest()
+    return value.lower() in (raw.hex(), base64.b32encode(raw).decode().rstrip("=").lower())
+
+
+def _page(record_id: str | None) -> int | None:
+    """The page that this module's writer put into a record's id; ids of other writers name none."""
+    hit = re.fullmatch("<urn:page:(-?[0-9]+)>", record_id or "")
+    return int(hit[1]) if hit else None
+
+
 def parse(data: bytes) -> dict:
-    """The fields of a record after framing and digests are verified; payload is None for a revisit."""
+    """The fields of a record after framing and the stated digests are verified; payload is None for a revisit.
+
+    Only type and Content-Length are needed: warcinfo, request and other records are read as well, with their block as payload unless it is HTTP.
+    """
     head, sep, rest = data.partition(b"\r\n\r\n")
-    version, *lines = head.decode().split("\r\n")
+    version, *lines = head.decode("utf-8", "replace").split("\r\n")
     if not sep or not version.startswith("WARC/"):
         raise ValueError("not a WARC record")
-    f = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines)}
-    n = int(f["content-length"])
+    f = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+    name, n = f.get("warc-record-id"), int(f["content-length"])
     block = rest[:n]
     if len(block) != n or rest[n:] != b"\r\n\r\n":
-        raise ValueError(f"{f['warc-record-id']}: Content-Length does not frame the block")
-    if _sha1(block) != f["warc-block-digest"]:
-        raise ValueError(f"{f['warc-record-id']}: block digest")
-    http, _, payload = block.partition(b"\r\n\r\n")
-    length = next(int(x[16:]) for x in http.decode().split("\r\n") if x.startswith("Content-Length: "))
-    revisit = f["warc-type"] == "revisit"
-    if not revisit and (len(payload) != length or _sha1(payload) != f["warc-payload-digest"]):
-        raise ValueError(f"{f['warc-record-id']}: payload digest")
-    of = lambda x: None if x in (None, "<urn:page:null>") else int(x[10:-1])
+        raise ValueError(f"{name}: Content-Length does not frame the block")
+    if not _digest_holds(f.get("warc-block-digest"), block):
+        raise ValueError(f"{name}: block digest")
+    revisit, payload, length = f["warc-type"] == "revisit", block, None
+    if "application/http" in f.get("content-type", "") or block.startswith(b"HTTP/") or f["warc-type"] == "request":
+        http, _, payload = block.partition(b"\r\n\r\n")
+        stated = (x.partition(":") for x in http.decode("latin-1").split("\r\n")[1:])
+        length = next((int(v) for k, _, v in stated if k.strip().lower() == "content-length" and v.strip().isdigit()), None)
+    if not revisit:
+        if length is not None and f["warc-type"] == "response" and len(payload) != length or not _digest_holds(f.get("warc-payload-digest"), payload):
+            raise ValueError(f"{name}: payload digest")
+        digest, length = hashlib.sha1(payload).hexdigest(), len(payload)
+    else:
+        kind, _, value = f.get("warc-payload-digest", "").partition(":")
+        digest = base64.b32decode(value.upper()).hex() if kind == "sha1" and len(value) == 32 else value.lower() or None
     return {
-        "page_id": of(f["warc-record-id"]),
-        "url": f["warc-target-uri"],
+        "page_id": _page(name),
+        "url": f.get("warc-target-uri"),
         "payload_bytes": length,
-        "payload_digest": base64.b32decode(f["warc-payload-digest"][5:]).hex(),
+        "payload_digest": digest,
         "record_type": f["warc-type"],
-        "refers_to": of(f.get("warc-refers-to")),
+        "refers_to": _page(f.get("warc-refers-to")),
         "payload": None if revisit else payload,
     }
 
@@ -120,9 +145,9 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     """Archives in folder, a URI that all executors can write to; returns the manifest: path, records."""
     ship(pages.sparkSession)
     html = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    p = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), html.alias("html")).withColumn("sha", F.sha1("html"))
+    p = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), html.alias("html")).withColumn("sha", F.sha2("html", 256))
     size = F.octet_length("html")
-    small = pages.select(F.col(id_col).cast("long").alias("id"), html.alias("html")).select("id", F.sha1("html").alias("sha"), size.alias("n")).filter(F.col("n") >= min_revisit)
+    small = pages.select(F.col(id_col).cast("long").alias("id"), html.alias("html")).select("id", F.sha2("html", 256).alias("sha"), size.alias("n")).filter(F.col("n") >= min_revisit)
     # Only payloads that occur more than once are in the table; Spark knows its written size.
     again = materialise(small.groupBy("sha", "n").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"), "again")
     p = p.withColumn("n", size).join(again, ["sha", "n"], "left").select("id", "url", "html", F.when(~F.col("id").eqNullSafe(F.col("keep")), F.col("keep")).alias("refers_to"))
