@@ -67,28 +67,29 @@ def is_single(text: Column, hint: int = HINT) -> Column:
 
 
 def chunks(text: Column, size: int = SIZE, overlap: int = OVERLAP, hint: int = HINT) -> Column:
-    """array<string>; only texts longer than the hint pass through Python."""
+    """array<string> of a stripped text; only texts longer than the hint pass through Python."""
 
     @F.pandas_udf("array<string>")
     def split(s: pd.Series) -> pd.Series:
         return s.map(lambda t: [] if not t else split_text(t, size, overlap))
 
-    t = strip(text)
-    long_only = F.when(F.length(t) > hint, t)
-    return F.when(F.length(t) == 0, F.array().cast("array<string>")).when(F.length(t) <= hint, F.array(t)).otherwise(split(long_only))
+    # Marked so, it is evaluated where it stands and not again in filters that the optimiser derives.
+    split = split.asNondeterministic()
+    long_only = F.when(F.length(text) > hint, text)
+    return F.when(F.length(text) == 0, F.array().cast("array<string>")).when(F.length(text) <= hint, F.array(text)).otherwise(split(long_only))
 
 
 def with_chunks(df: DataFrame, text: str = "text", **sizes: int) -> DataFrame:
     """One row for each chunk: chunk_index from 0, n_chunks of the document, document."""
-    cut = df.withColumn("__chunks", chunks(F.col(text), **sizes))
-    return cut.withColumn("n_chunks", F.size("__chunks")).select("*", F.posexplode("__chunks").alias("chunk_index", "document")).drop("__chunks")
+    cut = df.withColumn("__text", strip(F.col(text))).withColumn("__chunks", chunks(F.col("__text"), **sizes))
+    return cut.withColumn("n_chunks", F.size("__chunks")).select("*", F.posexplode("__chunks").alias("chunk_index", "document")).drop("__chunks", "__text")
 
 
 def with_page_chunks(df: DataFrame, pages: str = "pages", **sizes: int) -> DataFrame:
     """No chunk spans pages; index and count run over the whole document (array<struct<page,text>>)."""
     numbered = df.withColumn("__r", F.monotonically_increasing_id())  # before the explode: one number for each document
     cut = numbered.select(*[c for c in df.columns if c != pages], "__r", F.posexplode(pages).alias("__p", "__page"))
-    cut = cut.withColumn("__chunks", chunks(F.col("__page.text"), **sizes))
+    cut = cut.withColumn("__text", strip(F.col("__page.text"))).withColumn("__chunks", chunks(F.col("__text"), **sizes))
     whole = cut.groupBy("__r", *[c for c in df.columns if c != pages]).agg(F.sort_array(F.collect_list(F.struct("__p", F.col("__page.page").alias("page"), "__chunks"))).alias("__all"))
     flat = F.flatten(F.transform("__all", lambda p: F.transform(p["__chunks"], lambda c: F.struct(p["page"].alias("page"), c.alias("document")))))
     out = whole.withColumn("__flat", flat).withColumn("n_chunks", F.size("__flat"))

@@ -28,7 +28,7 @@ def statistics(changed: DataFrame, chunks: DataFrame) -> DataFrame:
     docs = changed.agg(
         F.count_if(F.col("status") == "ok").alias("indexed"),
         F.count_if(F.col("status") != "ok").alias("skipped"),
-        F.lit(0).cast("long").alias("failed"),
+        F.lit(0).cast("long").alias("failed"),  # a build that fails publishes nothing, so none is counted
         F.coalesce(F.sum(F.when(F.col("change") == "reuse", F.col("old_chunks"))), F.lit(0)).alias("reused_chunks"),
         F.count_if(F.col("change") == "reuse").alias("reused"),
         F.count_if(F.col("status") == "lfs_pointer").alias("lfs_pointer"),
@@ -48,9 +48,10 @@ def build_index(docs: DataFrame, store: ChunkStore, collection: str, kind: Kind,
 
     Chunks of files that vanished or that are skipped now stay, as orphans() shows. A failed job publishes nothing.
     """
-    if reset or not store.exists(collection):
-        store.reset(collection)
+    new = reset or not store.exists(collection)
     existing = store.read(collection)
+    if new:
+        existing = existing.limit(0)
     changed = changes(docs, existing).persist()
     try:
         todo = changed.filter(F.col("change").isin("new", "replace"))
@@ -58,7 +59,7 @@ def build_index(docs: DataFrame, store: ChunkStore, collection: str, kind: Kind,
         try:
             kept = existing.join(todo.select("source_path"), "source_path", "left_anti")
             stats = statistics(changed, made).first().asDict()
-            if stats["embedded_chunks"] or todo.limit(1).count():
+            if new or stats["embedded_chunks"] or todo.limit(1).count():
                 columns = [c for c in existing.columns if c in made.columns]
                 store.write(collection, kept.unionByName(made.select(*columns), allowMissingColumns=True))
         finally:

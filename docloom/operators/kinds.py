@@ -42,9 +42,9 @@ class Kind:
         return F.struct(*(F.col(c) for c in self.public if c in columns))
 
 
-INVENTION = Kind("invention", (".md",), ("title", "year", "category", "author", "doc_type"), ("title", "year", "category", "doc_type"), parsed=True)
+INVENTION = Kind("invention", (".md",), ("title", "year", "category", "author", "doc_type"), ("title", "year", "category", "doc_type"), parsed=True, creatable=False)
 PLAIN = Kind("plain", (".md", ".txt"), ("title",), ("title",))
-MANAGED = Kind("easyflow", (".md", ".txt"), ("title", "source_id", "source_version_id", "operation_id", "page", "anchor"), ("title", "source_id", "source_version_id", "page", "anchor"), creatable=False)
+MANAGED = Kind("easyflow", (".md", ".txt"), ("title", "source_id", "source_version_id", "operation_id", "page", "anchor"), ("title", "source_id", "source_version_id", "page", "anchor"))
 KINDS = {k.name: k for k in (INVENTION, PLAIN, MANAGED)}
 
 

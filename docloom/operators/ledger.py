@@ -18,65 +18,94 @@ LEASE_SECONDS = 300
 LOCKOUT_FAILURES, LOCKOUT_SECONDS = 8, 300
 DEFAULT_RPM = 120
 
-REQUEST = "seq long, service_id string, corpus string, source_id string, kind string, revision long, idempotency_key string, source_version_id string, checksum string, content_hash string, enabled boolean"
+REQUEST = (
+    "seq long, service_id string, corpus string, source_id string, kind string, revision long, idempotency_key string, source_version_id string, checksum string, "
+    "content_hash string, enabled boolean, queue_full boolean, job long, error string"
+)
 OUTCOME = REQUEST + ", outcome string, job_seq long, revision_after long, enabled_after boolean, deleted_after boolean, active_job_after long"
 
 
-def fold_source(requests: pd.DataFrame) -> pd.DataFrame:
+class Source:
+    """One source's state, and what a request or the end of a job does to it."""
+
+    def __init__(self):
+        self.owner, self.revision, self.enabled, self.deleted, self.active = None, None, False, False, None
+        self.keys: dict[tuple, tuple] = {}
+        self.versions: dict[str, str] = {}
+        self.open: dict[int, tuple[str, int]] = {}  # job -> kind, revision
+
+    def submit(self, r: dict) -> tuple[str, int | None]:
+        """(outcome, job). A refused request leaves the state as it was."""
+        known = self.keys.get((r["service_id"], r["idempotency_key"]))
+        if known:
+            return ("replay", known[0]) if known[1] == r["checksum"] else ("key_conflict", None)
+        refusal = self._refusal(r)
+        if refusal:
+            return refusal, None
+        job, kind = r["seq"], r["kind"]
+        self.owner, self.revision = r["service_id"], r["revision"]
+        self.keys[r["service_id"], r["idempotency_key"]] = (job, r["checksum"])
+        self.open[job] = (kind, r["revision"])
+        if kind == "index":
+            self.versions.setdefault(r["source_version_id"], r["content_hash"])
+        else:  # visible at once; an old version stays while a new one is made
+            self.enabled, self.deleted = kind == "state" and bool(r["enabled"]), kind == "delete"
+        return "accepted", job
+
+    def _refusal(self, r: dict) -> str | None:
+        if self.owner is not None:
+            if self.owner != r["service_id"]:
+                return "not_found"
+            if r["revision"] <= self.revision:
+                return "stale"
+        if r["queue_full"]:
+            return "rate_limited"
+        if r["kind"] == "index":
+            return "version_conflict" if self.versions.get(r["source_version_id"], r["content_hash"]) != r["content_hash"] else None
+        if r["kind"] == "state" and r["enabled"] and (self.active is None or self.deleted):
+            return "no_active_version"
+        return None
+
+    def finish(self, job: int, error: str | None) -> str:
+        """succeeded, superseded by a later request, failed, or unknown if no such job is under way."""
+        if job not in self.open:
+            return "unknown"
+        kind, revision = self.open.pop(job)
+        if error:
+            return "failed"
+        if revision != self.revision:
+            return "superseded"
+        if kind == "index":
+            self.active, self.enabled, self.deleted = job, True, False
+        return "succeeded"
+
+
+def fold_source(requests: pd.DataFrame, at_once: bool = True) -> pd.DataFrame:
     """The outcome of each request of one source, in order of arrival, and the state after it.
 
-    Checks: replay, ownership, staleness, immutable versions, enabling. Any failure leaves the state as it was. An accepted index
-    request keeps the old version visible; its job then succeeds at once unless a later request of the same batch supersedes it.
+    Rows of kind finish say that ``job`` ended, with an error's class name or none; with at_once, jobs need no such rows and end when they are accepted.
     """
-    rows = requests.sort_values("seq").to_dict("records")
-    owner, revision, enabled, deleted, active = None, None, True, False, None
-    seen: dict[tuple, tuple] = {}
-    versions: dict[str, str] = {}
-    pending: list[tuple[int, int]] = []
-    out = []
-
-    def settle() -> None:
-        nonlocal active, deleted
-        for job, rev in pending:
-            if rev == revision:
-                active, deleted = job, False
-        pending.clear()
-
-    for r in rows:
-        key = (r["service_id"], r["idempotency_key"])
-        job = r["seq"]
-        if key in seen:
-            first, checksum = seen[key]
-            outcome, job = ("replay", first) if checksum == r["checksum"] else ("key_conflict", None)
-        elif owner is not None and owner != r["service_id"]:
-            outcome, job = "not_found", None
-        elif revision is not None and r["revision"] <= revision:
-            outcome, job = "stale", None
-        elif r["kind"] == "index" and versions.get(r["source_version_id"], r["content_hash"]) != r["content_hash"]:
-            outcome, job = "version_conflict", None
-        elif r["kind"] != "index" and owner is None:
-            outcome, job = "not_found", None
-        elif r["kind"] == "state" and r["enabled"] and (active is None or deleted):
-            outcome, job = "no_active_version", None
+    source, out = Source(), []
+    nothing = lambda x: x is None or x is pd.NA or x != x
+    for r in requests.sort_values("seq").to_dict("records"):
+        r = {k: None if nothing(v) else v for k, v in r.items()}
+        if r["kind"] == "finish":
+            outcome, job = source.finish(int(r["job"]), r["error"]), int(r["job"])
         else:
-            outcome, owner, revision = "accepted", r["service_id"], r["revision"]
-            seen[key] = (job, r["checksum"])
-            if r["kind"] == "index":
-                versions.setdefault(r["source_version_id"], r["content_hash"])
-                pending.append((job, revision))
-                settle()
-            elif r["kind"] == "state":
-                enabled = bool(r["enabled"])
-            else:
-                deleted, enabled = True, False
-        out.append({**r, "outcome": outcome, "job_seq": job, "revision_after": revision, "enabled_after": enabled, "deleted_after": deleted, "active_job_after": active})
+            outcome, job = source.submit(r)
+            if at_once and outcome == "accepted":
+                source.finish(job, None)
+        out.append({**r, "outcome": outcome, "job_seq": job, "revision_after": source.revision, "enabled_after": source.enabled, "deleted_after": source.deleted, "active_job_after": source.active})
     names = [x.split()[0] for x in OUTCOME.split(", ")]
-    return pd.DataFrame(out, columns=names).astype({c: "Int64" for c in ("job_seq", "revision_after", "active_job_after")})
+    return pd.DataFrame(out, columns=names).astype({c: "Int64" for c in ("revision", "job", "job_seq", "revision_after", "active_job_after")})
 
 
-def fold(requests: DataFrame) -> DataFrame:
+def fold(requests: DataFrame, at_once: bool = True) -> DataFrame:
+    """Columns of REQUEST that requests lacks are null: queue_full is pending_full() of the service when the request came."""
     ship(requests.sparkSession)
-    return requests.groupBy("corpus", "source_id").applyInPandas(lambda p: fold_source(p), OUTCOME)
+    have = set(requests.columns)
+    full = requests.select(*(F.col(n) if n in have else F.lit(None).cast(t).alias(n) for n, t in (x.split() for x in REQUEST.split(", "))))
+    return full.groupBy("corpus", "source_id").applyInPandas(lambda p: fold_source(p, at_once), OUTCOME)
 
 
 def latest_state(outcomes: DataFrame) -> DataFrame:
@@ -157,6 +186,11 @@ def active_jobs(sources: DataFrame) -> DataFrame:
     return sources.filter("enabled AND NOT deleted AND active_job IS NOT NULL")
 
 
+def latest_active(jobs: DataFrame) -> DataFrame:
+    """Of each corpus, its newest job that is queued or running."""
+    return latest_by(jobs.filter(F.col("status").isin("queued", "running")), "corpus_id")
+
+
 def recent(events: DataFrame, n: int, order: str = "seq") -> DataFrame:
     return events.orderBy(F.col(order).desc()).limit(n)
 

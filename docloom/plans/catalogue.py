@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as X
 from docloom.functions.chunking import is_single, with_chunks, with_page_chunks
 from docloom.functions.embedding import CharBucketEmbedder, embed_query, embedded
-from docloom.operators import index, ledger, search
+from docloom.operators import index, ledger, managed, search
 from docloom.operators.kinds import INVENTION, PLAIN, compile_where
 from docloom.shipping import ship
 from docloom.sources import files, store
@@ -55,7 +55,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     return d.select(
-        "doc_id", "source", "text",
+        "doc_id", "source", "text", "lang",
         X.source_path(F.col("source"), F.col("doc_id").cast("string")).alias("source_path"),
         F.when(F.col("doc_id") % 10 == 0, "advisor").otherwise("main").alias("doc_type"),
         (1979 + F.col("doc_id") % 39).cast("int").alias("year"),
@@ -66,10 +66,8 @@ DOCS = "docs AS (SELECT *, source || '/' || doc_id AS source_path, CASE WHEN doc
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunks: vec_id in document label, n_chunks of the document."""
-    e = table(spark, sf, "embeddings")
-    n = e.groupBy("label").agg(F.count(F.lit(1)).cast("int").alias("n_chunks"))
-    return e.join(n, "label").withColumn("doc_type", F.when(F.col("vec_id") % 10 == 0, "advisor").otherwise("main"))
+    """Chunks: vec_id in document label."""
+    return table(spark, sf, "embeddings").withColumn("doc_type", F.when(F.col("vec_id") % 10 == 0, "advisor").otherwise("main"))
 
 
 def first_vector(spark: SparkSession, sf: str) -> list[float]:
@@ -103,6 +101,12 @@ def _hits(spark: SparkSession, sf: str, where=None) -> DataFrame:
     return search.top_chunks(vectors(spark, sf), search.literal_vector(first_vector(spark, sf)), HITS, "vec_id", where)
 
 
+def _sized(spark: SparkSession, sf: str, hits: DataFrame) -> DataFrame:
+    """Hits with n_chunks of their documents: the few hits are ranked first, and their labels alone are counted."""
+    mine = table(spark, sf, "embeddings").select("label").join(hits.select("label").distinct(), "label", "left_semi")
+    return hits.join(mine.groupBy("label").agg(F.count(F.lit(1)).cast("int").alias("n_chunks")), "label")
+
+
 # --- search ---------------------------------------------------------------------------------------
 
 
@@ -113,34 +117,25 @@ def search_topk_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_docs_sql())
 def search_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return _ranked(_hits(spark, sf))
+    return _ranked(_hits(spark, sf).withColumn("n_chunks", F.lit(1)))  # without a length penalty, counts play no part
 
 
 @query(_docs_sql("WHERE doc_type = 'main'"))
 def search_documents_filtered(spark: SparkSession, sf: str) -> DataFrame:
-    return _ranked(_hits(spark, sf, compile_where({"$and": [{"doc_type": "main"}]})))
+    return _ranked(_hits(spark, sf, compile_where({"$and": [{"doc_type": "main"}]})).withColumn("n_chunks", F.lit(1)))
 
 
 @query(_docs_sql(c=0.05))
 def search_documents_length_norm(spark: SparkSession, sf: str) -> DataFrame:
-    return _ranked(_hits(spark, sf), 0.05)
+    return _ranked(_sized(spark, sf, _hits(spark, sf)), 0.05)
 
 
-@query(f"""WITH qs AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings ORDER BY vec_id LIMIT 64),
+@query(f"""WITH qs AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 50 = 0),
     hits AS (SELECT query_id, vec_id, 1 - list_cosine_similarity(embedding::DOUBLE[], qv) AS distance,
       row_number() OVER (PARTITION BY query_id ORDER BY 1 - list_cosine_similarity(embedding::DOUBLE[], qv), vec_id) AS rank FROM embeddings, qs QUALIFY rank <= 5)
     SELECT query_id, rank::INT AS rank, {ROUND.format(SIM)} AS similarity FROM hits""")
 def search_batch(spark: SparkSession, sf: str) -> DataFrame:
-    """64 queries in one pass. Copies tie within rounding errors, so ids are left out."""
-    e = table(spark, sf, "embeddings")
-    qs = e.orderBy("vec_id").limit(64).select(F.col("vec_id").alias("query_id"), "embedding")
-    hits = search.top_chunks_batch(e, qs, 5)
-    return hits.select("query_id", "rank", X.round4(X.similarity(F.col("distance"))).alias("similarity"))
-
-
-@query()
-def search_batch_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Every id divisible by 50 is a query, against all rows."""
+    """Every id divisible by 50 is a query, against all rows. Copies tie within rounding errors, so ids are left out."""
     e = table(spark, sf, "embeddings")
     qs = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     hits = search.top_chunks_batch(e, qs, 5)
@@ -216,14 +211,14 @@ NAME = "CASE WHEN doc_id % 3 = 2 THEN 'note ' || doc_id || '.md' ELSE year || '-
       CASE WHEN hit THEN regexp_replace(g.t, '\\s*\\(지도논문\\)\\s*$', '') ELSE regexp_replace(name, '\\.[^.]*$', '') END AS title,
       CASE WHEN regexp_matches(CASE WHEN hit THEN g.t ELSE name END, '\\(지도논문\\)\\s*$') THEN '지도논문' ELSE '작품설명서' END AS doc_type FROM p""")
 def filename_parse(spark: SparkSession, sf: str) -> DataFrame:
-    d = documents(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
-    named = d.select("doc_id", F.expr(NAME.replace("||", "||")).alias("name"))
+    named = documents(spark, sf).select("doc_id", F.expr(NAME).alias("name"))
     return named.select("doc_id", *(c.alias(n) for n, c in X.parse_filename(F.col("name")).items()))
 
 
-@query("SELECT doc_id, length(text) > 0 AND length(text) <= 5500 AS single, (length(text) / 1.2)::DOUBLE::BIGINT IS NOT NULL AS counted FROM documents")
+@query(f"WITH s AS (SELECT doc_id, {STRIP_SQL} AS t FROM documents) SELECT doc_id, length(t) > 0 AND length(t) <= 5500 AS single, (trunc(length(t)::DOUBLE / 1.2::DOUBLE) + 1)::INT AS tokens FROM s")
 def single_chunk_branch(spark: SparkSession, sf: str) -> DataFrame:
-    return documents(spark, sf).select("doc_id", is_single(F.col("text")).alias("single"), X.estimated_tokens(F.col("text")).isNotNull().alias("counted"))
+    t = X.strip(F.col("text"))
+    return documents(spark, sf).select("doc_id", is_single(t).alias("single"), X.estimated_tokens(t).alias("tokens"))
 
 
 @query()
@@ -310,10 +305,11 @@ def incremental_diff(spark: SparkSession, sf: str) -> DataFrame:
     return _changes(spark, sf).select("source_path", F.coalesce("change", F.lit("skip")).alias("change"))
 
 
-@query(f"WITH {DOCS}, {SNAP}, {DIFF} SELECT count(*) FILTER (ok) AS indexed, count(*) FILTER (NOT ok) AS skipped, 0::BIGINT AS failed, count(*) FILTER (change = 'reuse') AS reused, 0::BIGINT AS lfs_pointer FROM diff")
+@query(f"WITH {DOCS}, {SNAP}, {DIFF} SELECT count(*) FILTER (ok) AS indexed, count(*) FILTER (NOT ok) AS skipped, count(*) FILTER (change IS NOT NULL) AS total_chunks, count(*) FILTER (change IN ('new', 'replace')) AS embedded_chunks, count(*) FILTER (change = 'reuse') AS reused, (SELECT count(*) FROM docs WHERE starts_with(text, '{X.LFS_PREFIX}')) AS lfs_pointer FROM diff")
 def index_statistics(spark: SparkSession, sf: str) -> DataFrame:
     changed = _changes(spark, sf)
-    return index.statistics(changed, changed.filter("change IN ('new', 'replace')")).select("indexed", "skipped", "failed", "reused", "lfs_pointer")
+    # Each document stands for one chunk here.
+    return index.statistics(changed, changed.filter("change IN ('new', 'replace')")).select("indexed", "skipped", "total_chunks", "embedded_chunks", "reused", "lfs_pointer")
 
 
 @query(f"WITH {DOCS}, {SNAP} SELECT source_path FROM snap WHERE source_path NOT IN (SELECT source_path FROM docs WHERE source <> 'src1')")
@@ -412,12 +408,26 @@ def version_conflict(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def active_versions(spark: SparkSession, sf: str) -> DataFrame:
     """The whole protocol over every request, then each source's state."""
-    return ledger.latest_state(ledger.fold(requests(spark, sf)))
+    return ledger.latest_state(ledger.fold(every_kind(spark, sf), at_once=False))
 
 
 @query()
 def protocol_outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    return ledger.fold(requests(spark, sf)).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    return ledger.fold(every_kind(spark, sf), at_once=False).groupBy("kind", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+def every_kind(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests of all kinds: event types decide them, revisions rise with time, a few are stale; every third event ends a job, some of them with an error."""
+    at = F.row_number().over(Window.partitionBy("source_id").orderBy("seq"))
+    kind = F.when(F.col("n") % 3 == 0, "finish").when(F.col("source_version_id") == "error", "delete").when(F.col("source_version_id").isin("view", "click"), "state").otherwise("index")
+    before = F.lag("seq").over(Window.partitionBy("source_id").orderBy("seq"))
+    r = requests(spark, sf).withColumn("n", at).withColumn("job", before).withColumn("kind", kind)
+    return r.select(
+        "seq", F.when(F.col("seq") % 41 == 0, "other").otherwise("svc").alias("service_id"), "corpus", "source_id", "kind", (F.col("n") - F.when(F.col("seq") % 13 == 0, 5).otherwise(0)).cast("long").alias("revision"),
+        F.concat("idempotency_key", F.lit("-"), F.col("n") - F.col("n") % 7).alias("idempotency_key"), F.concat("source_version_id", F.lit("-"), (F.col("seq") % 17).cast("string")).alias("source_version_id"), "checksum", "content_hash",
+        (F.col("source_version_id") == "click").alias("enabled"), (F.col("seq") % 29 == 0).alias("queue_full"), F.when(F.col("kind") == "finish", F.col("job")).alias("job"),
+        F.when((F.col("kind") == "finish") & (F.col("seq") % 5 == 0), "TimeoutError").alias("error"),
+    )
 
 
 def jobs(spark: SparkSession, sf: str) -> DataFrame:
@@ -513,14 +523,20 @@ def dashboard(spark: SparkSession, sf: str) -> DataFrame:
     return d.join(j, "source", "left").select("source", "documents", "chars", F.coalesce("job", F.lit(-1)).alias("job"))
 
 
-@query(f"WITH {DOCS} SELECT doc_id, year, '제목: ' || doc_id || ' | 분야: ' || source || chr(10) || substr(text, 1, 20) AS invention, '제목: ' || doc_id || chr(10) || substr(text, 1, 20) AS plain FROM docs")
-def embed_texts(spark: SparkSession, sf: str) -> DataFrame:
-    d = documents(spark, sf).select("doc_id", X.decode_year(X.encode_year(F.col("year"))).alias("year"), F.col("doc_id").cast("string").alias("title"), F.col("source").alias("category"), F.substring("text", 1, 20).alias("t"))
-    return d.select("doc_id", "year", INVENTION.embed_text(F.col("t")).alias("invention"), PLAIN.embed_text(F.col("t")).alias("plain"))
-
-
 @query(f"WITH {DOCS} SELECT doc_id, year, sha256('제목: ' || doc_id || ' | 분야: ' || source || chr(10) || text) AS invention_sha256, sha256('제목: ' || doc_id || chr(10) || text) AS plain_sha256 FROM docs")
-def embed_texts_whole(spark: SparkSession, sf: str) -> DataFrame:
+def embed_texts(spark: SparkSession, sf: str) -> DataFrame:
     """The strings to embed, of title and whole text, as hashes."""
     d = documents(spark, sf).select("doc_id", X.decode_year(X.encode_year(F.col("year"))).alias("year"), F.col("doc_id").cast("string").alias("title"), F.col("source").alias("category"), "text")
     return d.select("doc_id", "year", F.sha2(INVENTION.embed_text(F.col("text")), 256).alias("invention_sha256"), F.sha2(PLAIN.embed_text(F.col("text")), 256).alias("plain_sha256"))
+
+
+@query("""WITH p AS (SELECT conv_id, turn, text FROM conversations WHERE trim(coalesce(text, '')) <> ''), n AS (SELECT conv_id, count(*)::INT AS n FROM p GROUP BY conv_id)
+    SELECT c.conv_id || '::' || (row_number() OVER (PARTITION BY c.conv_id ORDER BY turn, text) - 1) AS chunk_id, n.n AS n_chunks, (turn + 1)::INT AS page FROM p c JOIN n USING (conv_id)
+    WHERE c.conv_id % 3 > 0 AND c.conv_id % 4 > 0""")
+def rebuild_managed(spark: SparkSession, sf: str) -> DataFrame:
+    """The chunks that a rebuild of managed sources embeds: those of active, undeleted versions. Pages here are short: one chunk each."""
+    key = F.col("conv_id").cast("string")
+    jobs = paged(spark, sf).select(key.alias("job"), key.alias("source_id"), F.lit("index").alias("kind"), F.lit(1).cast("long").alias("revision"), F.lit("v").alias("source_version_id"), key.alias("title"), F.lit("h").alias("payload_hash"), "pages", "conv_id")
+    states = jobs.select(F.when(F.col("conv_id") % 3 > 0, F.col("job")).alias("active_job"), (F.col("conv_id") % 4 == 0).alias("deleted"))
+    active = ledger.rebuild_jobs(jobs.drop("conv_id").withColumnRenamed("job", "seq"), states).withColumnRenamed("seq", "job")
+    return managed.job_chunks(active, "easyflow", CharBucketEmbedder(DIM)).select("chunk_id", "n_chunks", "page")

@@ -7,6 +7,7 @@ All file access goes through Hadoop's file system, so the root may be on any sto
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,15 +44,27 @@ class Files:
         finally:
             stream.close()
 
+    def absolute(self, p: str) -> str:
+        """The path without . and .., links resolved where the file system knows them."""
+        full = self.fs.makeQualified(self.path(p))
+        return self.jvm.org.apache.hadoop.fs.Path(full.toUri().normalize()).toString()
+
     def replace(self, p: str, text: str) -> None:
-        """Write aside, then rename over."""
+        """Write aside, then rename over in one step: a reader sees the old file or the new one."""
         new = self.path(p + ".new")
         out = self.fs.create(new, True)
         out.write(bytearray(text.encode()))
         out.close()
-        self.fs.delete(self.path(p), False)
-        if not self.fs.rename(new, self.path(p)):
-            raise OSError(f"cannot publish {p}")
+        over = self.jvm.java.lang.reflect.Array.newInstance(self.jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)
+        over[0] = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf).rename(new, self.path(p), over)
+
+    def move(self, old: str, new: str) -> bool:
+        return self.fs.rename(self.path(old), self.path(new))
+
+    def copy(self, old: str, new: str) -> None:
+        source = self.path(old)
+        self.jvm.org.apache.hadoop.fs.FileUtil.copy(source.getFileSystem(self.conf), source, self.fs, self.path(new), False, True, self.conf)
 
 
 class ChunkStore:
@@ -122,8 +135,13 @@ class ChunkStore:
         return self.delete_where(name, (F.col("source_id") == source_id) & older)
 
     def counts(self) -> DataFrame:
-        rows = [(n, self.count(n)) for n in self.names()]
-        return self.spark.createDataFrame(rows, "collection string, chunks long")
+        """One job over all collections, each read at its current snapshot."""
+        parts = [self.read(n).select(F.lit(n).alias("collection")) for n in self.names()]
+        if not parts:
+            return self.spark.createDataFrame([], "collection string, chunks long")
+        grouped = reduce(DataFrame.unionByName, parts).groupBy("collection").agg(F.count(F.lit(1)).alias("chunks"))
+        every = self.spark.createDataFrame([(n,) for n in self.names()], "collection string")
+        return every.join(grouped, "collection", "left").na.fill(0)
 
     def prune(self, base: str, active: str, keep: int = 1) -> list[str]:
         """Drop all but the active version and the ``keep`` newest older ones."""

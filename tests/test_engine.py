@@ -1,3 +1,4 @@
+import collections
 import hashlib
 import io
 import json
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as X
 from docloom.functions.chunking import chunk_text, split_text, with_page_chunks
 from docloom.functions.embedding import CharBucketEmbedder, EmbeddingUnavailable, embed_all
-from docloom.operators import index, ledger, search
+from docloom.operators import index, ledger, managed, search
 from docloom.operators.kinds import INVENTION, PLAIN
 from docloom.operators.registry import Corpus, Registry, RegistryError
 from docloom.plans import catalogue
@@ -45,7 +46,7 @@ def test_batch_search_runs_every_query_in_blocks(spark, sf, monkeypatch):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
     ids, m = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=float)
     m /= np.linalg.norm(m, axis=1, keepdims=True)
-    got = catalogue.queries()["search_batch_all"](spark, sf).orderBy("query_id", "rank").collect()
+    got = catalogue.queries()["search_batch"](spark, sf).orderBy("query_id", "rank").collect()
     asked = sorted(i for i in ids.tolist() if i % 50 == 0)
     assert len(asked) > 3 and [r.query_id for r in got] == [i for i in asked for _ in range(5)]
     want = [x for i in asked for x in np.sort(m @ m[ids == i][0])[::-1][:5] / 2 + 0.5]
@@ -54,23 +55,24 @@ def test_batch_search_runs_every_query_in_blocks(spark, sf, monkeypatch):
 
 def test_whole_texts_are_embedded_and_detected(spark, tmp_path):
     rows = [(1, "s", "x" * 30 + "한글 end"), (2, "s", "x" * 30 + "other")]
-    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, source string, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     names = {r.doc_id: (r.name, r.encoding) for r in catalogue.queries()["zip_name_detect"](spark, str(tmp_path)).collect()}
     assert names == {1: (rows[0][2] + ".md", "utf-8"), 2: (rows[1][2] + ".md", "cp437")}
-    got = {r.doc_id: r.plain_sha256 for r in catalogue.queries()["embed_texts_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.plain_sha256 for r in catalogue.queries()["embed_texts"](spark, str(tmp_path)).collect()}
     assert got == {i: hashlib.sha256(f"제목: {i}\n{t}".encode()).hexdigest() for i, _, t in rows}
 
 
 def test_chunk_limits():
-    assert chunk_text("나" * 5500) == ["나" * 5500]
-    assert len(chunk_text("다" * 5501)) > 1
-    assert chunk_text("  \n ") == []
-    assert chunk_text("x" * 6000, count_tokens=lambda t: 8192) == ["x" * 6000]
-    assert len(chunk_text("x" * 2000, count_tokens=lambda t: 8193)) > 1
-    text = "".join(chr(0x4E00 + i) for i in range(3000))
-    parts = split_text(text, 1000, 150)
-    assert [len(p) for p in parts] == [1000, 1000, 1000, 450]
-    assert all(a[-150:] == b[:150] for a, b in zip(parts, parts[1:], strict=False))
+    """One chunk up to the hint, several beyond it; a token count decides instead if there is one."""
+    for n in (1, 99, 5499, 5500):
+        assert chunk_text("\n" + "q" * n + " ") == ["q" * n]
+    assert [len(c) for c in chunk_text("q" * 5501)] == [1000, 1000, 1000, 1000, 1000, 1000, 401]
+    assert chunk_text("\t\n\u3000") == []
+    assert [len(chunk_text("r" * 9000, count_tokens=lambda t, n=n: n)) for n in (8191, 8192, 8193)] == [1, 1, 11]
+    letters = "".join(chr(0x3400 + i) for i in range(2500))
+    parts = split_text(letters, 800, 100)
+    assert [len(p) for p in parts] == [800, 800, 800, 400]
+    assert parts[0] + "".join(p[100:] for p in parts[1:]) == letters
 
 
 @settings(max_examples=150, deadline=None)
@@ -90,13 +92,16 @@ def test_pages_do_not_mix(spark):
 
 
 def test_filename_fields(spark):
-    names = ["1979-과학완구-강용환-공기의 압력-.md", "2013-학습용품-박상현-Multi - light 교수-.md", "2010-생활과학Ⅰ-김선생-새로운 연구(지도논문)-.md", "plain (지도논문).md"]
-    df = spark.createDataFrame([(n,) for n in names], "n string")
-    rows = [tuple(r) for r in df.select(*(c.alias(k) for k, c in X.parse_filename(F.col("n")).items())).collect()]
-    assert rows[0] == (1979, "과학완구", "강용환", "공기의 압력", X.MAIN_DOC)
-    assert rows[1][3] == "Multi - light 교수"
-    assert rows[2][3:] == ("새로운 연구", X.ADVISOR_DOC)
-    assert rows[3] == (None, "", "", "plain (지도논문)", X.ADVISOR_DOC)
+    cases = {
+        "2021-plants-Kim-Growing moss-.md": (2021, "plants", "Kim", "Growing moss", X.MAIN_DOC),
+        "1999-a b-c.d-one - two - three-.md": (1999, "a b", "c.d", "one - two - three", X.MAIN_DOC),
+        "2005-water-Lee-Pumps (지도논문)-.md": (2005, "water", "Lee", "Pumps", X.ADVISOR_DOC),
+        "2005-water-Lee-Pumps.md": (None, "", "", "2005-water-Lee-Pumps", X.MAIN_DOC),
+        "notes(지도논문) .txt": (None, "", "", "notes(지도논문) ", X.ADVISOR_DOC),
+    }
+    df = spark.createDataFrame([(n,) for n in cases], "n string")
+    rows = df.select("n", *(c.alias(k) for k, c in X.parse_filename(F.col("n")).items())).collect()
+    assert {r[0]: tuple(r[1:]) for r in rows} == cases
 
 
 def test_strip_and_snippet_are_unicode(spark):
@@ -187,19 +192,110 @@ def test_retries_and_alignment():
         embed_all(Short(), ["a"])
 
 
+BASIC = ", ".join(ledger.REQUEST.split(", ")[:11])
+
+
 def request(seq, kind="index", revision=1, key=None, version="v1", content="h", service="s", enabled=True):
     return (seq, service, "c", "src", kind, revision, key or f"k{seq}", version, f"{kind}{revision}{content}", content, enabled)
 
 
 def fold(spark, rows):
-    return [r.outcome for r in ledger.fold(spark.createDataFrame(rows, ledger.REQUEST)).orderBy("seq").collect()]
+    return [r.outcome for r in ledger.fold(spark.createDataFrame(rows, BASIC)).orderBy("seq").collect()]
 
 
 def test_protocol(spark):
     assert fold(spark, [request(1, key="k"), request(2, key="k"), request(3, key="k", revision=9, content="x")]) == ["accepted", "replay", "key_conflict"]
     assert fold(spark, [request(1, revision=2), request(2, revision=2, version="v2"), request(3, revision=3, version="v1", content="z"), request(4, revision=3, version="v2")]) == ["accepted", "stale", "version_conflict", "accepted"]
-    rows = [request(1), request(2, "delete", 2), request(3, "state", 3), request(4, revision=3, service="other")]
-    assert fold(spark, rows) == ["accepted", "accepted", "no_active_version", "not_found"]
+    rows = [request(1), request(2, "delete", 2), request(3, "state", 3), request(4, revision=3, service="other"), request(5, "state", 3, enabled=False)]
+    assert fold(spark, rows) == ["accepted", "accepted", "no_active_version", "not_found", "accepted"]
+    assert fold(spark, [request(1, "delete"), request(2, "state", 2, enabled=False), request(3, "state", 3)]) == ["accepted", "accepted", "no_active_version"]
+
+
+def test_indexing_again_makes_a_source_visible(spark):
+    rows = [request(1), request(2, "delete", 2), request(3, revision=3, version="v2")]
+    last = ledger.latest_state(ledger.fold(spark.createDataFrame(rows, BASIC))).first()
+    assert (last.revision_after, last.enabled_after, last.deleted_after, last.active_job_after) == (3, True, False, 3)
+
+
+def test_jobs_end_later(spark):
+    """A job that a newer request overtook is superseded; a failed one leaves the version before in place; a full queue refuses."""
+    end = lambda seq, job, error=None: (seq, None, "c", "src", "finish", None, None, None, None, None, None, None, job, error)
+    more = lambda r, full=False: (*r, full, None, None)
+    rows = [more(request(1)), end(2, 1), more(request(3, revision=2, version="v2")), more(request(4, revision=3, version="v3")), end(5, 3), end(6, 4, "ValueError"), end(7, 9), more(request(8, revision=4, version="v4"), True)]
+    got = ledger.fold(spark.createDataFrame(rows, ledger.REQUEST), at_once=False).orderBy("seq").collect()
+    assert [r.outcome for r in got] == ["accepted", "succeeded", "accepted", "accepted", "superseded", "failed", "unknown", "rate_limited"]
+    assert [r.active_job_after for r in got] == [None, 1, 1, 1, 1, 1, 1, 1] and got[-1].enabled_after
+
+
+def plain_protocol(rows):
+    """The rules as tables of rows, looked up anew for each request."""
+    jobs, out = [], []
+    state = {"owner": None, "rev": None, "on": False, "gone": False, "job": None}
+    for r in sorted(rows, key=lambda r: r["seq"]):
+        answer = "accepted"
+        if r["kind"] == "finish":
+            mine = [j for j in jobs if j["seq"] == r["job"] and j["state"] == "queued"]
+            answer = "unknown"
+            for j in mine:
+                answer = j["state"] = "failed" if r["error"] else "succeeded" if j["revision"] == state["rev"] else "superseded"
+                if answer == "succeeded" and j["kind"] == "index":
+                    state |= {"job": j["seq"], "on": True, "gone": False}
+        else:
+            same_key = [j for j in jobs if (j["service_id"], j["idempotency_key"]) == (r["service_id"], r["idempotency_key"])]
+            same_version = [j for j in jobs if j["kind"] == "index" and j["source_version_id"] == r["source_version_id"]]
+            if same_key:
+                answer = "replay" if same_key[0]["checksum"] == r["checksum"] else "key_conflict"
+            elif state["owner"] not in (None, r["service_id"]):
+                answer = "not_found"
+            elif state["rev"] is not None and r["revision"] <= state["rev"]:
+                answer = "stale"
+            elif r["queue_full"]:
+                answer = "rate_limited"
+            elif r["kind"] == "index" and any(j["content_hash"] != r["content_hash"] for j in same_version):
+                answer = "version_conflict"
+            elif r["kind"] == "state" and r["enabled"] and (state["job"] is None or state["gone"]):
+                answer = "no_active_version"
+            else:
+                jobs.append(dict(r, state="queued"))
+                state |= {"owner": r["service_id"], "rev": r["revision"]}
+                if r["kind"] != "index":
+                    state |= {"on": r["kind"] == "state" and r["enabled"], "gone": r["kind"] == "delete"}
+        out.append((r["kind"], answer))
+    return out, (state["owner"], state["rev"], state["on"], state["gone"], state["job"])
+
+
+def test_protocol_queries_equal_plain_rules(spark, sf):
+    by_source = collections.defaultdict(list)
+    for r in catalogue.every_kind(spark, sf).collect():
+        by_source[r.source_id].append(r.asDict())
+    plain = {s: plain_protocol(rows) for s, rows in by_source.items()}
+    counts = collections.Counter(x for out, _ in plain.values() for x in out)
+    assert {(r.kind, r.outcome): r.n for r in catalogue.queries()["protocol_outcomes"](spark, sf).collect()} == counts and len(counts) > 10
+    states = {r.source_id: (r.service_id, r.revision_after, r.enabled_after, r.deleted_after, r.active_job_after) for r in catalogue.queries()["active_versions"](spark, sf).collect()}
+    assert {s: x[1:] for s, x in states.items()} == {s: x[1:] for s, (_, x) in plain.items()}
+
+
+def test_chunk_queries_equal_the_splitter(spark, sf):
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = sorted((f"{d.source}/{d.doc_id}::{i}", i, len(c), sha(x)) for d in catalogue.table(spark, sf, "documents").collect() for c in [chunk_text(d.text or "")] for i, x in enumerate(c))
+    got = catalogue.queries()["chunk_documents"](spark, sf)
+    assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(tuple(r) for r in got.collect()) == want
+    pages = collections.defaultdict(list)
+    for r in catalogue.table(spark, sf, "conversations").collect():
+        pages[r.conv_id].append((r.turn + 1, r.text or ""))
+    want = []
+    for conv, ps in pages.items():
+        parts = [(p, c) for p, t in sorted(ps) for c in chunk_text(t)]
+        want += [(conv, i, len(parts), p, f"p.{p}", sha(c)) for i, (p, c) in enumerate(parts)]
+    assert sorted(tuple(r) for r in catalogue.queries()["chunk_pages"](spark, sf).collect()) == sorted(want)
+
+
+def test_zip_name_query(spark, sf):
+    nfc = lambda t: unicodedata.normalize("NFC", t)
+    for d, r in zip(*(x.orderBy("doc_id").collect() for x in (catalogue.table(spark, sf, "documents"), catalogue.queries()["zip_name_detect"](spark, sf))), strict=True):
+        name = (d.text or "") + ".md"
+        assert (r.name, r.encoding) == ((name, "cp437") if name.isascii() else (nfc(name), "utf-8"))
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -209,20 +305,125 @@ def test_stream_equals_batch(spark, tmp_path):
     for i, r in enumerate(rows):
         folder = tmp_path / "in"
         folder.mkdir(exist_ok=True)
-        names = [x.split()[0] for x in ledger.REQUEST.split(", ")]
-        (folder / f"{i}.json").write_text(json.dumps(dict(zip(names, r, strict=True))))
+        (folder / f"{i}.json").write_text(json.dumps(dict(zip([x.split()[0] for x in BASIC.split(", ")], r, strict=True))))
         ingest.ingest(ingest.request_stream(spark, str(folder)), str(tmp_path / "l"), str(tmp_path / "cp")).awaitTermination(120)
     state = ingest.current_states(spark, str(tmp_path / "l")).collect()
     assert [(s.revision_after, s.enabled_after, s.active_job_after) for s in state] == [(3, False, 2)]
 
 
+def test_managed_jobs(spark, tmp_path):
+    """Index, supersede, fail, delete; files appear and vanish with their versions."""
+
+    class Fails(CharBucketEmbedder):
+        def embed(self, texts):
+            if any("poison" in t for t in texts):
+                raise ValueError("details stay out")
+            return super().embed(texts)
+
+    store, e, folder = ChunkStore(spark, f"file://{tmp_path}/s"), Fails(8), f"file://{tmp_path}/docs"
+
+    def run(rows, revisions):
+        jobs = spark.createDataFrame([(j, s, k, r, f"v{r}", s, f"h{r}", [(i + 1, t) for i, t in enumerate(pages)]) for j, s, k, r, pages in rows], managed.JOB)
+        states = spark.createDataFrame(list(revisions.items()), "source_id string, revision long")
+        return {r.job: (r.state, r.error) for r in managed.process(jobs, states, store, "m_v1", "m", e, folder=folder).collect()}
+
+    chunks = lambda: sorted((r.source_id, r.revision, r.page, r.document) for r in store.read("m_v1").collect())
+    assert run([("j1", "a", "index", 1, ["one", "two"]), ("j2", "b", "index", 1, ["x"]), ("j3", "c", "index", 1, [" ", ""]), ("j4", "d", "index", 1, ["poison"])], {"a": 1, "b": 2, "c": 1, "d": 1}) == {
+        "j1": ("succeeded", None), "j2": ("superseded", None), "j3": ("failed", "ValueError"), "j4": ("failed", "EmbeddingUnavailable")}
+    assert chunks() == [("a", 1, 1, "one"), ("a", 1, 2, "two")] and (tmp_path / "docs/a.md").read_text() == "## p.1\n\none\n\n## p.2\n\ntwo"
+    assert not (tmp_path / "docs/b.md").exists() and json.loads((tmp_path / "docs/a.json").read_text())["operation_id"] == "j1"
+    assert run([("j5", "a", "index", 2, ["poison"]), ("j6", "b", "index", 2, ["y"])], {"a": 2, "b": 2})["j5"] == ("failed", "EmbeddingUnavailable")
+    assert [c[:3] for c in chunks()] == [("a", 1, 1), ("a", 1, 2), ("b", 2, 1)]
+    run([("j7", "a", "index", 3, ["new"])], {"a": 3})
+    assert run([("j7", "a", "index", 3, ["new"])], {"a": 3})["j7"][0] == "succeeded"
+    assert chunks() == [("a", 3, 1, "new"), ("b", 2, 1, "y")]
+    assert run([("j8", "b", "delete", 3, [])], {"b": 3}) == {"j8": ("succeeded", None)}
+    assert chunks() == [("a", 3, 1, "new")] and not (tmp_path / "docs/b.md").exists()
+    jobs = spark.createDataFrame([("j7", "a", "index", 3, "v3", "a", "h3", [(1, "new")]), ("j6", "b", "index", 2, "v2", "b", "h2", [(1, "y")])], managed.JOB)
+    states = spark.createDataFrame([("j7", False), ("j6", True)], "active_job string, deleted boolean")
+    assert managed.rebuild(jobs, states, store, "m_v2", "m", e)["total_chunks"] == 1 and store.read("m_v2").first().operation_id == "j7"
+
+
+def test_version_hash(spark):
+    pages = [(1, "é"), (2, "b")]
+    got = spark.createDataFrame([("t", pages)], "title string, pages array<struct<page:int,text:string>>").select(managed.version_hash(F.col("title"), F.col("pages"))).first()[0]
+    text = '{"pages": [{"page": 1, "text": "é"}, {"page": 2, "text": "b"}], "title": "t"}'
+    assert got == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_job_runner(spark, tmp_path):
+    from docloom.operators.jobs import JobError, Jobs
+
+    def work(corpus, kind, progress):
+        for i in range(1, 26):
+            progress(i, 25)
+        if kind == "rebuild":
+            raise RuntimeError("no chunks")
+        return {"indexed": 25}
+
+    jobs = Jobs(spark, f"file://{tmp_path}", work)
+    first = jobs.submit("c", "incremental", "ann")
+    with pytest.raises(JobError):
+        jobs.submit("c", "rebuild")
+    assert jobs.run(first) == "succeeded" and jobs.run(jobs.submit("c", "rebuild")) == "failed"
+    assert [r.done for r in jobs.log.table().filter(f"job_id = {first} AND status = 'running'").orderBy("seq").collect()] == [0, 9, 19, 25]
+    actions = [(r.action, r.actor) for r in jobs.audit.recent(10).orderBy("seq").collect()]
+    assert actions == [("job.incremental.started", "ann"), ("job.incremental.succeeded", "ann"), ("job.rebuild.started", None), ("job.rebuild.failed", None)]
+    jobs.submit("d", "rebuild")
+    assert jobs.interrupt() == 1 and jobs.interrupt() == 0
+
+
+def test_tokens(spark, tmp_path):
+    from docloom.operators.tokens import Tokens
+
+    t, secret = Tokens(spark, f"file://{tmp_path}", {"rules": "plain", "easyflow": "easyflow"}), "k" * 40
+    t.register("web", "web-read", secret, {"Rules ": ["search", "search"]})
+    for service, token, grants in (("web", "short", {"rules": ["search"]}), ("web", secret, {}), ("web", secret, {"rules": ["admin"]}), ("web", secret, {"easyflow": ["search"]}), ("easyflow", secret, {"rules": ["search"]}), ("W", secret, {"rules": ["search"]})):
+        with pytest.raises(ValueError):
+            t.register(service, "bad-one", token, grants)
+    assert t.service_of(secret) == "web" and t.table().first().grants == {"rules": ["search"]}
+    assert t.revoke("web-read") and not t.revoke("none") and t.service_of(secret) is None
+    t.register("web", "web-read", secret, {"rules": ["search"]}, 5)
+    assert t.service_of(secret) == "web" and [tuple(r) for r in t.listed().collect()] == [("web", "web-read", 5, True)]
+
+
+def test_folder_guards_and_writes(spark, tmp_path):
+    store = ChunkStore(spark, f"file://{tmp_path}/s")
+    f = files.Folder(spark, f"file://{tmp_path}/docs", "c")
+    for bad in ("../x.md", "a/b.md", "..", "", "/etc/passwd"):
+        with pytest.raises(ValueError):
+            f.target(bad)
+    up = files.uploads(spark.createDataFrame([("a.md", bytearray(b"text")), ("b.exe", bytearray(b"x"))], "filename string, content binary"))
+    assert f.save(up) == (["a.md"], [("b.exe", "extension")]) and (tmp_path / "docs/c/a.md").read_text() == "text"
+    other = tmp_path / "in"
+    other.mkdir()
+    (other / "a.md").write_text("text")
+    (other / "n.md").write_text("new one")
+    source = files.scan(spark, str(other))
+    assert f.copy(source, dry_run=True)["copied"] == 1 and files.count_documents(f.scan()) == 1
+    assert f.copy(source) == {"copied": 1, "bytes": 7, "skipped": 1} and files.count_documents(f.scan()) == 2
+    garbled = "각하.md".encode("cp949").decode("cp437")
+    (tmp_path / "docs/c" / garbled).write_text("k")
+    assert files.repairable(f.scan()) == 1 and f.rename(files.repairs(f.scan())) == ([(garbled, "각하.md")], [])
+    store.write("c_v1", spark.createDataFrame([("c/a.md::0", "c/a.md"), ("c/z.md::0", "c/z.md")], "chunk_id string, source_path string"))
+    assert f.delete(["a.md", "z.md", "../q.md"], store, "c_v1", "c") == (["a.md", "z.md"], ["../q.md"]) and store.count("c_v1") == 0
+    assert [tuple(r) for r in store.counts().collect()] == [("c_v1", 0)]
+    with pytest.raises(ValueError):
+        files.Folder(spark, f"file://{tmp_path}/docs", "..").purge()
+    assert f.purge() == 2 and not (tmp_path / "docs/c").exists() and files.count_documents(f.scan()) == 0
+
+
 def test_registry(spark, tmp_path):
     store = ChunkStore(spark, f"file://{tmp_path}/s")
     r = Registry(spark, f"file://{tmp_path}/r", store)
     r.seed(Corpus("inventions", "invention", "Seed", "", ""))
+    assert r.create("managed", "easyflow", "M").kind == "easyflow"
+    r.delete("managed", "managed")
+    with pytest.raises(RegistryError):
+        r.create("more", "invention", "x")
     c = r.create(" Rules ", "plain", "Rules", "prefix")
     assert (c.id, c.active_collection, c.index_version, c.doc_prefix) == ("rules", "rules_v1", "rules:gemini-embedding-2:1536:v1", "prefix\n")
-    for bad in ("", "a", "has space", "../escape", "under_score", "-leading", "슬러그", "inventions", "rules"):
+    for bad in ("inventions", "rules", "q", "two words", "dot.dot", "a/b", "9_9", "-x1", "x" * 32, "é1"):
         with pytest.raises(RegistryError):
             r.create(bad, "plain", "x")
     with pytest.raises(RegistryError):
@@ -237,10 +438,10 @@ def test_registry(spark, tmp_path):
 
 
 def test_zip_names_and_entries(spark):
-    korean = "한글문서.md"
-    assert files.detect_zip_name(korean.encode("cp949").decode("cp437"), 0) == (korean, "cp949")
-    assert files.detect_zip_name("über.md".encode("utf-8").decode("cp437"), 0) == ("über.md", "utf-8")
-    assert files.detect_zip_name("plain.md", 0) == ("plain.md", "cp437") and files.detect_zip_name(korean, 0x800) == (korean, "utf-8")
+    garbled = lambda s, code: s.encode(code).decode("cp437")
+    for name, code, want in (("보고서 둘.md", "cp949", "cp949"), ("ㄱㄴ.md", "cp949", "cp949"), ("ñandú.md", "utf-8", "utf-8"), ("표.md", "utf-8", "utf-8"), ("list.md", "ascii", "cp437")):
+        assert files.detect_zip_name(garbled(name, code), 0) == (name, want)
+    assert files.detect_zip_name("다.md", 0x800) == ("다.md", "utf-8") and files.detect_zip_name("다.md", 0) == ("다.md", "utf-8")
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         for n, t in {"a/b.md": b"text", "c.exe": b"x", "d.md": b"\xff", "e.txt": b"  ", ".f.md": b"x"}.items():
