@@ -205,7 +205,8 @@ def test_stored_map_is_edited(spark, tmp_path):
     assert stored.version() == 2 and shard_of(1) == sharding.initial_map(256, 8) and {x.map_version for x in r} == {2}
     text = collections.Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in rows)
     assert collections.Counter((x.doc_id, x.size, x.text_crc32) for x in r) == text
-    assert all(shard_of(2)[x.virtual_slot] == x.shard for x in r)
+    second = shard_of(2)
+    assert all(second[x.virtual_slot] == x.shard for x in r)
     assert sorted((x.shard, x.slot) for x in r) == [(k, i) for k, n in sorted(collections.Counter(x.shard for x in r).items()) for i in range(n)]
     more = [*rows, *((i, "x" * 2000) for i in range(5000, 5040))]
     r = sharding.shard_by_bytes(table(spark, more), 8, slots=256, map_path=path).toPandas()
