@@ -49,19 +49,18 @@ def build_index(docs: DataFrame, store: ChunkStore, collection: str, kind: Kind,
     Chunks of files that vanished or that are skipped now stay, as orphans() shows. A failed job publishes nothing.
     """
     new = reset or not store.exists(collection)
-    existing = store.read(collection)
-    if new:
-        existing = existing.limit(0)
+    existing = store.read(collection, [] if new else None)
     changed = changes(docs, existing).persist()
     try:
         todo = changed.filter(F.col("change").isin("new", "replace"))
         made = new_chunks(todo, kind, embedder, prefix, **sizes).persist()
         try:
-            kept = existing.join(todo.select("source_path"), "source_path", "left_anti")
             stats = statistics(changed, made).first().asDict()
-            if new or stats["embedded_chunks"] or todo.limit(1).count():
+            buckets = None if new else store.touched(collection, todo)
+            if new or buckets:
+                kept = store.read(collection, buckets or []).join(todo.select("source_path"), "source_path", "left_anti")
                 columns = [c for c in existing.columns if c in made.columns]
-                store.write(collection, kept.unionByName(made.select(*columns), allowMissingColumns=True))
+                store.write(collection, kept.unionByName(made.select(*columns), allowMissingColumns=True), buckets)
         finally:
             made.unpersist()
     finally:

@@ -60,13 +60,17 @@ def _embedded_or_error(text: Column, embedder: Embedder, prefix: str) -> Column:
     return run(text)
 
 
+def _path(corpus: str, source_id: Column) -> Column:
+    return X.source_path(F.lit(corpus), F.concat(source_id, F.lit(".md")))
+
+
 def job_chunks(jobs: DataFrame, corpus: str, embedder: Embedder, prefix: str = "", **sizes: int) -> DataFrame:
     """The chunks of index jobs (JOB), with error where embedding failed. Ids and counts run over the whole document; no chunk spans pages."""
     ship(jobs.sparkSession)
     cut = with_page_chunks(jobs.filter("kind = 'index'"), "pages", **sizes)
     made = cut.withColumn("__e", _embedded_or_error(MANAGED.embed_text(F.col("document")), embedder, prefix))
     return made.select(
-        X.chunk_id(F.col("job"), F.col("chunk_index")).alias("chunk_id"), X.source_path(F.lit(corpus), F.concat("source_id", F.lit(".md"))).alias("source_path"),
+        X.chunk_id(F.col("job"), F.col("chunk_index")).alias("chunk_id"), _path(corpus, F.col("source_id")).alias("source_path"),
         "chunk_index", "n_chunks", F.col("payload_hash").alias("content_hash"), "document", "__e.embedding", "title", "source_id", "source_version_id",
         F.col("job").alias("operation_id"), "revision", "page", "anchor", "__e.error",
     )
@@ -88,10 +92,11 @@ def process(jobs: DataFrame, states: DataFrame, store: ChunkStore, collection: s
         good = ended.filter("state = 'succeeded'")
         keep = made.join(good.select(F.col("job").alias("operation_id")), "operation_id", "left_semi").drop("error")
         cleared = good.filter("kind IN ('index', 'delete')").groupBy("source_id").agg(F.max(F.when(F.col("kind") == "index", F.col("revision") - 1).otherwise(F.col("revision"))).alias("__upto"))
-        existing = store.read(collection).join(keep.select("chunk_id"), "chunk_id", "left_anti").join(cleared, "source_id", "left")
-        kept = existing.filter(F.col("__upto").isNull() | (F.coalesce("revision", F.lit(-1)) > F.col("__upto"))).drop("__upto")
-        if good.filter("kind <> 'state'").limit(1).count():
-            store.write(collection, kept.unionByName(keep, allowMissingColumns=True))
+        touched = store.touched(collection, cleared.select(_path(corpus, F.col("source_id")).alias("source_path")))
+        if touched:
+            existing = store.read(collection, touched).join(keep.select("chunk_id"), "chunk_id", "left_anti").join(cleared, "source_id", "left")
+            kept = existing.filter(F.col("__upto").isNull() | (F.coalesce("revision", F.lit(-1)) > F.col("__upto"))).drop("__upto")
+            store.write(collection, kept.unionByName(keep, allowMissingColumns=True), touched)
         if folder:
             files = jobs.join(good.select("job"), "job", "left_semi")
             write_documents(files.filter("kind = 'index'"), folder).count()

@@ -1,6 +1,8 @@
-"""Collections of chunks: immutable Parquet snapshots, and a pointer file that names the current one.
+"""Collections of chunks: immutable Parquet files in buckets, and a pointer file that names the current ones.
 
-A collection is a folder ``<root>/<name>``; each change writes ``snapshot=<n>`` in full and then moves the pointer by a rename.
+A collection is a folder ``<root>/<name>``. Its chunks lie in buckets by a hash of their source_path. Each change writes the buckets it touches anew under
+``snapshot=<n>/bucket=<b>`` and then moves the pointer, which names the snapshot of every bucket, by a rename: a change costs what its buckets hold, not
+what the collection holds, and a reader sees all of a change or nothing.
 All file access goes through Hadoop's file system, so the root may be on any store that Spark reads.
 """
 
@@ -68,16 +70,22 @@ class Files:
 
 
 class ChunkStore:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        """buckets: of collections made from now on; the pointer keeps a collection's own number. Choose it so that a bucket holds a few GB."""
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
         self.files = Files(spark, self.root)
 
     def _pointer(self, name: str) -> str:
         return f"{self.root}/{name}/CURRENT"
 
-    def _current(self, name: str) -> int | None:
+    def _current(self, name: str) -> dict | None:
+        """snapshot, of (the number of buckets), buckets: the snapshot that holds each bucket; empty ones are left out."""
         text = self.files.read(self._pointer(name))
-        return json.loads(text)["snapshot"] if text else None
+        return json.loads(text) if text else None
+
+    def _bucket(self, name: str) -> Column:
+        now = self._current(name)
+        return F.pmod(F.xxhash64("source_path"), F.lit(now["of"] if now else self.buckets)).cast("int")
 
     def exists(self, name: str) -> bool:
         return self._current(name) is not None
@@ -85,27 +93,38 @@ class ChunkStore:
     def names(self) -> list[str]:
         return [n for n in self.files.names(self.root) if self.exists(n)]
 
-    def read(self, name: str) -> DataFrame:
-        """The chunks; empty, and nothing created, if the collection does not exist."""
-        n = self._current(name)
-        if n is None:
-            return self.spark.createDataFrame([], CHUNK_SCHEMA)
-        return self.spark.read.schema(CHUNK_SCHEMA).parquet(f"{self.root}/{name}/snapshot={n}")
+    def read(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+        """The chunks, of some buckets or of all; empty, and nothing created, if the collection does not exist."""
+        now = self._current(name) or {"buckets": {}}
+        paths = [f"{self.root}/{name}/snapshot={n}/bucket={b}" for b, n in now["buckets"].items() if buckets is None or int(b) in buckets]
+        return self.spark.read.schema(CHUNK_SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], CHUNK_SCHEMA)
+
+    def touched(self, name: str, rows: DataFrame) -> list[int]:
+        """The buckets that rows' source_path fall into."""
+        return sorted(r[0] for r in rows.select(self._bucket(name).alias("b")).distinct().collect())
 
     def count(self, name: str) -> int:
         return self.read(name).count() if self.exists(name) else 0
 
-    def write(self, name: str, chunks: DataFrame) -> None:
-        """Replace the collection's contents."""
+    def write(self, name: str, chunks: DataFrame, buckets: list[int] | None = None) -> None:
+        """Replace the collection's contents, or those of the buckets given, in which all chunks must lie."""
         have = set(chunks.columns)
         fields = self.spark.createDataFrame([], CHUNK_SCHEMA).schema.fields
         chunks = chunks.select(*((F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))
-        old = self._current(name)
-        n = (old or 0) + 1
-        chunks.write.mode("overwrite").parquet(f"{self.root}/{name}/snapshot={n}")
-        self.files.replace(self._pointer(name), json.dumps({"snapshot": n}))
-        if n > 2:
-            self.files.delete(f"{self.root}/{name}/snapshot={n - 2}")  # the one before stays for readers under way
+        old = self._current(name) or {"snapshot": 0, "of": self.buckets, "buckets": {}}
+        n = old["snapshot"] + 1
+        path = f"{self.root}/{name}/snapshot={n}"
+        # Rows of a bucket meet in one task; a bucket too large for one is split, and small ones share one.
+        dealt = chunks.withColumn("bucket", self._bucket(name)).hint("rebalance", "bucket")
+        dealt.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(path)
+        kept = {b: s for b, s in old["buckets"].items() if buckets is not None and int(b) not in buckets}
+        made = {f.split("=")[1]: n for f in self.files.names(path) if f.startswith("bucket=")}
+        if made.keys() & kept.keys():
+            self.files.delete(path)
+            raise ValueError("chunks lie outside the buckets to be replaced")
+        self.files.replace(self._pointer(name), json.dumps({"snapshot": n, "of": old["of"], "buckets": kept | made, "spent": [[b, s] for b, s in old["buckets"].items() if b not in kept]}))
+        for b, s in old.get("spent", ()):  # what this change replaced stays for readers under way, what the one before replaced goes
+            self.files.delete(f"{self.root}/{name}/snapshot={s}/bucket={b}")
 
     def reset(self, name: str) -> None:
         self.write(name, self.spark.createDataFrame([], CHUNK_SCHEMA))
@@ -114,15 +133,18 @@ class ChunkStore:
         self.files.delete(f"{self.root}/{name}")
 
     def upsert(self, name: str, new: DataFrame) -> None:
-        self.write(name, upserted(self.read(name), new))
+        """Put chunks in the place of those with their ids. A chunk id always belongs to the same source_path."""
+        touched = self.touched(name, new)
+        if touched or not self.exists(name):
+            self.write(name, upserted(self.read(name, touched), new), touched)
 
     def delete_where(self, name: str, condition: Column) -> int:
-        """Rows removed."""
-        chunks = self.read(name)
-        gone = chunks.filter(condition).count()
-        if gone:
-            self.write(name, chunks.filter(~F.coalesce(condition, F.lit(False))))
-        return gone
+        """Rows removed. Only buckets that hold some are written."""
+        hit = self.read(name).filter(condition).groupBy(self._bucket(name).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
+        if hit:
+            touched = [r["b"] for r in hit]
+            self.write(name, self.read(name, touched).filter(~F.coalesce(condition, F.lit(False))), touched)
+        return sum(r["n"] for r in hit)
 
     def remove_document(self, name: str, path: str) -> int:
         return self.delete_where(name, F.col("source_path") == path)

@@ -156,6 +156,30 @@ def test_index_is_incremental_and_rebuild_swaps(spark, tmp_path):
     assert store.remove_document("c_v3", "c/a.md") == 1 and store.count("c_v3") == 1 and store.count("none") == 0
 
 
+def test_changes_write_only_the_buckets_they_touch(spark, tmp_path):
+    store = ChunkStore(spark, f"file://{tmp_path}/s", buckets=8)
+    rows = [(f"c/{i}.md::0", f"c/{i}.md", "old") for i in range(40)]
+    schema = "chunk_id string, source_path string, document string"
+    store.upsert("c_v1", spark.createDataFrame(rows[:30], schema))
+    store.upsert("c_v1", spark.createDataFrame(rows[30:], schema))
+    content = lambda: {r.chunk_id: r.document for r in store.read("c_v1").collect()}
+    assert content() == {c: d for c, _, d in rows}
+    files_of = lambda: {str(f): f.stat().st_mtime_ns for f in (tmp_path / "s").rglob("*.parquet")}
+    before, under_way = files_of(), store.read("c_v1")
+    store.upsert("c_v1", spark.createDataFrame([("c/7.md::0", "c/7.md", "new")], schema))
+    after = files_of()
+    assert len({f.rsplit("/", 1)[0] for f in after.keys() - before.keys()}) == 1 and all(after[f] == before[f] for f in after.keys() & before.keys())
+    assert content() == {c: "new" if p == "c/7.md" else d for c, p, d in rows} and under_way.filter("document = 'new'").count() == 0
+    assert store.remove_document("c_v1", "c/7.md") == 1 and store.remove_document("c_v1", "c/7.md") == 0 and store.count("c_v1") == 39
+    with pytest.raises(ValueError):
+        store.write("c_v1", spark.createDataFrame(rows, schema), [0])
+    assert store.count("c_v1") == 39 and ChunkStore(spark, f"file://{tmp_path}/s", buckets=3).remove_document("c_v1", "c/8.md") == 1
+    assert store.delete_where("c_v1", F.lit(True)) == 38 and store.count("c_v1") == 0 and store.exists("c_v1")
+    store.reset("c_v1")
+    store.upsert("c_v1", spark.createDataFrame([(None, None, None)], schema))
+    assert store.count("c_v1") == 1
+
+
 def test_advisors_and_privacy(spark):
     rows = [("p1", "c1", 1, [1.0, 0.0], "t", 1990, "cat", "author", X.MAIN_DOC, "d"), ("p2", "c2", 1, [1.0, 0.0], "u", None, "cat", "author", X.ADVISOR_DOC, "d")]
     c = spark.createDataFrame(rows, "source_path string, chunk_id string, n_chunks int, embedding array<double>, title string, year int, category string, author string, doc_type string, document string")
