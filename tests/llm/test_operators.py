@@ -127,6 +127,15 @@ def test_ibans_end_at_their_length_and_context_may_follow(spark):
     assert got == {0: ["iban:0:27:80"], 1: ["iban:0:22:80"], 2: ["ssn:0:11:80"], 3: ["iban:0:22:80", "iban:23:50:80"], 4: [], 5: ["iban:0:32:100"]}
 
 
+def test_pii_sql_on_ibans_and_security_numbers(spark, tmp_path):
+    texts = ["DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "DE89370400440532013000 2024-01-01", "123-45-6789 (SSN)", "DE89370400440532013000 GB82 WEST 1234 5698 7654 32", "DE89370400440532013001 x", "TR33 0006 1005 1978 6457 8413 26 IBAN", "ssn -123-45-6789",
+             "ssn 123-45-6789-1", "ssn 123-45-6789", "", None, "XX89 3704 0044 0532 0130 00", "é GB82 WEST 1234 5698 7654 32. " * 3, "social security 111-22-3333 444-55-6666"]
+    docs = table(spark, list(enumerate(texts)))
+    docs.write.parquet(f"{tmp_path}/d")
+    want = duckdb.sql(f"WITH documents AS (FROM '{tmp_path}/d/*.parquet') SELECT doc_id, spans, scored, base_sha256 FROM ({queries.oracle_sql()['op10_pii']})").fetchall()
+    assert sorted(want) == sorted(tuple(r) for r in pii_digest(docs).select("doc_id", "spans", "scored", "base_sha256").collect())
+
+
 @pytest.mark.parametrize("kw", [{}, {"block_bytes": 32}, {"block_bytes": 32, "fingerprint": lambda c: F.pmod(F.xxhash64(c), F.lit(3))}])
 def test_block_naming(spark, kw):
     rng = random.Random(2)
