@@ -36,6 +36,8 @@ MAX_BIT_ERROR = 0.25
 OVERLAP = 4  # positions that an alignment covers at least, or all of a shorter recording
 BLOCK = 2_000_000  # integers of queries that a task holds at a time: about 40 MB with their index
 EXPANDED = 2_000_000  # meetings or correlations that a task counts together
+BATCH = 600  # recordings that meet a block together
+HELD = 8_000_000  # complex numbers of recordings' spectra that are kept from one tile of queries to the next: 64 MB
 A4 = 440.0
 
 
@@ -217,18 +219,23 @@ class QueryBlock:
         """(recording, query, offset, bit error) of all alignments within max_bit_error over at least ``overlap`` positions, or all of a shorter recording.
 
         Bits as signs are correlated at every offset by Fourier transforms, 32 channels summed before the way back; bits are counted exactly afterwards.
-        Recordings and queries are padded to powers of two and go in tiles of at most about EXPANDED numbers.
+        Recordings and queries are grouped by powers of two and go in tiles of at most about EXPANDED numbers. The queries' spectra serve all recordings of
+        a call, and the recordings' spectra all queries if they fit in HELD.
         """
         size = np.array([len(p) for p in prints], dtype=np.int64)
         room, query_room = _padded(size), _padded(self.size)
         for q_len in np.unique(query_room):
             for r_len in np.unique(room):
-                n = int(2 * max(q_len, r_len))
+                n = _smooth(2 * int(max(1, self.size[query_room == q_len].max(), size[room == r_len].max())))
                 tile = max(1, min(4 * EXPANDED // (32 * n), math.isqrt(4 * EXPANDED // n)))
-                for query in _tiles(np.flatnonzero(query_room == q_len), tile):
+                queries, mine = _tiles(np.flatnonzero(query_room == q_len), tile), np.flatnonzero(room == r_len)
+                parts = _tiles(mine, min(tile, max(1, EXPANDED // (n * len(queries[0])))))
+                spectra = lambda rec: np.ascontiguousarray(_spectra([prints[k].view(np.uint32) for k in rec], n).transpose(1, 0, 2))
+                held = [spectra(rec) for rec in parts] if 16 * n * len(mine) <= HELD else None
+                for query in queries:
                     theirs = np.ascontiguousarray(_spectra([self.flat[self.start[k] : self.start[k] + self.size[k]] for k in query], n).conj().transpose(1, 2, 0))
-                    for rec in _tiles(np.flatnonzero(room == r_len), min(tile, max(1, EXPANDED // (n * len(query))))):
-                        ours = np.ascontiguousarray(_spectra([prints[k].view(np.uint32) for k in rec], n).transpose(1, 0, 2))
+                    for at_part, rec in enumerate(parts):
+                        ours = held[at_part] if held else spectra(rec)
                         agree = np.fft.irfft(ours @ theirs, n, axis=0)
                         offset = np.arange(n)
                         offset[n // 2 :] -= n
@@ -242,14 +249,13 @@ class QueryBlock:
     def others(self, prints: list[np.ndarray], overlap: int, max_bit_error: float) -> list[list[tuple[float, object, int]]]:
         """(bit error, query, offset) of all alignments of each recording with queries of other fingerprints."""
         found: list[list[tuple[float, object, int]]] = [[] for _ in prints]
-        own: dict[tuple[int, int], bool] = {}
-        for part in self.near(prints, overlap, max_bit_error):
-            rec, query, offset, error = (x.tolist() for x in part)
-            for r, q, o, e in zip(rec, query, offset, error, strict=True):
-                if (r, q) not in own:
-                    own[r, q] = np.array_equal(prints[r].view(np.uint32), self.flat[self.start[q] : self.start[q] + self.size[q]])
-                if not own[r, q]:
-                    found[r].append((e, self.ids[q], o))
+        named: dict[bytes, int] = {}
+        name = np.array([named.setdefault(self.flat[b : b + n].tobytes(), len(named)) for b, n in zip(self.start, self.size, strict=True)])
+        own = np.array([named.get(p.tobytes(), -1) for p in prints])
+        for rec, query, offset, error in self.near(prints, overlap, max_bit_error):
+            other = own[rec] != name[query]
+            for r, q, o, e in zip(*(x[other].tolist() for x in (rec, query, offset, error)), strict=True):
+                found[r].append((e, self.ids[q], o))
         return found
 
 
@@ -258,6 +264,13 @@ def _padded(size: np.ndarray) -> np.ndarray:
     return 2 ** np.ceil(np.log2(np.maximum(size, 16))).astype(np.int64)
 
 
+def _smooth(n: int) -> int:
+    """The next even number without prime factors above 5."""
+    while n % 2 or 30 ** n.bit_length() % n:
+        n += 1
+    return n
+
+
 def _tiles(at: np.ndarray, most: int) -> list[np.ndarray]:
     return np.array_split(at, -(-len(at) // most))
 
@@ -269,10 +282,10 @@ def _one(size: np.ndarray) -> np.ndarray:
 
 def _spectra(prints: list[np.ndarray], n: int) -> np.ndarray:
     """prints x frequencies x 32, of the bits as signs."""
-    signs = np.zeros((len(prints), n, 32), np.float32)
+    signs = np.zeros((len(prints), 32, n), np.float32)
     for k, p in enumerate(prints):
-        signs[k, : len(p)] = np.unpackbits(p.astype(">u4").view(np.uint8)).reshape(-1, 32) * np.float32(2) - 1
-    return np.fft.rfft(signs, axis=1)
+        signs[k, :, : len(p)] = np.unpackbits(p.astype(">u4").view(np.uint8)).reshape(-1, 32).T * np.float32(2) - 1
+    return np.fft.rfft(signs, axis=2).transpose(0, 2, 1)
 
 
 def _query_blocks(queries: DataFrame) -> Iterator[QueryBlock]:
@@ -308,8 +321,8 @@ def align(prints: DataFrame, query_condition: str = "id % 50 = 0", min_votes: in
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for i in range(0, b.num_rows, 200):
-                    part = b.slice(i, 200)
+                for i in range(0, b.num_rows, BATCH):
+                    part = b.slice(i, BATCH)
                     prints = [np.array(p, np.int32) for p in part.column(1).to_pylist()]
                     best = shared.value.best(prints, min_votes, max_bit_error)
                     others = shared.value.others(prints, OVERLAP, max_bit_error)
