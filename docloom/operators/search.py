@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -68,18 +68,28 @@ def check_request(query: str, top_k: int) -> str:
     return query
 
 
-def search(chunks: DataFrame, kind: Kind, embedder: Embedder, query: str, top_k: int = 5, options: dict | None = None, query_prefix: str = "", length_c: float = 0.0, active_operations: list[str] | None = None) -> DataFrame:
-    """document_id, title, source_path, similarity, snippet, metadata (public fields), position. May hold fewer than top_k."""
+def search(chunks: DataFrame, kind: Kind, embedder: Embedder, query: str, top_k: int = 5, options: dict | None = None, query_prefix: str = "", length_c: float = 0.0, active_operations: list[str] | DataFrame | None = None, still_active: Callable[[], DataFrame] | None = None) -> DataFrame:
+    """document_id, title, source_path, similarity, snippet, metadata (public fields), position. May hold fewer than top_k.
+
+    active_operations: the operations whose chunks are visible, a short list or a table with a column operation_id. still_active reads such a table anew
+    once the hits are chosen: hits of operations that ended in between drop out, and nothing moves up in their place.
+    """
     query = check_request(query, top_k)
     where = kind.where(options or {})
-    if active_operations is not None:
+    visible = active_operations.select("operation_id") if isinstance(active_operations, DataFrame) else None
+    if visible is not None:
+        chunks = chunks.join(visible, "operation_id", "left_semi")
+    elif active_operations is not None:
         live = F.col("operation_id").isin(active_operations)
         where = live if where is None else where & live
-    if active_operations is not None and not active_operations:
+    if visible.isEmpty() if visible is not None else active_operations == []:
         chunks, vector = chunks.limit(0), [0.0]  # nothing is visible: no embedding call
     else:
         vector = embed_query(embedder, query, query_prefix)
     hits = top_chunks(chunks, literal_vector(vector), top_k * OVERFETCH, where=where)
+    if still_active is not None:
+        chosen = hits.collect()  # the limit bounds them; what is read afterwards is newer than they are
+        hits = chunks.sparkSession.createDataFrame(chosen, hits.schema).join(still_active().select("operation_id"), "operation_id", "left_semi")
     fields = tuple(c for c in kind.metadata if c in chunks.columns)
     docs = rank_documents(hits, top_k, keep=("document", *fields), length_c=length_c)
     return docs.select(

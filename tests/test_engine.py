@@ -192,6 +192,11 @@ def test_advisors_and_privacy(spark):
     managed = c.withColumn("operation_id", F.lit("o1"))
     assert search.search(managed, PLAIN, e, "b", active_operations=[]).count() == 0
     assert search.search(managed, PLAIN, e, "b", active_operations=["o1"]).count() == 2
+    active = lambda *names: spark.createDataFrame([(n,) for n in names], "operation_id string")
+    assert [search.search(managed, PLAIN, e, "b", active_operations=active(*names)).count() for names in ((), ("o2",), ("o1", "o2"))] == [0, 0, 2]
+    two = c.withColumn("operation_id", F.when(F.col("chunk_id") == "c1", "o1").otherwise("o2"))
+    left = search.search(two, PLAIN, e, "b", active_operations=active("o1", "o2"), still_active=lambda: active("o2")).collect()
+    assert [r.source_path for r in left] == ["p2"]
 
 
 def test_retries_and_alignment():
