@@ -35,8 +35,9 @@ MIN_VOTES = 4
 MAX_BIT_ERROR = 0.25
 OVERLAP = 4  # positions that an alignment covers at least, or all of a shorter recording
 BLOCK = 2_000_000  # integers of queries that a task holds at a time: about 40 MB with their index
-EXPANDED = 2_000_000  # meetings or correlations that a task counts together
-BATCH = 600  # recordings that meet a block together
+EXPANDED = 2_000_000  # meetings or positions that a task counts together
+BATCH = 2000  # recordings that meet a block together, of at most about BLOCK integers
+TILE = 450_000  # correlations that are made together: they and their spectra stay in a core's caches
 HELD = 8_000_000  # complex numbers of recordings' spectra that are kept from one tile of queries to the next: 64 MB
 A4 = 440.0
 
@@ -219,32 +220,43 @@ class QueryBlock:
         """(recording, query, offset, bit error) of all alignments within max_bit_error over at least ``overlap`` positions, or all of a shorter recording.
 
         Bits as signs are correlated at every offset by Fourier transforms, 32 channels summed before the way back; bits are counted exactly afterwards.
-        Recordings and queries are grouped by powers of two and go in tiles of at most about EXPANDED numbers. The queries' spectra serve all recordings of
-        a call, and the recordings' spectra all queries if they fit in HELD.
+        Recordings and queries are grouped by powers of two and go in tiles of about TILE correlations. The queries' spectra serve all recordings of
+        a call, and the recordings' spectra all queries if they fit in HELD. Products of spectra are real matrix products over parts, which run faster.
         """
         size = np.array([len(p) for p in prints], dtype=np.int64)
         room, query_room = _padded(size), _padded(self.size)
         for q_len in np.unique(query_room):
             for r_len in np.unique(room):
                 n = _smooth(2 * int(max(1, self.size[query_room == q_len].max(), size[room == r_len].max())))
-                tile = max(1, min(4 * EXPANDED // (32 * n), math.isqrt(4 * EXPANDED // n)))
-                queries, mine = _tiles(np.flatnonzero(query_room == q_len), tile), np.flatnonzero(room == r_len)
-                parts = _tiles(mine, min(tile, max(1, EXPANDED // (n * len(queries[0])))))
-                spectra = lambda rec: np.ascontiguousarray(_spectra([prints[k].view(np.uint32) for k in rec], n).transpose(1, 0, 2))
+                offset = np.arange(n)
+                offset[n // 2 :] -= n
+                side = math.isqrt(max(1, TILE // (2 * n)))
+                queries, mine = _tiles(np.flatnonzero(query_room == q_len), 2 * side | 1), np.flatnonzero(room == r_len)
+                parts = _tiles(mine, side | 1)
+                product, sums = (np.empty(shape * len(parts[0]) * len(queries[0]), np.float32) for shape in (4 * (n // 2 + 1), n))
+                spectra = lambda rec: _spectra([prints[k].view(np.uint32) for k in rec], n).view(np.float32)
                 held = [spectra(rec) for rec in parts] if 16 * n * len(mine) <= HELD else None
+                waiting, found = [], 0
                 for query in queries:
-                    theirs = np.ascontiguousarray(_spectra([self.flat[self.start[k] : self.start[k] + self.size[k]] for k in query], n).conj().transpose(1, 2, 0))
+                    theirs = _facing(_spectra([self.flat[self.start[k] : self.start[k] + self.size[k]] for k in query], n))
                     for at_part, rec in enumerate(parts):
-                        ours = held[at_part] if held else spectra(rec)
-                        agree = np.fft.irfft(ours @ theirs, n, axis=0)
-                        offset = np.arange(n)
-                        offset[n // 2 :] -= n
+                        pairs = len(rec) * len(query)
+                        both = np.matmul(held[at_part] if held else spectra(rec), theirs, out=product[: 2 * (n // 2 + 1) * pairs].reshape(n // 2 + 1, len(rec), -1))
+                        agree = np.fft.irfft(both.view(np.complex64), n, axis=0, out=sums[: n * pairs].reshape(n, len(rec), -1))
                         r, q, o = _one(size[rec])[None, :, None], _one(self.size[query])[None, None, :], offset[:, None, None]
                         common = np.minimum(r, q + o) - np.maximum(0, o)
                         least = 32 * common * (1 - 2 * max_bit_error) - (1 + 1e-6 * 32 * n)
                         least = np.where(common >= np.minimum(overlap, np.minimum(r, q)), least, np.inf).astype(np.float32)
-                        at, i, k = np.unravel_index(np.flatnonzero(agree >= least), agree.shape)
-                        yield self.judged(prints, rec[i], query[k], offset[at], max_bit_error)
+                        hits = np.flatnonzero(agree >= least)
+                        if len(hits):
+                            at, i, k = np.unravel_index(hits, agree.shape)
+                            waiting.append((rec[i], query[k], offset[at]))
+                            found += len(hits)
+                        if found > EXPANDED // 100:
+                            yield self.judged(prints, *map(np.concatenate, zip(*waiting, strict=True)), max_bit_error)
+                            waiting, found = [], 0
+                if waiting:
+                    yield self.judged(prints, *map(np.concatenate, zip(*waiting, strict=True)), max_bit_error)
 
     def others(self, prints: list[np.ndarray], overlap: int, max_bit_error: float) -> list[list[tuple[float, object, int]]]:
         """(bit error, query, offset) of all alignments of each recording with queries of other fingerprints."""
@@ -281,11 +293,32 @@ def _one(size: np.ndarray) -> np.ndarray:
 
 
 def _spectra(prints: list[np.ndarray], n: int) -> np.ndarray:
-    """prints x frequencies x 32, of the bits as signs."""
+    """frequencies x prints x 32, of the bits as signs."""
     signs = np.zeros((len(prints), 32, n), np.float32)
     for k, p in enumerate(prints):
         signs[k, :, : len(p)] = np.unpackbits(p.astype(">u4").view(np.uint8)).reshape(-1, 32).T * np.float32(2) - 1
-    return np.fft.rfft(signs, axis=2).transpose(0, 2, 1)
+    return np.ascontiguousarray(np.fft.rfft(signs, axis=2).transpose(2, 0, 1))
+
+
+def _facing(spectra: np.ndarray) -> np.ndarray:
+    """A real matrix for each frequency: parts of a recording's spectrum times it are parts of the products with these, conjugated, summed over channels."""
+    turned = spectra.conj().transpose(0, 2, 1)
+    both = np.empty((len(spectra), 32, 2, spectra.shape[1]), np.complex64)
+    both[:, :, 0], both[:, :, 1] = turned, 1j * turned
+    return both.reshape(len(spectra), 64, -1).view(np.float32)
+
+
+def _arrays(lists: pa.ListArray) -> list[np.ndarray]:
+    return np.split(lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False).cumsum()[:-1])
+
+
+def _spans(size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of at most BATCH recordings and about BLOCK integers."""
+    ends, i = np.cumsum(size), 0
+    while i < len(size):
+        j = min(i + BATCH, max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + BLOCK, "right"))))
+        yield i, j
+        i = j
 
 
 def _query_blocks(queries: DataFrame) -> Iterator[QueryBlock]:
@@ -296,7 +329,7 @@ def _query_blocks(queries: DataFrame) -> Iterator[QueryBlock]:
         rows = queries.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == k).toArrow()
         if rows.num_rows:
             ids = np.array(rows.column("query").to_pylist(), dtype=object if pa.types.is_string(rows.schema.field("query").type) else None)
-            yield QueryBlock(ids, [np.array(p, np.int32) for p in rows.column("prints").to_pylist()])
+            yield QueryBlock(ids, _arrays(rows.column("prints").combine_chunks()))
 
 
 def align(prints: DataFrame, query_condition: str = "id % 50 = 0", min_votes: int = MIN_VOTES, max_bit_error: float = MAX_BIT_ERROR) -> DataFrame:
@@ -321,9 +354,9 @@ def align(prints: DataFrame, query_condition: str = "id % 50 = 0", min_votes: in
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for i in range(0, b.num_rows, BATCH):
-                    part = b.slice(i, BATCH)
-                    prints = [np.array(p, np.int32) for p in part.column(1).to_pylist()]
+                for i, j in _spans(b.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)):
+                    part = b.slice(i, j - i)
+                    prints = _arrays(part.column(1))
                     best = shared.value.best(prints, min_votes, max_bit_error)
                     others = shared.value.others(prints, OVERLAP, max_bit_error)
                     hits = [(sha, m and dict(zip(arrow.names, m, strict=True)), [dict(zip(arrow.names, x, strict=True)) for x in o]) for sha, m, o in zip(part.column(0).to_pylist(), best, others, strict=True) if m or o]

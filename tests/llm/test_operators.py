@@ -421,6 +421,7 @@ def test_query_blocks_equal_brute_force(monkeypatch):
 def test_alignments_equal_all_offsets(monkeypatch, expanded):
     """Without keys or votes: noisy and shifted copies up to the limit, and recordings of one to three integers."""
     monkeypatch.setattr(chroma, "EXPANDED", expanded)
+    monkeypatch.setattr(chroma, "TILE", expanded)
     rng = np.random.default_rng(8)
     prints = [rng.integers(0, 2**32, n, dtype=np.uint64).astype(np.uint32) for n in (118, 118, 1, 2, 3, 40, 200)]
     for share in (0.05, 0.15, 0.2, 0.23, 0.3):
