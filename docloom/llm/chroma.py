@@ -258,16 +258,22 @@ class QueryBlock:
                 if waiting:
                     yield self.judged(prints, *map(np.concatenate, zip(*waiting, strict=True)), max_bit_error)
 
-    def others(self, prints: list[np.ndarray], overlap: int, max_bit_error: float) -> list[list[tuple[float, object, int]]]:
-        """(bit error, query, offset) of all alignments of each recording with queries of other fingerprints."""
-        found: list[list[tuple[float, object, int]]] = [[] for _ in prints]
+    def links(self, prints: list[np.ndarray], overlap: int, max_bit_error: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(recording, query, offset, bit error) of all alignments of recordings with queries of other fingerprints, by recording, then bit error, query and offset."""
         named: dict[bytes, int] = {}
         name = np.array([named.setdefault(self.flat[b : b + n].tobytes(), len(named)) for b, n in zip(self.start, self.size, strict=True)])
         own = np.array([named.get(p.tobytes(), -1) for p in prints])
-        for rec, query, offset, error in self.near(prints, overlap, max_bit_error):
-            other = own[rec] != name[query]
-            for r, q, o, e in zip(*(x[other].tolist() for x in (rec, query, offset, error)), strict=True):
-                found[r].append((e, self.ids[q], o))
+        none = (np.empty(0, np.int64),) * 3 + (np.empty(0),)
+        rec, query, offset, error = map(np.concatenate, zip(none, *self.near(prints, overlap, max_bit_error), strict=True))
+        kept = np.flatnonzero(own[rec] != name[query])
+        kept = kept[np.lexsort((offset[kept], query[kept], error[kept], rec[kept]))]
+        return rec[kept], query[kept], offset[kept], error[kept]
+
+    def others(self, prints: list[np.ndarray], overlap: int, max_bit_error: float) -> list[list[tuple[float, object, int]]]:
+        """(bit error, query, offset) of the links of each recording."""
+        found: list[list[tuple[float, object, int]]] = [[] for _ in prints]
+        for r, q, o, e in zip(*(x.tolist() for x in self.links(prints, overlap, max_bit_error)), strict=True):
+            found[r].append((e, self.ids[q], o))
         return found
 
 
@@ -358,9 +364,13 @@ def align(prints: DataFrame, query_condition: str = "id % 50 = 0", min_votes: in
                     part = b.slice(i, j - i)
                     prints = _arrays(part.column(1))
                     best = shared.value.best(prints, min_votes, max_bit_error)
-                    others = shared.value.others(prints, OVERLAP, max_bit_error)
-                    hits = [(sha, m and dict(zip(arrow.names, m, strict=True)), [dict(zip(arrow.names, x, strict=True)) for x in o]) for sha, m, o in zip(part.column(0).to_pylist(), best, others, strict=True) if m or o]
-                    yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in hits], t) for k, t in enumerate((pa.string(), arrow, pa.list_(arrow)))], ["sha", "m", "others"])
+                    rec, query, offset, error = shared.value.links(prints, OVERLAP, max_bit_error)
+                    ends = np.searchsorted(rec, np.arange(len(prints) + 1)).astype(np.int32)
+                    named = pa.array(shared.value.ids, arrow.field("query").type).take(pa.array(query))
+                    others = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(error), named, pa.array(offset.astype(np.int32))], fields=list(arrow)))
+                    told = pa.array([m and dict(zip(arrow.names, m, strict=True)) for m in best], arrow)
+                    rows = pa.RecordBatch.from_arrays([part.column(0), told, others], ["sha", "m", "others"])
+                    yield rows.take(pa.array(np.flatnonzero([m is not None for m in best] | (np.diff(ends) > 0))))
 
         found = found.unionByName(materialise(classes.select("sha", "prints").mapInArrow(run, schema), "alignments"))
         shared.unpersist()
