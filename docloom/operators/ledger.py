@@ -6,9 +6,13 @@ not advance state, is a sequential fold for each (corpus, source).
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 from docloom.shipping import ship
 
@@ -34,6 +38,19 @@ class Source:
         self.versions: dict[str, str] = {}
         self.open: dict[int, tuple[str, int]] = {}  # job -> kind, revision
 
+    def dumps(self) -> str:
+        """All that later requests depend on, as JSON."""
+        keys = [[*k, *v] for k, v in self.keys.items()]
+        return json.dumps([self.owner, self.revision, self.enabled, self.deleted, self.active, keys, self.versions, [[j, *v] for j, v in self.open.items()]])
+
+    @classmethod
+    def loads(cls, text: str) -> Source:
+        source = cls()
+        source.owner, source.revision, source.enabled, source.deleted, source.active, keys, source.versions, open_ = json.loads(text)
+        source.keys = {(service, key): (job, checksum) for service, key, job, checksum in keys}
+        source.open = {job: (kind, revision) for job, kind, revision in open_}
+        return source
+
     def submit(self, r: dict) -> tuple[str, int | None]:
         """(outcome, job). A refused request leaves the state as it was."""
         known = self.keys.get((r["service_id"], r["idempotency_key"]))
@@ -80,12 +97,13 @@ class Source:
         return "succeeded"
 
 
-def fold_source(requests: pd.DataFrame, at_once: bool = True) -> pd.DataFrame:
+def fold_source(requests: pd.DataFrame, at_once: bool = True, source: Source | None = None) -> pd.DataFrame:
     """The outcome of each request of one source, in order of arrival, and the state after it.
 
     Rows of kind finish say that ``job`` ended, with an error's class name or none; with at_once, jobs need no such rows and end when they are accepted.
+    source: what earlier requests left, which these go on from and change.
     """
-    source, out = Source(), []
+    source, out = source or Source(), []
     nothing = lambda x: x is None or x is pd.NA or x != x
     for r in requests.sort_values("seq").to_dict("records"):
         r = {k: None if nothing(v) else v for k, v in r.items()}
@@ -100,12 +118,30 @@ def fold_source(requests: pd.DataFrame, at_once: bool = True) -> pd.DataFrame:
     return pd.DataFrame(out, columns=names).astype({c: "Int64" for c in ("revision", "job", "job_seq", "revision_after", "active_job_after")})
 
 
-def fold(requests: DataFrame, at_once: bool = True) -> DataFrame:
-    """Columns of REQUEST that requests lacks are null: queue_full is pending_full() of the service when the request came."""
+def _by_source(requests: DataFrame):
     ship(requests.sparkSession)
     have = set(requests.columns)
     full = requests.select(*(F.col(n) if n in have else F.lit(None).cast(t).alias(n) for n, t in (x.split() for x in REQUEST.split(", "))))
-    return full.groupBy("corpus", "source_id").applyInPandas(lambda p: fold_source(p, at_once), OUTCOME)
+    return full.groupBy("corpus", "source_id")
+
+
+def fold(requests: DataFrame, at_once: bool = True) -> DataFrame:
+    """Columns of REQUEST that requests lacks are null: queue_full is pending_full() of the service when the request came."""
+    return _by_source(requests).applyInPandas(lambda p: fold_source(p, at_once), OUTCOME)
+
+
+def fold_stream(requests: DataFrame, at_once: bool = True) -> DataFrame:
+    """fold() of a stream: each source is kept in the state store, so a batch folds its own requests only.
+
+    Within a batch requests go by seq; a request that comes in a later batch is later, whatever its seq.
+    """
+
+    def step(_, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        source = Source.loads(state.get[0]) if state.exists else Source()
+        yield fold_source(pd.concat(list(parts)), at_once, source)
+        state.update((source.dumps(),))
+
+    return _by_source(requests).applyInPandasWithState(step, OUTCOME, "memory string", "append", "NoTimeout")
 
 
 def latest_state(outcomes: DataFrame) -> DataFrame:

@@ -21,24 +21,22 @@ def minute_usage(log: DataFrame, service: str = "service_id", ts: str = "ts") ->
     return log.withWatermark(ts, "2 minutes").groupBy(service, F.window(ts, "1 minute")).agg(F.count(F.lit(1)).alias("requests")).select(service, F.col("window.start").alias("minute"), "requests")
 
 
-def ingest(requests: DataFrame, ledger_path: str, checkpoint: str, publish: Callable[[DataFrame], None] | None = None, interval: str | None = None) -> StreamingQuery:
-    """Append each batch's requests to the ledger, fold the sources it touches over their whole history, publish the new states.
+def ingest(requests: DataFrame, ledger_path: str, checkpoint: str, publish: Callable[[DataFrame], None] | None = None, interval: str | None = None, at_once: bool = True) -> StreamingQuery:
+    """Fold each batch's requests onto the kept states of their sources, append requests with their outcomes to the ledger, publish the new states.
 
-    The batch's folder is named by its number, so a batch that runs again after a failure replaces itself.
+    States live in the query's checkpoint; a batch costs what its own requests cost. A batch's folders are named by its number, so a batch that runs again
+    after a failure replaces itself.
     """
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
-        df.write.mode("overwrite").parquet(f"{ledger_path}/requests/batch={number}")
-        history = spark.read.schema(ledger.REQUEST).parquet(f"{ledger_path}/requests")
-        touched = df.select("corpus", "source_id").distinct()
-        outcomes = ledger.fold(history.drop("batch").join(touched, ["corpus", "source_id"], "left_semi"))
-        states = ledger.latest_state(outcomes)
+        df.write.mode("overwrite").parquet(f"{ledger_path}/outcomes/batch={number}")
+        states = ledger.latest_state(spark.read.schema(ledger.OUTCOME).parquet(f"{ledger_path}/outcomes/batch={number}"))
         states.write.mode("overwrite").parquet(f"{ledger_path}/states/batch={number}")
         if publish is not None:
             publish(spark.read.parquet(f"{ledger_path}/states/batch={number}"))
 
-    writer = requests.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    writer = ledger.fold_stream(requests, at_once).writeStream.outputMode("append").foreachBatch(batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
     return writer.start()
 

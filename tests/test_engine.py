@@ -340,6 +340,31 @@ def test_stream_equals_batch(spark, tmp_path):
     assert [(s.revision_after, s.enabled_after, s.active_job_after) for s in state] == [(3, False, 2)]
 
 
+def test_stream_goes_on_from_kept_states(spark, tmp_path):
+    """Replays, fences, versions and open jobs of earlier batches hold in later ones, and no batch reads another's requests."""
+    from docloom.streaming import ingest
+
+    end = lambda seq, job, error=None: (seq, None, "c", "src", "finish", None, None, None, None, None, None, None, job, error)
+    more = lambda r: (*r, False, None, None)
+    batches = [
+        [more(request(1, key="k")), more(request(2, key="k"))],
+        [more(request(3, key="k")), end(4, 1), more(request(5, revision=2, version="v1", content="other")), more(request(6, revision=3, version="v2"))],
+        [more(request(7, revision=3, version="v3")), more(request(8, "state", 4, enabled=False)), end(9, 6), end(10, 8)],
+        [more(request(11, revision=5, service="stranger"))],
+    ]
+    names = [x.split()[0] for x in ledger.REQUEST.split(", ")]
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for i, rows in enumerate(batches):
+        (folder / f"{i}.json").write_text("\n".join(json.dumps(dict(zip(names, r, strict=True))) for r in rows))
+        ingest.ingest(ingest.request_stream(spark, str(folder)), str(tmp_path / "l"), str(tmp_path / "cp"), at_once=False).awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "l" / "outcomes")).orderBy("seq").collect()
+    want = ledger.fold(spark.createDataFrame([r for b in batches for r in b], ledger.REQUEST), at_once=False).orderBy("seq").collect()
+    assert [tuple(g[c] for c in want[0].asDict()) for g in got] == [tuple(w) for w in want]
+    assert [g.outcome for g in got] == ["accepted", "replay", "replay", "succeeded", "version_conflict", "accepted", "stale", "accepted", "superseded", "succeeded", "not_found"]
+    assert {r["batch"]: r["count"] for r in spark.read.parquet(str(tmp_path / "l" / "outcomes")).groupBy("batch").count().collect()} == {0: 2, 1: 4, 2: 4, 3: 1}
+
+
 def test_managed_jobs(spark, tmp_path):
     """Index, supersede, fail, delete; files appear and vanish with their versions."""
 
