@@ -33,6 +33,7 @@ ORDER = 4
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 REMEMBERED = 200_000
+ROWS = 500  # texts that are predicted together: the rest of an Arrow batch stays in Arrow
 COUNTED = 500_000  # words and n-grams that a task counts before it sends them on
 
 
@@ -77,7 +78,7 @@ def grams_of(word: str, order: int) -> Iterator[str]:
 
 
 class Scorer:
-    """A model with the rows of remembered words, for one task."""
+    """A model with the rows of remembered words, for one task: kept longer, it would take memory from the stages that follow in the same worker."""
 
     def __init__(self, model: Model):
         self.langs, self.order = model.langs, model.order
@@ -188,9 +189,11 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for b in batches:
+        for b in (x.slice(i, ROWS) for x in batches for i in range(0, x.num_rows, ROWS)):
             out = [scorer.predict(t) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], [*b.schema.names, "lang_pred", "score"])
+        del scorer
+        pa.default_memory_pool().release_unused()
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.mapInArrow(predicted, schema)
