@@ -7,14 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import pii, secrets
+from docloom.llm import pii, product_codes, secrets
 from docloom.llm.bpe import encode_documents
 from docloom.llm.chroma import align, fingerprints, rendered
 from docloom.llm.exact_dedup import exact_groups
 from docloom.llm.jaccard import near_groups
 from docloom.llm.language_id import language_digest
 from docloom.llm.mixing import mix
+from docloom.llm.prefix_trie import trie_digest
 from docloom.llm.sharding import shard_by_bytes
+from docloom.llm.vector_dedup import near_vectors
 from docloom.llm.warc import warc_digest
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -66,8 +68,23 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_yinyang_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return product_codes.code_digest(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_digest(_table(spark, sf_dir, "conversations"))
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_secret_scan, op2_exact_dedup, op3_chroma_fingerprints, op4_ngram_jaccard_join, op5_virtual_slot_sharding, op6_language_id, op7_source_mixing, op8_byte_bpe, op9_warc, op10_pii)
+    ops = (
+        op1_secret_scan, op2_exact_dedup, op3_chroma_fingerprints, op4_ngram_jaccard_join, op5_virtual_slot_sharding, op6_language_id, op7_source_mixing, op8_byte_bpe, op9_warc, op10_pii,
+        op11_yinyang_codes, op12_prefix_trie, op13_embedding_dedup,
+    )
     return {f.__name__: f for f in ops}
 
 
@@ -195,5 +212,52 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN keep IS DISTINCT FROM p
   CASE WHEN keep IS DISTINCT FROM page_id THEN keep END AS refers_to FROM k"""
 
 
+SOUND = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _op11_sql() -> str:
+    """Lloyd rounds in plain form: all distances of every part to its codebook, as exact integers in doubles."""
+    parts, entries, rounds, limit = product_codes.PARTS, product_codes.ENTRIES, product_codes.ROUNDS, product_codes.LIMIT
+    assigned = lambda r: f"""a{r} AS MATERIALIZED (SELECT row, part, min_by(entry, (d, entry)) AS entry, min(d) AS d FROM (
+        SELECT row, p.part, entry, list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM p JOIN c{r} c ON p.part = c.part) GROUP BY row, part)"""
+    moved = lambda r: f"""m{r} AS (SELECT part, entry, i, floor(sum(x) / count(*)) AS x FROM (SELECT part, entry, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM p JOIN a{r} USING (row, part)) GROUP BY part, entry, i),
+      c{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(n.v, c.v) AS v FROM c{r} c LEFT JOIN (SELECT part, entry, list(x ORDER BY i) AS v FROM m{r} GROUP BY part, entry) n USING (part, entry))"""
+    steps = ", ".join(f"{assigned(r)}, {moved(r)}" for r in range(rounds)) + f", {assigned(rounds)}"
+    return f"""WITH k AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS row, vec_id, label, list_transform(embedding, lambda x: greatest(-{limit}, least({limit}, floor({product_codes.SCALE} * x::DOUBLE)))) AS v FROM embeddings WHERE {SOUND}),
+      p AS MATERIALIZED (SELECT row, part, v[part * (len(v) // {parts}) + 1 : (part + 1) * (len(v) // {parts})] AS v FROM k, generate_series(0, {parts - 1}) g(part)),
+      c0 AS MATERIALIZED (SELECT part, row - 1 AS entry, v FROM p WHERE row <= {entries}), {steps},
+      books AS (SELECT sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY part, entry, i)) AS codebooks_sha256 FROM (SELECT part, entry, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM c{rounds})),
+      coded AS (SELECT row, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY row)
+      SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM k JOIN coded USING (row), books"""
+
+
+#: crc32 by bytes and bits: 256 + byte is xored in, and followed by eight shifts (-1).
+CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: list_concat([256 + ord(x)::BIGINT], [-1::BIGINT, -1, -1, -1, -1, -1, -1, -1])))),
+  lambda c, op: CASE WHEN op >= 256 THEN xor(c, op - 256) ELSE xor(c >> 1, (c & 1) * 3988292384) END))"""
+
+#: Prefixes are spelt out; sums over a subtree go from each node to all of its prefixes.
+OP12_SQL = f"""WITH own AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), text) - 1 AS place, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {CRC32} % 6 AS h FROM (SELECT DISTINCT conv_id FROM own)),
+r AS (SELECT c.conv_id, place, role, text FROM c JOIN own ON own.conv_id = base AND place < h UNION ALL SELECT c.conv_id, place + 1000000, role, text FROM c JOIN own ON own.conv_id = c.conv_id AND place >= h),
+s AS (SELECT conv_id, text, row_number() OVER w AS depth, md5(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER w) AS key FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY place)),
+e AS (SELECT conv_id, 0 AS depth, '' AS key, '' AS text FROM c UNION ALL SELECT conv_id, depth, key, text FROM s),
+ends AS (SELECT key, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, max_by(key, depth) AS key FROM e GROUP BY conv_id) GROUP BY key),
+n AS (SELECT key, min(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * length(any_value(text)) AS saved FROM e GROUP BY key),
+p AS (SELECT n.*, up.key AS parent FROM n LEFT JOIN e up ON up.conv_id = n.conv_id AND up.depth = n.depth - 1),
+k AS (SELECT p.*, coalesce(n_children, 0) AS n_children FROM p LEFT JOIN (SELECT parent AS key, count(*) AS n_children FROM p WHERE parent IS NOT NULL GROUP BY parent) USING (key)),
+sums AS (SELECT up.key, sum((n_children = 0)::INT) AS n_leaves, sum(saved) AS saved_tokens FROM k JOIN e up ON up.conv_id = k.conv_id AND up.depth <= k.depth GROUP BY up.key)
+SELECT k.conv_id, k.depth, q.conv_id AS parent_conv_id, k.n_convs, k.n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM k JOIN sums USING (key) LEFT JOIN ends USING (key) LEFT JOIN n q ON q.key = k.parent"""
+
+OP13_SQL = f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, vec_id, label, CASE WHEN {SOUND} AND len(list_filter(embedding, lambda x: x <> 0)) > 0 THEN list_transform(embedding, lambda x: x::DOUBLE) END AS v FROM embeddings),
+near AS MATERIALIZED (SELECT a.row AS a, b.row AS b FROM d a JOIN d b ON a.label = b.label AND a.row <> b.row AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reach AS (SELECT row, row AS other FROM d UNION SELECT r.row, b FROM reach r JOIN near ON r.other = a),
+c AS (SELECT r.row, min(o.vec_id) AS component_id FROM reach r JOIN d o ON o.row = r.other GROUP BY r.row)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM d JOIN c USING (row) LEFT JOIN (SELECT a AS row, count(*) AS n FROM near GROUP BY a) USING (row)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": _op1_sql(), "op2_exact_dedup": OP2_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op7_source_mixing": OP7_SQL, "op9_warc": OP9_SQL, "op10_pii": _op10_sql()}
+    return {
+        "op1_secret_scan": _op1_sql(), "op2_exact_dedup": OP2_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op7_source_mixing": OP7_SQL, "op9_warc": OP9_SQL, "op10_pii": _op10_sql(),
+        "op11_yinyang_codes": _op11_sql(), "op12_prefix_trie": OP12_SQL, "op13_embedding_dedup": OP13_SQL,
+    }

@@ -55,7 +55,7 @@ def test_odd_rows_and_empty_tables(odd, f):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_sql(spark, sf, name):
     db = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings", "conversations"):
         db.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     got = queries.queries()[name](spark, sf)
     cols = sorted(got.columns)
