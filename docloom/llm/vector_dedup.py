@@ -1,8 +1,8 @@
 """Near-duplicate vectors by random-hyperplane signs in several tables, exact cosines and connected components.
 
 Only vectors of one label and length are compared. Equal vectors of a label are one class, with a weight. Each of L tables gives a class the signs of its dot products with B random
-hyperplanes; classes with equal signs in a table share its bucket. B follows the number of classes, so that unlike vectors seldom meet, and L follows B, so that at every size a pair of
-exactly the least cosine is missed with the same probability (``miss``), nearer pairs with less. Only buckets that several classes share are opened: their vectors meet in tasks, sorted by bucket, and all pairs
+hyperplanes; classes with equal signs in a table share its bucket. B follows the number of classes of the largest label, so that unlike vectors seldom meet, and L follows B, so that at every size a pair of
+exactly the least cosine is missed with the same probability (``miss``), nearer pairs with less. A few tables at a time are dealt out. Only buckets that several classes share are opened, found by counts of 64-bit codes of buckets, where a collision costs a comparison and nothing else: their vectors meet in tasks, sorted by bucket, and all pairs
 of a bucket are compared by matrix products of doubles, without a row for a pair. A pair counts in the first table whose bucket it shares, which both signatures tell.
 What leaves a task is each class's number of linked vectors and the edges of a spanning forest.
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ from docloom.llm.vectors import by_length, slices
 from docloom.shipping import ship
 
 MISS = 1e-5
+AT_ONCE = 8  # tables whose buckets are dealt at a time: what is on disk at once does not grow with the number of tables
 BLOCK = 1024
 SMALL = 24  # groups up to this size are compared row by row
 SEED = 20240229
@@ -39,7 +41,7 @@ ROWS = 2000
 
 def plan(classes: int, least: float, miss: float = MISS) -> tuple[int, int]:
     """(signs in a table, tables) for so many classes."""
-    bits = min(60, max(8, math.ceil(math.log2(max(2, classes))) + 2))
+    bits = min(60, max(8, math.ceil(math.log2(max(2, classes))) + 4))
     meet = (1 - math.acos(least) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(miss) / math.log1p(-meet)))
 
@@ -53,7 +55,8 @@ def scaled(m: np.ndarray) -> np.ndarray:
 
 def _classes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
     """vec_id, cls (null: links with nothing), label, v of every row."""
-    named = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    named = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("v"))
+    kind = named.schema["v"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, ROWS):
@@ -66,7 +69,7 @@ def _classes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -
                             cls[i] = xxhash.xxh3_128_digest(f"{len(labels[i])}:{labels[i]}".encode("utf-8", "surrogatepass") + row.tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cls, pa.binary()), *b.columns[1:]], ["vec_id", "cls", "label", "v"])
 
-    return named.mapInArrow(run, f"vec_id {named.schema['vec_id'].dataType.simpleString()}, cls binary, label string, v array<double>")
+    return named.mapInArrow(run, f"vec_id {named.schema['vec_id'].dataType.simpleString()}, cls binary, label string, v {kind}")
 
 
 def _signed(classes: DataFrame, bits: int, tables: int) -> DataFrame:
@@ -176,32 +179,40 @@ def _compared(least: float):
     return run
 
 
+def _found(classes: DataFrame, signed: DataFrame, tables: range, least: float, block: int) -> DataFrame:
+    """cls, n, root: links of pairs whose first common bucket is in one of these tables; a written table."""
+    each = signed.select("cls", "label", "dim", F.posexplode(F.slice("signs", tables.start + 1, len(tables))).alias("k", "sign"))
+    each = each.select("cls", (F.col("k") + tables.start).alias("t"), F.xxhash64("label", "dim", "k", "sign").alias("code"))
+    shared = each.groupBy("code").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = materialise(shared.drop("n"), "shared")
+    spots = each.join(shared, "code").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    spots = spots.withColumn("other", other).select("cls", "t", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    full = spots.join(signed, "cls").withColumn("sign", F.get("signs", F.col("t"))).join(classes.select("cls", "weight", "v"), "cls")
+    dealt = full.repartition(*GROUP).sortWithinPartitions(*GROUP)
+    found = materialise(dealt.mapInArrow(_compared(least), "cls binary, n long, root binary"), "found")
+    discard(shared)
+    return found
+
+
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, miss: float = MISS, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row: vectors of equal labels with a cosine of at least ``least`` are linked."""
     ship(vectors.sparkSession)
     rows = materialise(_classes(vectors, id_col, vector_col, label_col), "rows")
     some = rows.filter("cls IS NOT NULL").groupBy("cls").agg(F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("low"), F.first("label").alias("label"), F.first("v").alias("v"))
     classes = materialise(some, "classes")
-    bits, tables = plan(classes.count(), least, miss)
+    largest = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    bits, tables = plan(largest, least, miss)
     signed = materialise(_signed(classes, bits, tables), "signs")
+    found = [_found(classes, signed, range(k, min(k + AT_ONCE, tables)), least, block) for k in range(0, tables, AT_ONCE)]
+    discard(signed)
+    edges = reduce(DataFrame.unionByName, found)
 
-    each = signed.select("cls", "label", "dim", F.posexplode("signs").alias("t", "sign"))
-    shared = each.groupBy(*BUCKET).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi")
-    shared = materialise(shared.drop("lo", "hi"), "shared")
-    spots = each.join(shared, BUCKET).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    spots = spots.withColumn("other", other).select("cls", *BUCKET, "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    full = spots.join(classes.select("cls", "weight", "v"), "cls").join(signed.select("cls", "signs"), "cls")
-    dealt = full.repartition(*GROUP).sortWithinPartitions(*GROUP)
-    found = materialise(dealt.mapInArrow(_compared(least), "cls binary, n long, root binary"), "found")
-    for t in (shared, signed):
-        discard(t)
-
-    roots = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")))
-    links = found.groupBy("cls").agg(F.sum("n").alias("n"))
+    roots = components(edges.select(F.col("cls").alias("a"), F.col("root").alias("b")))
+    links = edges.groupBy("cls").agg(F.sum("n").alias("n"))
     named = classes.select("cls", "weight", "low").join(links, "cls", "left").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
     named = materialise(named.select("cls", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "low", F.coalesce("root", "cls").alias("root")), "named")
-    for t in (classes, found):
+    for t in (classes, *found):
         discard(t)
     lowest = materialise(named.groupBy("root").agg(F.min("low").alias("component_id")), "lowest")
     placed = materialise(join_each(named, lowest, "root").select("cls", "n_links", "component_id"), "placed")
