@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from docloom.shipping import ship
 
 CHUNK_CHARS = 1 << 20
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 REPLAYED = 1000  # words in one index: few enough to stay in the processor's caches
 SPACE = r"\t-\r \x85\xa0  -     　"
 ASTRAL = re.compile("[\U00010000-\U0010ffff]")
@@ -181,10 +181,10 @@ class Encoder:
             yield list(chain.from_iterable(map(get, s)))
 
 
-@lru_cache(maxsize=2)
-def worker_encoder(path: str) -> Encoder:
-    """One for each Python worker, so that words stay remembered from task to task."""
-    return Encoder(Codec(path))
+@lru_cache(maxsize=1)
+def worker_codec(path: str) -> Codec:
+    """One for each Python worker, of the vocabulary's size; remembered words go with their task, so that they take no memory from later stages."""
+    return Codec(path)
 
 
 def _chunks(texts: list[str | None]) -> Iterator[list[str]]:
@@ -205,8 +205,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
         raise ValueError("the vocabulary goes with another pattern")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(vocabulary)
-        codec = encoder.codec
+        codec = worker_codec(vocabulary)
+        encoder = Encoder(codec)
         for b in batches:
             key, at = b.column(0), 0
             for chunk in _chunks(b.column(1).to_pylist()):

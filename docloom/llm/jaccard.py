@@ -277,7 +277,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The document with the smallest id of each group, with all its columns; documents without tokens all stay."""
-    stay = near_groups(docs, id_col, text_col, words, num, den).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = stay.select(F.col("doc_id").alias("__i")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["__i"]), "left_semi")
+    """One row of each group, with all its columns: that with the smallest id, null ids last, of equal ids the first in the table. Documents without tokens all stay.
+
+    Rows are numbered in a written table, so that ids may be null or repeat.
+    """
+    numbered = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    groups = near_groups(numbered, "__row", text_col, words, num, den).select(F.col("doc_id").alias("__row"), "component_id")
+    alike = groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    members = materialise(groups.join(alike, "component_id"), "members")
+    named = members.join(numbered.select("__row", F.col(id_col).alias("__i")), "__row")
+    best = named.groupBy("component_id").agg(F.min(F.struct(F.col("__i").isNull(), "__i", "__row")).alias("best"))
+    stay = materialise(best.select(F.col("best.__row").alias("__row")), "stay")
+    gone = materialise(members.select("__row").join(stay, "__row", "left_anti"), "gone")
+    for t in (members, stay):
+        discard(t)
+    return numbered.join(gone, "__row", "left_anti").select(*docs.columns)

@@ -4,7 +4,7 @@ A known word scores its log frequency in every language. An unseen word is cut f
 longest known character n-grams, from ``ORDER`` characters down to one, whose log frequencies add up. The language with
 the highest sum wins, of tied ones the first by name; the score is its softmax over sums divided by the root of the number of words.
 
-Learning reads the labelled rows: a hash of the id picks at most about ``per_lang`` of each language, the one bound of the
+Learning reads the labelled rows: a hash of id, text and place picks about ``per_lang`` of each language, the one bound of the
 model. All words and n-grams of the picked rows are counted in tasks, whatever their frequency, and reach the driver as flat Arrow columns; the
 model is a few arrays, broadcast. Prediction reads whole texts in Arrow batches; words that were scored once are remembered up to a bound.
 
@@ -50,9 +50,9 @@ class Table:
         self.keys = coded.dictionary
         at = counts.column("lang").combine_chunks().dictionary_encode()
         lang = np.array([langs.index(x) for x in at.dictionary.to_pylist()], np.int64)[at.indices.to_numpy()] if len(at) else np.empty(0, np.int64)
-        m = np.full((len(self.keys), len(langs)), 0.5)
+        m = np.full((len(self.keys), max(1, len(langs))), 0.5)
         np.add.at(m, (coded.indices.to_numpy(), lang), counts.column("n").to_numpy())
-        self.logs = (np.log(m) - np.log(m.sum(0))).astype(np.float32)
+        self.logs = (np.log(m) - np.log(np.maximum(m.sum(0), 0.5))).astype(np.float32)
 
     def rows(self) -> dict[str, int]:
         return dict(zip(self.keys.to_pylist(), range(len(self.keys)), strict=True))
@@ -155,12 +155,12 @@ def _summed(key: str, pairs):
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, order: int = ORDER) -> Model:
-    """From rows with a text and a language; about ``per_lang`` rows of each language, picked by a hash of the id."""
+    """From rows with a text and a language; about ``per_lang`` rows of each language, picked by a hash of id, text and place, so that repeated ids or rows are not picked together."""
     rows = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).filter("t IS NOT NULL AND l IS NOT NULL")
     ship(docs.sparkSession)
     there = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.create_map(*(x for k, n in there.items() for x in (F.lit(k), F.lit(min(1.0, per_lang / n))))) if there else F.lit(None).cast("map<string,double>")
-    picked = rows.filter(F.pmod(F.xxhash64(F.coalesce("i", F.lit("null"))), F.lit(1 << 30)) < F.element_at(share, F.col("l")) * (1 << 30))
+    picked = rows.filter(F.pmod(F.xxhash64(F.coalesce("i", F.lit("null")), "t", F.monotonically_increasing_id()), F.lit(1 << 30)) < F.element_at(share, F.col("l")) * (1 << 30))
 
     def text_words(b: pa.RecordBatch):
         for t, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

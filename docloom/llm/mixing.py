@@ -9,7 +9,7 @@ Targets: sources by code point, null last, weigh ``weights`` in turn and share a
 its source's size and the excess is shared by weight among the rest, which is filling up to a common level.
 
 Defined results: null or blank texts have size 0 and are taken 0 words; a null source is a source of its own; null ids hash
-as the word null; rows with equal ids share a hash and are taken together; an empty table gives an empty one; other input columns are ignored.
+as the word null; only rows equal in id and text share a hash and are taken together; an empty table gives an empty one; other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,9 +28,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
-def hash60(id_col: str) -> Column:
-    """60 bits of MD5 of the id as text: the same in any engine."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))), 1, 15), 16, 10).cast("long")
+def hash60(id_col: str, text_col: str) -> Column:
+    """60 bits of MD5 of id and text: the same in any engine."""
+    named = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    return F.conv(F.substring(F.md5(named), 1, 15), 16, 10).cast("long")
 
 
 def source_targets(sums: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -88,7 +89,7 @@ def thresholds(sized: DataFrame, budgets: DataFrame, bits: int = BITS, levels: i
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), hash60(id_col).alias("hash"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), hash60(id_col, text_col).alias("hash"))
 
 
 def mix_plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -124,7 +125,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The documents of the mix with all their columns, each as often as it is taken: a filter by its source's threshold, one row for each source being joined."""
     sized = materialise(_sized(docs, id_col, text_col, source_col), "sized")
     plan = mix_plan(sized, weights, most).select(*(F.col(c).alias(f"__{c}") for c in ("s", "whole", "below")))
-    keyed = docs.withColumns({"__size": word_count(F.col(text_col)), "__hash": hash60(id_col)})
+    keyed = docs.withColumns({"__size": word_count(F.col(text_col)), "__hash": hash60(id_col, text_col)})
     kept = keyed.join(plan, F.col(source_col).cast("string").eqNullSafe(F.col("__s")))
     times = F.array_repeat(F.lit(1), _repeats("__size", "__hash", "__whole", "__below", most))
     return kept.withColumn("__c", F.explode(times)).select(*docs.columns)

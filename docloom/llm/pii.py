@@ -32,7 +32,7 @@ IBAN_LENGTHS = {
 }
 _REGISTERED = "|".join(IBAN_LENGTHS.values()).replace(" ", "|")
 _BY_LENGTH = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
-IBAN = f"(?<![A-Za-z0-9])(?:{_BY_LENGTH}|(?!{_REGISTERED})[A-Z]{{2}}[0-9]{{2}}(?:\\x20?[A-Z0-9]){{11,30}})(?![A-Za-z0-9])"
+IBAN = f"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_BY_LENGTH}|(?!{_REGISTERED})[A-Z]{{2}}[0-9]{{2}}(?:\\x20?[A-Z0-9]){{11,30}})(?![A-Za-z0-9])"
 SSN = "(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])"
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "iban", "ssn"]

@@ -111,9 +111,10 @@ def scan_secrets(
     # Windows that overlap or touch: a span begins where no window came within its length before, and ends likewise.
     first = f"filter(c.hot, (h, i) -> i = 0 OR h - c.hot[i - 1] > {window})"
     last = f"filter(c.hot, (h, i) -> i = size(c.hot) - 1 OR c.hot[i + 1] - h > {window})"
-    df = df.withColumn("__c", F.expr(f"transform(__c, c -> named_struct('start', c.start, 'hit', c.hit, 'first', {first}, 'last', {last}))"))
-    # Pieces of the run: a span's text is cut from it once, spans being few.
-    spans = f"transform(c.first, (h, i) -> named_struct('start', c.start + h, 'end', c.start + c.last[i] + {window}, 'hit', substr(c.hit, h + 1, c.last[i] + {window} - h)))"
+    df = df.withColumn("__c", F.expr(f"transform(__c, c -> named_struct('start', c.start, 'pieces', regexp_extract_all(c.hit, '.{{1,{PIECE}}}', 0), 'first', {first}, 'last', {last}))"))
+    # A span's text is cut from the pieces of the run that it touches, not from the whole run.
+    cut = f"array_join(slice(c.pieces, h div {PIECE} + 1, (c.last[i] + {window}) div {PIECE} - h div {PIECE} + 1), '')"
+    spans = f"transform(c.first, (h, i) -> named_struct('start', c.start + h, 'end', c.start + c.last[i] + {window}, 'hit', substr({cut}, cast(h % {PIECE} + 1 AS int), c.last[i] + {window} - h)))"
     return df.select(id_col, "assign", "access", "hex", F.expr(f"flatten(transform(__c, c -> {spans}))").alias("entropy"))
 
 

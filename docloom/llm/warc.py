@@ -168,7 +168,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
             for page_id, url, payload, refers_to in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if out is None:
                     path, held, records = f"{root}/{uuid.uuid4().hex}.warc.gz", 0, 0
-                    out = fs.open_output_stream(path)
+                    out = fs.open_output_stream(path, compression=None)  # members are compressed one by one
                 data = member(record(page_id, url, payload, refers_to))
                 out.write(data)
                 held, records = held + len(data), records + 1
@@ -191,7 +191,7 @@ def read_warc(manifest: DataFrame, folder: str, payload: bool = True) -> DataFra
         for b in batches:
             for path, records in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 rows, seen, held = [], 0, 0
-                with fs.open_input_stream(path) as stream:
+                with fs.open_input_stream(path, compression=None) as stream:
                     for data in members(stream):
                         rows.append(parse(data))
                         seen, held = seen + 1, held + len(data)
