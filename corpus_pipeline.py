@@ -1,6 +1,11 @@
 """A corpus from raw documents: identified, deduplicated, mixed to target weights, encoded.
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that the stage before it kept. All but the last return the columns of documents.
+
+Defined results: documents whose text is null, empty or without letters are rejected by the first stage, as are all if no labelled row is there to learn from; an empty table gives
+empty ones throughout. Ids may be null or repeat: of texts equal but for the case of A-Z the row with the largest id stays (null is the smallest), of near copies that with
+the smallest id (null ids last), of ties one row; the mix takes rows by a hash of id and text, so that rows equal in both go together, and may hold a row up to three times. Long texts are
+read whole; columns beyond those of documents are carried along to the last stage.
 """
 
 from __future__ import annotations
