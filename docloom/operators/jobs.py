@@ -8,7 +8,8 @@ import threading
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from docloom.operators import ledger
 from docloom.sources.store import Files
@@ -45,6 +46,18 @@ class Log:
             self.last = seq
             return seq
 
+    def append_all(self, rows: DataFrame, order: str) -> int:
+        """All rows of a table in one write, numbered by order; returns how many."""
+        with self.lock:
+            if self.last is None:
+                self.last = self.table().agg({"seq": "max"}).first()[0] or 0
+            names = [x.split()[0] for x in self.schema.split(", ")]
+            before = self.last
+            numbered = rows.withColumn("seq", (F.row_number().over(Window.orderBy(order)) + before).cast("long")).select(*names)
+            numbered.coalesce(1).write.mode("append").parquet(self.path)
+            self.last = self.table().agg({"seq": "max"}).first()[0] or 0
+            return self.last - before
+
 
 class Audit:
     def __init__(self, spark: SparkSession, root: str):
@@ -93,23 +106,45 @@ class Jobs:
         return job
 
     def run(self, job: int) -> str:
-        """The audit row comes before the job's last state, so whoever sees the end finds the row."""
+        """Do a queued job; returns its last state."""
         row = self.table().filter(f"job_id = {job} AND status = 'queued'").first()
         if row is None:
             raise JobError("no such job in the queue")
-        base = {k: row[k] for k in ("job_id", "corpus_id", "kind", "actor")}
-        self.log.append(**base, status="running", done=0, total=0, at=now())
-        written = [-1]
+        with Run(self, row) as this:
+            this.outcome = {"status": "succeeded", "stats": self.work(row["corpus_id"], row["kind"], this.report)}
+        return this.outcome["status"]
 
-        def progress(done: int, total: int) -> None:
-            if done - written[0] >= STRIDE or done >= total:
-                written[0] = done
-                self.log.append(**base, status="running", done=done, total=total, at=now())
 
-        try:
-            stats, status, error = self.work(row["corpus_id"], row["kind"], progress), "succeeded", None
-        except Exception as e:
-            stats, status, error = {}, "failed", f"{type(e).__name__}: {e}"
-        self.audit.record(row["actor"], f"job.{row['kind']}.{status}", row["corpus_id"], job_id=job, **(stats if error is None else {"error": error}))
-        self.log.append(**base, status=status, done=0, total=0, stats=json.dumps(stats), error=error, at=now())
-        return status
+def steps(done: int, total: int, stride: int = STRIDE) -> int:
+    """How many progress rows are due when documents 0 to done have been seen: one for each whole stride, and one for the end."""
+    return (done + 1) // stride + (done >= total)
+
+
+class Run:
+    """The states of one job while it runs. An exception inside the block becomes the job's outcome and goes no further."""
+
+    def __init__(self, jobs: Jobs, row):
+        self.jobs, self.row, self.shown, self.outcome = jobs, row, 0, {}
+
+    def state(self, **fields) -> None:
+        self.jobs.log.append(**{k: self.row[k] for k in ("job_id", "corpus_id", "kind", "actor")}, at=now(), **({"done": 0, "total": 0} | fields))
+
+    def report(self, done: int, total: int) -> None:
+        due = steps(done, total)
+        if due > self.shown:
+            self.state(status="running", done=done, total=total)
+        self.shown = max(due, self.shown)
+
+    def __enter__(self) -> Run:
+        self.state(status="running")
+        return self
+
+    def __exit__(self, kind, error, trace) -> bool:
+        if error is not None and not isinstance(error, Exception):
+            return False
+        if error is not None:
+            self.outcome = {"status": "failed", "error": f"{kind.__name__}: {error}"}
+        told = self.outcome.get("stats") or {"error": self.outcome.get("error")}
+        self.jobs.audit.record(self.row["actor"], f"job.{self.row['kind']}.{self.outcome['status']}", self.row["corpus_id"], job_id=self.row["job_id"], **told)
+        self.state(**(self.outcome | {"stats": json.dumps(self.outcome.get("stats", {}))}))
+        return True

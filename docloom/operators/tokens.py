@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import json
-import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as X
@@ -19,6 +17,22 @@ OPERATIONS = ("search", "write")
 MIN_TOKEN = 32
 MANAGED_SERVICE = "easyflow"
 TOKEN = "seq long, token_id string, service_id string, token_hash string, grants string, requests_per_minute int, active boolean, at string"
+ASKED = "service_id string, token_id string, token string, grants map<string,array<string>>, requests_per_minute int"
+
+
+def problem(kinds: dict[str, str]) -> Column:
+    """The first rule that a row of ASKED breaks, or null. kinds: corpus id -> name of its kind."""
+    kind_of = F.create_map(*(F.lit(x) for item in kinds.items() for x in item)) if kinds else F.lit(None).cast("map<string,string>")
+    each, managed = F.map_entries("grants"), F.col("service_id") == MANAGED_SERVICE
+    kind = lambda g: F.element_at(kind_of, F.lower(X.strip(g["key"])))
+    known = lambda g: kind(g).isNotNull() & (F.size(g["value"]) > 0) & (F.size(F.array_except(g["value"], F.array(*map(F.lit, OPERATIONS)))) == 0)
+    rules = {
+        "name": F.col("service_id").rlike(f"^{NAME}$") & F.col("token_id").rlike(f"^{NAME}$"),
+        "token": (F.length("token") >= MIN_TOKEN) & (F.col("token") == X.strip(F.col("token"))),
+        "grants": (F.size(each) > 0) & (F.col("requests_per_minute") >= 1) & F.forall(each, known),
+        "managed corpora and the managed service belong together": F.forall(each, lambda g: (kind(g) == MANAGED_SERVICE) == managed),
+    }
+    return F.coalesce(*(F.when(~F.coalesce(holds, F.lit(False)), F.lit(name)) for name, holds in rules.items()))
 
 
 class Tokens:
@@ -33,22 +47,21 @@ class Tokens:
 
     def register(self, service_id: str, token_id: str, token: str, grants: dict[str, list[str]], requests_per_minute: int = ledger.DEFAULT_RPM) -> None:
         """Also replaces a token of this id, and makes it active again."""
-        if not all(re.fullmatch(NAME, x) for x in (service_id, token_id)):
-            raise ValueError("name")
-        if len(token) < MIN_TOKEN or token != token.strip():
-            raise ValueError("token")
-        if not grants or requests_per_minute < 1:
-            raise ValueError("grants")
-        clean = {}
-        for corpus, operations in grants.items():
-            slug = corpus.strip().lower()
-            if not re.fullmatch(X.SLUG[1:-1], slug) or slug not in self.kinds or not operations or not set(operations) <= set(OPERATIONS):
-                raise ValueError("grants")
-            if (self.kinds[slug] == MANAGED_SERVICE) != (service_id == MANAGED_SERVICE):
-                raise ValueError("managed corpora and the managed service belong together")
-            clean[slug] = sorted(set(operations))
-        digest = hashlib.sha256(token.encode()).hexdigest()
-        self.log.append(token_id=token_id, service_id=service_id, token_hash=digest, grants=json.dumps(clean), requests_per_minute=requests_per_minute, active=True, at=now())
+        one = self.log.spark.createDataFrame([(service_id, token_id, token, grants, requests_per_minute)], ASKED)
+        refused = self.register_all(one).first()
+        if refused is not None:
+            raise ValueError(refused["problem"])
+
+    def register_all(self, asked: DataFrame) -> DataFrame:
+        """Append the tokens of a table (ASKED) that break no rule, all in one write; returns service_id, token_id, problem of the others."""
+        judged = asked.withColumn("problem", problem(self.kinds))
+        slugs = F.transform_keys("grants", lambda k, _: F.lower(X.strip(k)))
+        good = judged.filter("problem IS NULL").select(
+            "token_id", "service_id", F.sha2("token", 256).alias("token_hash"), F.to_json(F.transform_values(slugs, lambda _, v: F.array_sort(F.array_distinct(v)))).alias("grants"),
+            "requests_per_minute", F.lit(True).alias("active"), F.lit(now()).alias("at"),
+        )
+        self.log.append_all(good, "token_id")
+        return judged.filter("problem IS NOT NULL").select("service_id", "token_id", "problem")
 
     def revoke(self, token_id: str) -> bool:
         row = ledger.latest_by(self.log.table(), "token_id").filter(F.col("token_id") == token_id).first()

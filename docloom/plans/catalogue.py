@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from docloom.functions import text as X
 from docloom.functions.chunking import is_single, with_chunks, with_page_chunks
 from docloom.functions.embedding import CharBucketEmbedder, embed_query, embedded
-from docloom.operators import index, ledger, managed, search
+from docloom.operators import ann, index, ledger, managed, search
 from docloom.operators.kinds import INVENTION, PLAIN, compile_where
+from docloom.scratch import new_path
 from docloom.shipping import ship
 from docloom.sources import files, store
 
@@ -142,6 +143,16 @@ def search_batch(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select("query_id", "rank", X.round4(X.similarity(F.col("distance"))).alias("similarity"))
 
 
+@query()
+def search_ivf(spark: SparkSession, sf: str) -> DataFrame:
+    """The same queries through an inverted-file index over all rows; a test holds its recall against search_batch."""
+    e = table(spark, sf, "embeddings")
+    index = ann.IvfIndex.build(e, new_path(spark, "ivf"), "vec_id")
+    qs = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    hits = index.search_batch(qs, 5, "vec_id")
+    return hits.select("query_id", "rank", X.round4(X.similarity(F.col("distance"))).alias("similarity"))
+
+
 QUERY_TEXT = "the of and to in"
 BUCKETS = f"""chars AS (SELECT doc_id, ord(ch) % {DIM} AS b FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> ''),
 counts AS (SELECT doc_id, b, count(*) AS c FROM chars GROUP BY doc_id, b)"""
