@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.text import strip
+from docloom.functions.text import estimated_tokens, strip
 
 # Fixed values.
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 MAX_INPUT_TOKENS = 8192
 SIZE, OVERLAP, HINT = 1000, 150, 5500
 
+#: Texts to their numbers of tokens, in order.
+TokenCounter = Callable[[list[str]], list[int]]
+
 
 def _pieces(text: str, sep: str) -> list[str]:
     """text cut before each separator, which stays at the start of the piece it opens."""
@@ -66,8 +69,9 @@ def is_single(text: Column, hint: int = HINT) -> Column:
     return (F.length(text) > 0) & (F.length(text) <= hint)
 
 
-def chunks(text: Column, size: int = SIZE, overlap: int = OVERLAP, hint: int = HINT) -> Column:
-    """array<string> of a stripped text; only texts longer than the hint pass through Python."""
+def chunks(text: Column, size: int = SIZE, overlap: int = OVERLAP, hint: int = HINT, whole: Column | None = None) -> Column:
+    """array<string> of a stripped text; only texts that are split pass through Python: those longer than the hint, or those that are not ``whole``."""
+    whole = F.length(text) <= hint if whole is None else whole
 
     @F.pandas_udf("array<string>")
     def split(s: pd.Series) -> pd.Series:
@@ -75,13 +79,45 @@ def chunks(text: Column, size: int = SIZE, overlap: int = OVERLAP, hint: int = H
 
     # Marked so, it is evaluated where it stands and not again in filters that the optimiser derives.
     split = split.asNondeterministic()
-    long_only = F.when(F.length(text) > hint, text)
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).when(F.length(text) <= hint, F.array(text)).otherwise(split(long_only))
+    long_only = F.when(~whole, text)
+    return F.when(F.length(text) == 0, F.array().cast("array<string>")).when(whole, F.array(text)).otherwise(split(long_only))
+
+
+def counted_tokens(text: Column, count_tokens: TokenCounter) -> Column:
+    """Tokens of each text by a batched counter; where it fails for a batch, texts are tried one by one, and where it fails for a text, the heuristic stands in."""
+
+    @F.pandas_udf("int")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def one(t: str) -> int | None:
+            try:
+                return count_tokens([t])[0]
+            except Exception:
+                return None
+
+        def counts(texts: list[str]) -> list[int | None]:
+            try:
+                found = count_tokens(texts)
+            except Exception:
+                found = None
+            return found if found is not None and len(found) == len(texts) else [one(t) for t in texts]
+
+        for s in parts:
+            yield pd.Series(counts(s.fillna("").tolist()), dtype="Int32")
+
+    return F.coalesce(run.asNondeterministic()(text), estimated_tokens(text))
+
 
+def with_chunks(df: DataFrame, text: str = "text", count_tokens: TokenCounter | None = None, **sizes: int) -> DataFrame:
+    """One row for each chunk: chunk_index from 0, n_chunks of the document, document.
 
-def with_chunks(df: DataFrame, text: str = "text", **sizes: int) -> DataFrame:
-    """One row for each chunk: chunk_index from 0, n_chunks of the document, document."""
-    cut = df.withColumn("__text", strip(F.col(text))).withColumn("__chunks", chunks(F.col("__text"), **sizes))
+    With a counter, a text is one chunk if it has at most MAX_INPUT_TOKENS tokens, however long it is, and is split if it has more, however short.
+    """
+    cut = df.withColumn("__text", strip(F.col(text)))
+    if count_tokens is not None:
+        cut = cut.withColumn("__whole", counted_tokens(F.col("__text"), count_tokens) <= MAX_INPUT_TOKENS)
+        cut = cut.withColumn("__chunks", chunks(F.col("__text"), whole=F.col("__whole"), **sizes)).drop("__whole")
+    else:
+        cut = cut.withColumn("__chunks", chunks(F.col("__text"), **sizes))
     return cut.withColumn("n_chunks", F.size("__chunks")).select("*", F.posexplode("__chunks").alias("chunk_index", "document")).drop("__chunks", "__text")
 
 

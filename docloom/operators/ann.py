@@ -86,7 +86,7 @@ class IvfIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         rows = spark.read.parquet(f"{self.path}/centres").orderBy("cell").collect()  # one row for each cell
-        self.centres = np.array([r["centre"] for r in rows], float).reshape(len(rows), -1)
+        self.centres = np.array([r["centre"] for r in rows], float).reshape(len(rows), rows[0]["dim"] if rows else 0)
         self.chunks = {r["cell"]: r["chunks"] for r in rows}
         self.probes, self.dim = (rows[0]["probes"], rows[0]["dim"]) if rows else (0, 0)
         schema = T.StructType.fromJson(json.loads(spark.read.parquet(f"{self.path}/schema").first()[0]))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
+from docloom.scratch import new_path
 from docloom.shipping import ship
 
 # Fixed values.
@@ -33,7 +34,7 @@ class Source:
     """One source's state, and what a request or the end of a job does to it."""
 
     def __init__(self):
-        self.owner, self.revision, self.enabled, self.deleted, self.active = None, None, False, False, None
+        self.owner, self.revision, self.enabled, self.deleted, self.active = None, None, False, False, None  # keys, versions and open may be any mappings
         self.keys: dict[tuple, tuple] = {}
         self.versions: dict[str, str] = {}
         self.open: dict[int, tuple[str, int]] = {}  # job -> kind, revision
@@ -192,6 +193,55 @@ def lockouts(failures: DataFrame, user: str, ts: str = "ts", limit: int = LOCKOU
     return df.withColumn("locked", F.col("recent") >= limit).drop("__us")
 
 
+def lockouts_cleared(attempts: DataFrame, user: str, success: Column, ts: str = "ts", order: str = "seq", limit: int = LOCKOUT_FAILURES, seconds: int = LOCKOUT_SECONDS) -> DataFrame:
+    """recent: failures in the last ``seconds`` since the user's last success, this attempt included; locked: whether they block the next one.
+
+    A success clears what came before it: successes cut a user's attempts into segments, and the window runs within a segment. Null users share one record, as a name does.
+    """
+    df = attempts.withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("__ok", F.coalesce(success, F.lit(False)).cast("int"))
+    df = df.withColumn("__segment", F.sum("__ok").over(Window.partitionBy(user).orderBy("__us", order).rowsBetween(Window.unboundedPreceding, 0)))
+    # The window takes the rows before by time and place, so that attempts of one instant count in their order.
+    place = F.row_number().over(Window.partitionBy(user, "__segment").orderBy("__us", order))
+    df = df.withColumn("__at", F.sum(1 - F.col("__ok")).over(Window.partitionBy(user, "__segment").orderBy("__us", order).rowsBetween(Window.unboundedPreceding, 0))).withColumn("__place", place)
+    gone = F.coalesce(F.max("__at").over(Window.partitionBy(user, "__segment").orderBy("__us").rangeBetween(Window.unboundedPreceding, -seconds * 1_000_000)), F.lit(0))
+    df = df.withColumn("recent", F.col("__at") - gone)
+    return df.withColumn("locked", F.col("recent") >= limit).drop("__us", "__ok", "__segment", "__at", "__place")
+
+
+def pending_before(outcomes: DataFrame) -> DataFrame:
+    """seq, pending: jobs of the request's service that were accepted before it and had not ended. outcomes: service_id, seq, outcome, job_seq, as fold() gives them."""
+    began = outcomes.filter("outcome = 'accepted'").select("service_id", F.col("seq").alias("job"))
+    ended = outcomes.filter("outcome IN ('succeeded', 'superseded', 'failed')").select("seq", F.col("job_seq").alias("job")).join(began, "job").select("service_id", "seq", F.lit(-1).alias("step"))
+    asked = outcomes.filter("kind <> 'finish'").select("service_id", "seq", (F.col("outcome") == "accepted").cast("int").alias("step"))
+    before = Window.partitionBy("service_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    steps = asked.withColumn("asks", F.lit(True)).unionByName(ended.withColumn("asks", F.lit(False)))
+    return steps.withColumn("pending", F.coalesce(F.sum("step").over(before), F.lit(0))).filter("asks").select("seq", "pending")
+
+
+def fold_capped(requests: DataFrame, cap: int = PENDING_CAP) -> DataFrame:
+    """fold() with the queue's cap counted, not told: a request is refused while its service has ``cap`` jobs under way, over all its sources.
+
+    Verdicts fold by source and counts run by service, so the two are brought to a fixed point: fold with the flags at hand, count each service's jobs from
+    the outcomes, and fold again while a flag differs. A flag depends on earlier requests only, so every round settles at least the first request
+    that was still wrong, and no result but the sequential one is fixed. Each round is a written table; services that never reach the cap settle in the first.
+    """
+    spark = requests.sparkSession
+    path = new_path(spark, "capped")
+    flags, n = None, 0
+    while True:
+        told = requests.drop("queue_full")
+        told = told.withColumn("queue_full", F.lit(False)) if flags is None else told.join(flags, "seq", "left").withColumn("queue_full", F.coalesce("queue_full", F.lit(False)))
+        n += 1
+        fold(told, at_once=False).write.parquet(f"{path}/{n}")
+        outcomes = spark.read.schema(OUTCOME).parquet(f"{path}/{n}")
+        counted = pending_before(outcomes).select("seq", (F.col("pending") >= cap).alias("full"))
+        wrong = outcomes.filter("kind <> 'finish'").select("seq", "queue_full").join(counted, "seq").filter("queue_full <> full")
+        if wrong.isEmpty():
+            return outcomes
+        counted.filter("full").select("seq", F.col("full").alias("queue_full")).write.parquet(f"{path}/flags{n}")
+        flags = spark.read.parquet(f"{path}/flags{n}")
+
+
 def pending_full(jobs: DataFrame, cap: int = PENDING_CAP) -> DataFrame:
     """Pending jobs per service, and whether the next is refused."""
     return jobs.filter(F.col("status").isin("queued", "running")).groupBy("service_id").agg(F.count(F.lit(1)).alias("pending")).withColumn("full", F.col("pending") >= cap)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as X
-from docloom.functions.chunking import is_single, with_chunks, with_page_chunks
+from docloom.functions.chunking import counted_tokens, is_single, with_chunks, with_page_chunks
 from docloom.functions.embedding import CharBucketEmbedder, embed_query, embedded
 from docloom.operators import ann, index, ledger, managed, search
 from docloom.operators.kinds import INVENTION, PLAIN, compile_where
@@ -239,6 +239,24 @@ def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
     return c.select(X.chunk_id(F.col("source_path"), F.col("chunk_index")).alias("chunk_id"), "chunk_index", "n_chunks", X.content_hash(F.col("document")).alias("hash"))
 
 
+def words_as_tokens(texts: list[str]) -> list[int]:
+    """A counter for tests: 12 tokens for each word; texts that begin with Z fail."""
+    if any(t.startswith("Z") for t in texts):
+        raise RuntimeError("no count")
+    return [12 * len(t.split()) for t in texts]
+
+
+@query(f"""WITH s AS (SELECT doc_id, {STRIP_SQL} AS t FROM documents), n AS (SELECT doc_id, t, CASE WHEN starts_with(t, 'Z') THEN (trunc(length(t)::DOUBLE / 1.2::DOUBLE) + 1)::INT ELSE 12 * len(list_filter(string_split_regex(t, '[\\s\\x0b\\x1c-\\x1f\\x85\\xa0]+'), lambda x: x <> ''))::INT END AS tokens FROM s)
+    SELECT doc_id, tokens, tokens <= 8192 AS whole, (tokens <= 8192) <> (length(t) <= 5500) AS overruled FROM n WHERE t <> ''""")
+def chunk_by_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that a token counter keeps whole, and whether it overrules their length."""
+    ship(spark)
+    d = documents(spark, sf).select("doc_id", X.strip(F.col("text")).alias("t"))
+    cut = with_chunks(d, "t", count_tokens=words_as_tokens)
+    first = cut.filter("chunk_index = 0").select("doc_id", (F.col("document") == F.col("t")).alias("whole"), "t", counted_tokens(F.col("t"), words_as_tokens).alias("tokens"))
+    return first.select("doc_id", "tokens", "whole", (F.col("whole") != (F.length("t") <= 5500)).alias("overruled"))
+
+
 def paged(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations as documents of pages."""
     c = table(spark, sf, "conversations")
@@ -387,6 +405,25 @@ def lockout_sliding(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.lockouts(events(spark, sf), "event_type", seconds=3600).select("event_id", "recent", "locked")
 
 
+@query("""WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS us, event_type = 'signup' AS ok FROM events), s AS (SELECT *, sum(ok::INT) OVER (PARTITION BY user_id ORDER BY us, event_id) AS seg FROM e),
+    f AS (SELECT *, sum((NOT ok)::INT) OVER (PARTITION BY user_id, seg ORDER BY us, event_id) AS upto FROM s),
+    r AS (SELECT *, upto - coalesce(max(upto) OVER (PARTITION BY user_id, seg ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND 86400000000 PRECEDING), 0) AS recent FROM f) SELECT event_id, recent::BIGINT AS recent, recent >= 8 AS locked FROM r""")
+def lockout_cleared(spark: SparkSession, sf: str) -> DataFrame:
+    """Failures of each user within a day since the last success (a signup)."""
+    out = ledger.lockouts_cleared(events(spark, sf), "user_id", F.col("event_type") == "signup", "ts", "event_id", seconds=86_400)
+    return out.select("event_id", "recent", "locked")
+
+
+@query()
+def queue_cap_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """The protocol with each service's jobs under way counted over all its sources, in three services of at most 12 jobs; a test holds it against the plain rules."""
+    return ledger.fold_capped(by_service(spark, sf), 12).groupBy("service_id", "kind", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+def by_service(spark: SparkSession, sf: str) -> DataFrame:
+    return every_kind(spark, sf).withColumn("service_id", F.concat(F.lit("svc"), (F.col("source_id").cast("long") % 3).cast("string")))
+
+
 def requests(spark: SparkSession, sf: str) -> DataFrame:
     """events as requests: user_id is the source, the key comes from props, the revision from value."""
     k = F.get_json_object("props", "$.k")
