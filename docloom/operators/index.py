@@ -48,7 +48,8 @@ def build_index(docs: DataFrame, store: ChunkStore, collection: str, kind: Kind,
 
     Chunks of files that vanished or that are skipped now stay, as orphans() shows. A failed job publishes nothing.
     """
-    new = reset or not store.exists(collection)
+    since = store.current(collection)
+    new = reset or since is None
     existing = store.read(collection, [] if new else None)
     changed = changes(docs, existing).persist()
     try:
@@ -60,7 +61,7 @@ def build_index(docs: DataFrame, store: ChunkStore, collection: str, kind: Kind,
             if new or buckets:
                 kept = store.read(collection, buckets or []).join(todo.select("source_path"), "source_path", "left_anti")
                 columns = [c for c in existing.columns if c in made.columns]
-                store.write(collection, kept.unionByName(made.select(*columns), allowMissingColumns=True), buckets)
+                store.write(collection, kept.unionByName(made.select(*columns), allowMissingColumns=True), buckets, since)
         finally:
             made.unpersist()
     finally:

@@ -94,9 +94,10 @@ def process(jobs: DataFrame, states: DataFrame, store: ChunkStore, collection: s
         cleared = good.filter("kind IN ('index', 'delete')").groupBy("source_id").agg(F.max(F.when(F.col("kind") == "index", F.col("revision") - 1).otherwise(F.col("revision"))).alias("__upto"))
         touched = store.touched(collection, cleared.select(_path(corpus, F.col("source_id")).alias("source_path")))
         if touched:
+            since = store.current(collection)
             existing = store.read(collection, touched).join(keep.select("chunk_id"), "chunk_id", "left_anti").join(cleared, "source_id", "left")
             kept = existing.filter(F.col("__upto").isNull() | (F.coalesce("revision", F.lit(-1)) > F.col("__upto"))).drop("__upto")
-            store.write(collection, kept.unionByName(keep, allowMissingColumns=True), touched)
+            store.write(collection, kept.unionByName(keep, allowMissingColumns=True), touched, since)
         if folder:
             files = jobs.join(good.select("job"), "job", "left_semi")
             write_documents(files.filter("kind = 'index'"), folder).count()

@@ -2,14 +2,15 @@
 
 A collection is a folder ``<root>/<name>``. Its chunks lie in buckets by a hash of their source_path. Each change writes the buckets it touches anew under
 ``snapshot=<n>/bucket=<b>`` and then moves the pointer, which names the snapshot of every bucket, by a rename: a change costs what its buckets hold, not
-what the collection holds, and a reader sees all of a change or nothing.
+what the collection holds, and a reader sees all of a change or nothing. The pointer also has the number of rows of each bucket, so counts read no chunks.
+Of two writers that start from the same pointer the first to publish wins, and the other's change fails with ConcurrentChange: the right to follow a snapshot is a file that only
+one can create. A writer that is killed between that file and the pointer's rename blocks later changes until ``release`` is called.
 All file access goes through Hadoop's file system, so the root may be on any store that Spark reads.
 """
 
 from __future__ import annotations
 
 import json
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +62,16 @@ class Files:
         over[0] = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
         self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf).rename(new, self.path(p), over)
 
+    def create_new(self, p: str) -> bool:
+        """Make an empty file, unless it is there: of several writers, one alone gets True."""
+        try:
+            self.fs.create(self.path(p), False).close()
+            return True
+        except Exception as e:
+            if self.exists(p):
+                return False
+            raise e
+
     def move(self, old: str, new: str) -> bool:
         return self.fs.rename(self.path(old), self.path(new))
 
@@ -69,6 +80,10 @@ class Files:
         self.jvm.org.apache.hadoop.fs.FileUtil.copy(source.getFileSystem(self.conf), source, self.fs, self.path(new), False, True, self.conf)
 
 
+class ConcurrentChange(RuntimeError):
+    """Another writer published a change first; nothing of this one is visible. Read again and retry."""
+
+
 class ChunkStore:
     def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
         """buckets: of collections made from now on; the pointer keeps a collection's own number. Choose it so that a bucket holds a few GB."""
@@ -78,24 +93,24 @@ class ChunkStore:
     def _pointer(self, name: str) -> str:
         return f"{self.root}/{name}/CURRENT"
 
-    def _current(self, name: str) -> dict | None:
+    def current(self, name: str) -> dict | None:
         """snapshot, of (the number of buckets), buckets: the snapshot that holds each bucket; empty ones are left out."""
         text = self.files.read(self._pointer(name))
         return json.loads(text) if text else None
 
     def _bucket(self, name: str) -> Column:
-        now = self._current(name)
+        now = self.current(name)
         return F.pmod(F.xxhash64("source_path"), F.lit(now["of"] if now else self.buckets)).cast("int")
 
     def exists(self, name: str) -> bool:
-        return self._current(name) is not None
+        return self.current(name) is not None
 
     def names(self) -> list[str]:
         return [n for n in self.files.names(self.root) if self.exists(n)]
 
     def read(self, name: str, buckets: list[int] | None = None) -> DataFrame:
         """The chunks, of some buckets or of all; empty, and nothing created, if the collection does not exist."""
-        now = self._current(name) or {"buckets": {}}
+        now = self.current(name) or {"buckets": {}}
         paths = [f"{self.root}/{name}/snapshot={n}/bucket={b}" for b, n in now["buckets"].items() if buckets is None or int(b) in buckets]
         return self.spark.read.schema(CHUNK_SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], CHUNK_SCHEMA)
 
@@ -104,15 +119,23 @@ class ChunkStore:
         return sorted(r[0] for r in rows.select(self._bucket(name).alias("b")).distinct().collect())
 
     def count(self, name: str) -> int:
-        return self.read(name).count() if self.exists(name) else 0
+        """From the pointer; chunks are read only where a pointer of an earlier version has no counts."""
+        now = self.current(name) or {"rows": {}}
+        return sum(now["rows"].values()) if "rows" in now else self.read(name).count()
 
-    def write(self, name: str, chunks: DataFrame, buckets: list[int] | None = None) -> None:
-        """Replace the collection's contents, or those of the buckets given, in which all chunks must lie."""
+    def release(self, name: str) -> None:
+        """Let changes go on after a writer was killed while it published."""
+        self.files.delete(f"{self.root}/{name}/commits/{(self.current(name) or {'snapshot': 0})['snapshot']}")
+
+    def write(self, name: str, chunks: DataFrame, buckets: list[int] | None = None, since: dict | None = None) -> None:
+        """Replace the collection's contents, or those of the buckets given, in which all chunks must lie. since: the pointer that chunks were read at, if any were."""
         have = set(chunks.columns)
         fields = self.spark.createDataFrame([], CHUNK_SCHEMA).schema.fields
         chunks = chunks.select(*((F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))
-        old = self._current(name) or {"snapshot": 0, "of": self.buckets, "buckets": {}}
+        old = since or self.current(name) or {"snapshot": 0, "of": self.buckets, "buckets": {}, "rows": {}}
         n = old["snapshot"] + 1
+        while not self.files.create_new(f"{self.root}/{name}/numbers/{n}"):
+            n += 1
         path = f"{self.root}/{name}/snapshot={n}"
         # Rows of a bucket meet in one task; a bucket too large for one is split, and small ones share one.
         dealt = chunks.withColumn("bucket", self._bucket(name)).hint("rebalance", "bucket")
@@ -122,7 +145,15 @@ class ChunkStore:
         if made.keys() & kept.keys():
             self.files.delete(path)
             raise ValueError("chunks lie outside the buckets to be replaced")
-        self.files.replace(self._pointer(name), json.dumps({"snapshot": n, "of": old["of"], "buckets": kept | made, "spent": [[b, s] for b, s in old["buckets"].items() if b not in kept]}))
+        after = {"snapshot": n, "of": old["of"], "buckets": kept | made, "spent": [[b, s] for b, s in old["buckets"].items() if b not in kept]}
+        if "rows" in old:
+            counted = self.spark.read.parquet(path).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect() if made else []
+            after["rows"] = {b: r for b, r in old["rows"].items() if b in kept} | {str(r["bucket"]): r["n"] for r in counted}
+        now = (self.current(name) or {"snapshot": 0})["snapshot"]
+        if now != old["snapshot"] or not self.files.create_new(f"{self.root}/{name}/commits/{old['snapshot']}"):
+            self.files.delete(path)
+            raise ConcurrentChange(name)
+        self.files.replace(self._pointer(name), json.dumps(after))
         for b, s in old.get("spent", ()):  # what this change replaced stays for readers under way, what the one before replaced goes
             self.files.delete(f"{self.root}/{name}/snapshot={s}/bucket={b}")
 
@@ -134,20 +165,28 @@ class ChunkStore:
 
     def upsert(self, name: str, new: DataFrame) -> None:
         """Put chunks in the place of those with their ids. A chunk id always belongs to the same source_path."""
-        touched = self.touched(name, new)
-        if touched or not self.exists(name):
-            self.write(name, upserted(self.read(name, touched), new), touched)
+        since, touched = self.current(name), self.touched(name, new)
+        if touched or since is None:
+            self.write(name, upserted(self.read(name, touched), new), touched, since)
 
     def delete_where(self, name: str, condition: Column) -> int:
         """Rows removed. Only buckets that hold some are written."""
+        since = self.current(name)
         hit = self.read(name).filter(condition).groupBy(self._bucket(name).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
         if hit:
             touched = [r["b"] for r in hit]
-            self.write(name, self.read(name, touched).filter(~F.coalesce(condition, F.lit(False))), touched)
+            self.write(name, self.read(name, touched).filter(~F.coalesce(condition, F.lit(False))), touched, since)
         return sum(r["n"] for r in hit)
 
     def remove_document(self, name: str, path: str) -> int:
-        return self.delete_where(name, F.col("source_path") == path)
+        """Only the bucket that the path names is read."""
+        since = self.current(name)
+        mine = self.touched(name, self.spark.createDataFrame([(path,)], "source_path string"))
+        before = self.read(name, mine)
+        gone = before.filter(F.col("source_path") == path).count()
+        if gone:
+            self.write(name, before.filter(~F.coalesce(F.col("source_path") == path, F.lit(False))), mine, since)
+        return gone
 
     def discard_operation(self, name: str, operation: str) -> int:
         return self.delete_where(name, F.col("operation_id") == operation)
@@ -157,13 +196,8 @@ class ChunkStore:
         return self.delete_where(name, (F.col("source_id") == source_id) & older)
 
     def counts(self) -> DataFrame:
-        """One job over all collections, each read at its current snapshot."""
-        parts = [self.read(n).select(F.lit(n).alias("collection")) for n in self.names()]
-        if not parts:
-            return self.spark.createDataFrame([], "collection string, chunks long")
-        grouped = reduce(DataFrame.unionByName, parts).groupBy("collection").agg(F.count(F.lit(1)).alias("chunks"))
-        every = self.spark.createDataFrame([(n,) for n in self.names()], "collection string")
-        return every.join(grouped, "collection", "left").na.fill(0)
+        """collection, chunks: from the pointers, one small file for each collection."""
+        return self.spark.createDataFrame([(n, self.count(n)) for n in self.names()], "collection string, chunks long")
 
     def prune(self, base: str, active: str, keep: int = 1) -> list[str]:
         """Drop all but the active version and the ``keep`` newest older ones."""
