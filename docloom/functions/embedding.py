@@ -78,5 +78,27 @@ def embedded(text: Column, embedder: Embedder, prefix: str = "") -> Column:
     return run(text)
 
 
+def embedded_or_error(text: Column, embedder: Embedder, prefix: str = "") -> Column:
+    """struct<embedding, error>: a batch that fails, retries included, is tried once more text by text, so that an error stays with its own texts."""
+
+    @F.pandas_udf("embedding array<float>, error string")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        def one(t: str) -> tuple:
+            try:
+                return embed_all(embedder, [t], prefix, tries=1)[0], None
+            except Exception as e:
+                return None, type(e).__name__
+
+        for s in parts:
+            s = s.fillna("")
+            try:
+                rows = [(v, None) for v in embed_all(embedder, s.tolist(), prefix)]
+            except Exception:
+                rows = [one(t) for t in s]
+            yield pd.DataFrame(rows, columns=["embedding", "error"], dtype=object)
+
+    return run(text)
+
+
 def embed_query(embedder: Embedder, query: str, prefix: str = "") -> list[float]:
     return embed_all(embedder, [query], prefix)[0]

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as X
 from docloom.functions.chunking import HINT, OVERLAP, SIZE, with_chunks
-from docloom.functions.embedding import Embedder, embedded
+from docloom.functions.embedding import Embedder, EmbeddingUnavailable, embedded_or_error
 from docloom.operators.kinds import Kind
+from docloom.scratch import new_path
 from docloom.sources.store import ChunkStore
 
 
@@ -23,12 +24,16 @@ def changes(docs: DataFrame, existing: DataFrame) -> DataFrame:
     return docs.join(first, "source_path", "left").withColumn("change", F.when(F.col("status") == "ok", change)).withColumnRenamed("__old_chunks", "old_chunks").drop("__old")
 
 
-def statistics(changed: DataFrame, chunks: DataFrame) -> DataFrame:
-    """One row: indexed, skipped, failed, total_chunks, embedded_chunks, reused, lfs_pointer."""
+def statistics(changed: DataFrame, chunks: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """One row: indexed, skipped, failed, total_chunks, embedded_chunks, reused, lfs_pointer. failed: source_path of documents that could not be embedded; they are not indexed."""
+    lost = F.lit(False)
+    if failed is not None:
+        changed = changed.join(failed.select("source_path", F.lit(True).alias("__lost")).distinct(), "source_path", "left")
+        lost = F.coalesce("__lost", F.lit(False))
     docs = changed.agg(
-        F.count_if(F.col("status") == "ok").alias("indexed"),
+        F.count_if((F.col("status") == "ok") & ~lost).alias("indexed"),
         F.count_if(F.col("status") != "ok").alias("skipped"),
-        F.lit(0).cast("long").alias("failed"),  # a build that fails publishes nothing, so none is counted
+        F.count_if(lost).alias("failed"),
         F.coalesce(F.sum(F.when(F.col("change") == "reuse", F.col("old_chunks"))), F.lit(0)).alias("reused_chunks"),
         F.count_if(F.col("change") == "reuse").alias("reused"),
         F.count_if(F.col("status") == "lfs_pointer").alias("lfs_pointer"),
@@ -40,32 +45,40 @@ def statistics(changed: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def new_chunks(docs: DataFrame, kind: Kind, embedder: Embedder, prefix: str = "", size: int = SIZE, overlap: int = OVERLAP, hint: int = HINT) -> DataFrame:
     cut = with_chunks(docs, "text", size=size, overlap=overlap, hint=hint).withColumn("chunk_id", X.chunk_id(F.col("source_path"), F.col("chunk_index")))
-    return cut.withColumn("embedding", embedded(kind.embed_text(F.col("document")), embedder, prefix))
+    made = cut.withColumn("__e", embedded_or_error(kind.embed_text(F.col("document")), embedder, prefix))
+    return made.withColumn("embedding", F.col("__e.embedding")).withColumn("error", F.col("__e.error")).drop("__e")
 
 
 def build_index(docs: DataFrame, store: ChunkStore, collection: str, kind: Kind, embedder: Embedder, prefix: str = "", reset: bool = False, **sizes: int) -> dict:
     """Chunk and embed only new and changed documents, publish one snapshot, and return the statistics.
 
-    Chunks of files that vanished or that are skipped now stay, as orphans() shows. A failed job publishes nothing.
+    The chunks are written to the shared folder first, each with its error if embedding failed, and everything else reads that table. A document with a chunk that failed is counted
+    as failed and nothing of it is published; what the collection held of it stays, and the next run tries it again, as it tries all that is new or changed. If every document
+    failed and none is reused, the service is taken to be down: EmbeddingUnavailable is raised and nothing is published. Chunks of files that vanished or that are skipped now stay, as orphans() shows.
     """
+    spark = docs.sparkSession
     since = store.current(collection)
     new = reset or since is None
     existing = store.read(collection, [] if new else None)
-    changed = changes(docs, existing).persist()
+    staged = new_path(spark, "index")
     try:
+        changes(docs, existing).write.parquet(f"{staged}/documents")
+        changed = spark.read.parquet(f"{staged}/documents")
         todo = changed.filter(F.col("change").isin("new", "replace"))
-        made = new_chunks(todo, kind, embedder, prefix, **sizes).persist()
-        try:
-            stats = statistics(changed, made).first().asDict()
-            buckets = None if new else store.touched(collection, todo)
-            if new or buckets:
-                kept = store.read(collection, buckets or []).join(todo.select("source_path"), "source_path", "left_anti")
-                columns = [c for c in existing.columns if c in made.columns]
-                store.write(collection, kept.unionByName(made.select(*columns), allowMissingColumns=True), buckets, since)
-        finally:
-            made.unpersist()
+        new_chunks(todo, kind, embedder, prefix, **sizes).write.parquet(f"{staged}/chunks")
+        made = spark.read.parquet(f"{staged}/chunks")
+        failed = made.filter("error IS NOT NULL").select("source_path").distinct()
+        good = made.join(failed, "source_path", "left_anti")
+        stats = statistics(changed, good, failed).first().asDict()
+        if stats["failed"] and not stats["embedded_chunks"] and not stats["reused"]:
+            raise EmbeddingUnavailable("no document could be embedded")
+        good = good.select(*[c for c in existing.columns if c in made.columns])
+        if new:
+            store.write(collection, good, None, since)
+        else:
+            store.replace_documents(collection, todo.select("source_path").join(failed, "source_path", "left_anti"), good, since)
     finally:
-        changed.unpersist()
+        store.files.delete(staged)
     return stats
 
 

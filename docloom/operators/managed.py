@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as X
 from docloom.functions.chunking import with_page_chunks
-from docloom.functions.embedding import Embedder, embed_all
+from docloom.functions.embedding import Embedder, embedded_or_error
 from docloom.operators import ledger
 from docloom.operators.kinds import MANAGED
+from docloom.scratch import new_path
 from docloom.shipping import ship
 from docloom.sources.store import ChunkStore
 
@@ -39,27 +40,6 @@ def version_hash(title: Column, pages: Column) -> Column:
     return digest(title, pages)
 
 
-def _embedded_or_error(text: Column, embedder: Embedder, prefix: str) -> Column:
-    """struct<embedding, error>: a batch that fails is tried text by text, so that an error stays with its own texts."""
-
-    @F.pandas_udf("embedding array<float>, error string")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        def one(t: str) -> tuple:
-            try:
-                return embed_all(embedder, [t], prefix)[0], None
-            except Exception as e:
-                return None, type(e).__name__
-
-        for s in parts:
-            try:
-                rows = [(v, None) for v in embed_all(embedder, s.tolist(), prefix)]
-            except Exception:
-                rows = [one(t) for t in s]
-            yield pd.DataFrame(rows, columns=["embedding", "error"], dtype=object)
-
-    return run(text)
-
-
 def _path(corpus: str, source_id: Column) -> Column:
     return X.source_path(F.lit(corpus), F.concat(source_id, F.lit(".md")))
 
@@ -68,7 +48,7 @@ def job_chunks(jobs: DataFrame, corpus: str, embedder: Embedder, prefix: str = "
     """The chunks of index jobs (JOB), with error where embedding failed. Ids and counts run over the whole document; no chunk spans pages."""
     ship(jobs.sparkSession)
     cut = with_page_chunks(jobs.filter("kind = 'index'"), "pages", **sizes)
-    made = cut.withColumn("__e", _embedded_or_error(MANAGED.embed_text(F.col("document")), embedder, prefix))
+    made = cut.withColumn("__e", embedded_or_error(MANAGED.embed_text(F.col("document")), embedder, prefix))
     return made.select(
         X.chunk_id(F.col("job"), F.col("chunk_index")).alias("chunk_id"), _path(corpus, F.col("source_id")).alias("source_path"),
         "chunk_index", "n_chunks", F.col("payload_hash").alias("content_hash"), "document", "__e.embedding", "title", "source_id", "source_version_id",
@@ -82,31 +62,41 @@ def process(jobs: DataFrame, states: DataFrame, store: ChunkStore, collection: s
     states: source_id, revision, the newest accepted revision of each source. A job of an older one is superseded and leaves no chunks. Succeeded index jobs
     replace their source's older revisions, deletes remove the source's chunks up to their own; all of it is published as one snapshot.
     """
-    made = job_chunks(jobs, corpus, embedder, prefix, **sizes).persist()
+    spark = jobs.sparkSession
+    staged = new_path(spark, "job_chunks")
+    # Written once: a lost executor does not embed again, and what is judged is what is published.
+    job_chunks(jobs, corpus, embedder, prefix, **sizes).write.parquet(staged)
+    made = spark.read.parquet(staged)
     try:
         told = made.groupBy(F.col("operation_id").alias("job")).agg(F.count(F.lit(1)).alias("n"), F.min("error").alias("error"))
         error = F.when((F.col("kind") == "index") & F.col("n").isNull(), EMPTY).when(F.col("kind") == "index", F.col("error"))
         now = states.select("source_id", F.col("revision").alias("current"))
         state = F.when(error.isNotNull(), "failed").otherwise(ledger.finish(F.col("revision"), F.coalesce("current", F.lit(-1))))
-        ended = jobs.drop("pages").join(told, "job", "left").join(now, "source_id", "left").select("job", "source_id", "kind", "revision", state.alias("state"), error.alias("error")).persist()
+        ended = jobs.drop("pages").join(told, "job", "left").join(now, "source_id", "left").select("job", "source_id", "kind", "revision", state.alias("state"), error.alias("error"))
+        ended = spark.createDataFrame(ended.collect(), ended.schema)  # a batch of claimed jobs, bounded by the queue's cap
         good = ended.filter("state = 'succeeded'")
         keep = made.join(good.select(F.col("job").alias("operation_id")), "operation_id", "left_semi").drop("error")
         cleared = good.filter("kind IN ('index', 'delete')").groupBy("source_id").agg(F.max(F.when(F.col("kind") == "index", F.col("revision") - 1).otherwise(F.col("revision"))).alias("__upto"))
+        since = store.current(collection)
         touched = store.touched(collection, cleared.select(_path(corpus, F.col("source_id")).alias("source_path")))
+
+        def replaced(fresh: DataFrame | None) -> DataFrame:
+            old = store.located(collection, since, touched).join(F.broadcast(cleared), "source_id", "left")  # one row for each claimed job at most
+            stale = F.coalesce("revision", F.lit(-1)) <= F.col("__upto")
+            again = keep.select("chunk_id", F.lit(True).alias("__again")).distinct()
+            return old.join(again, "chunk_id", "left").filter(stale | F.col("__again"))
+
         if touched:
-            since = store.current(collection)
-            existing = store.read(collection, touched).join(keep.select("chunk_id"), "chunk_id", "left_anti").join(cleared, "source_id", "left")
-            kept = existing.filter(F.col("__upto").isNull() | (F.coalesce("revision", F.lit(-1)) > F.col("__upto"))).drop("__upto")
-            store.write(collection, kept.unionByName(keep, allowMissingColumns=True), touched, since)
+            store.change(collection, keep, replaced, since)
         if folder:
             files = jobs.join(good.select("job"), "job", "left_semi")
             write_documents(files.filter("kind = 'index'"), folder).count()
             for r in good.filter("kind = 'delete'").select("source_id").collect():
                 for suffix in (".md", ".json"):
                     store.files.delete(f"{folder}/{r['source_id']}{suffix}")
-        return ended.sparkSession.createDataFrame(ended.collect(), ended.schema)  # a batch of claimed jobs, bounded by the queue's cap
+        return ended
     finally:
-        made.unpersist()
+        store.files.delete(staged)
 
 
 def write_documents(jobs: DataFrame, folder: str) -> DataFrame:

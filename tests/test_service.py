@@ -105,7 +105,7 @@ def test_a_failed_job_leaves_the_version_before(spark, tmp_path):
     s.run(ask(3, revision=2, text="poison"), ask(4, source="b", revision=2))
     assert sorted(s.found()) == ["v1", "v2"]
     ends = {r.job_seq: (r.outcome, r.error) for r in s.told().filter("kind = 'finish'").collect()}
-    assert ends[3] == ("failed", "TimeoutError") and ends[4] == ("succeeded", None)
+    assert ends[3] == ("failed", "EmbeddingUnavailable") and ends[4] == ("succeeded", None)
 
 
 def test_requests_overtake_a_job_that_is_under_way(spark, tmp_path):
