@@ -19,7 +19,7 @@ from docloom.operators import ann, index, ledger, managed, search
 from docloom.operators.kinds import INVENTION, PLAIN, compile_where
 from docloom.scratch import new_path
 from docloom.shipping import ship
-from docloom.sources import files, store
+from docloom.sources import files, store, zips
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -588,3 +588,46 @@ def rebuild_managed(spark: SparkSession, sf: str) -> DataFrame:
     states = jobs.select(F.when(F.col("conv_id") % 3 > 0, F.col("job")).alias("active_job"), (F.col("conv_id") % 4 == 0).alias("deleted"))
     active = ledger.rebuild_jobs(jobs.drop("conv_id").withColumnRenamed("job", "seq"), states).withColumnRenamed("seq", "job")
     return managed.job_chunks(active, "easyflow", CharBucketEmbedder(DIM)).select("chunk_id", "n_chunks", "page")
+
+
+REVISED = "r AS (SELECT doc_id, source, text, doc_id % 7 AS revision, 'o' || doc_id % 13 AS operation_id FROM documents)"
+
+
+def _revised(spark: SparkSession, sf: str) -> DataFrame:
+    """documents as chunks, one for each."""
+    d = documents(spark, sf)
+    return d.select(
+        "doc_id", "source_path", F.concat("source_path", F.lit("::0")).alias("chunk_id"), F.col("text").alias("document"), F.col("source").alias("source_id"),
+        (F.col("doc_id") % 7).cast("long").alias("revision"), F.concat(F.lit("o"), (F.col("doc_id") % 13).cast("string")).alias("operation_id"),
+    )
+
+
+@query(f"WITH {REVISED} SELECT doc_id FROM r WHERE source IN ('src1', 'src2', 'src3') AND revision < 5 AND revision <= 3 AND operation_id <> 'o1' AND operation_id IN (SELECT 'o' || (2 * range) FROM range(7))")
+def predicate_operators(spark: SparkSession, sf: str) -> DataFrame:
+    """Every operator of the predicate language."""
+    where = {"source_id": {"$in": ["src1", "src2", "src3"]}, "$and": [{"revision": {"$lt": 5}}, {"revision": {"$lte": 3}}, {"operation_id": {"$in": [f"o{2 * i}" for i in range(7)]}}]}
+    return _revised(spark, sf).filter(compile_where(where)).select("doc_id")
+
+
+@query(f"""WITH {REVISED}, u AS (SELECT doc_id, source, operation_id, revision, CASE WHEN doc_id % 50 = 0 THEN 'new' ELSE sha256(coalesce(text, '')) END AS document FROM r)
+    SELECT doc_id, document FROM u WHERE NOT (operation_id = 'o3' AND doc_id % 50 <> 0) AND NOT (source = 'src1' AND revision < 3) ORDER BY doc_id""")
+def store_merge_on_read(spark: SparkSession, sf: str) -> DataFrame:
+    """A collection of all documents, one in fifty replaced, then an operation and a source's old revisions removed by predicate: what a reader sees. Replaced chunks belong to no operation."""
+    made = store.ChunkStore(spark, new_path(spark, "merged"), buckets=16)
+    chunks = _revised(spark, sf).withColumn("title", F.col("doc_id").cast("string")).withColumn("document", F.sha2(F.coalesce("document", F.lit("")), 256))
+    made.write("documents_v1", chunks.drop("doc_id"))
+    made.upsert("documents_v1", chunks.filter("doc_id % 50 = 0").drop("doc_id").withColumn("document", F.lit("new")).withColumn("operation_id", F.lit(None).cast("string")))
+    made.discard_operation("documents_v1", "o3")
+    made.purge_revisions("documents_v1", "src1", 3)
+    return made.read("documents_v1").select(F.col("title").cast("long").alias("doc_id"), "document")
+
+
+@query("""WITH p AS (SELECT *, octet_length(encode(coalesce(html, ''))) AS n FROM pages)
+    SELECT page_id, CASE WHEN n > 20971520 THEN 'too_large' WHEN trim(coalesce(html, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN 'blank' ELSE 'ok' END AS status,
+        CASE WHEN n <= 20971520 AND trim(coalesce(html, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '' THEN sha256(nfc_normalize(html)) END AS sha256 FROM p""")
+def zip_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """All pages written to ZIP archives of about 50 entries, and read back as a data source."""
+    p, folder = table(spark, sf, "pages"), new_path(spark, "zips")
+    zips.write_zips(p.select(F.concat(F.lit("p"), F.floor(F.col("page_id") / 50).cast("string")).alias("archive"), F.concat(F.col("page_id").cast("string"), F.lit(".md")).alias("name"), F.col("html").alias("text")), folder).count()
+    back = zips.read_zips(spark, folder, unzipped_bytes=64 * files.UPLOAD_BYTES)
+    return back.select(F.regexp_replace("name", r"\.md$", "").cast("long").alias("page_id"), F.coalesce("reason", F.lit("ok")).alias("status"), F.sha2("text", 256).alias("sha256"))
