@@ -57,7 +57,7 @@ class Service:
         return self.spark.read.schema(service.TOLD + ", batch int").parquet(f"{self.root}/ledger/outcomes")
 
     def outcomes(self):
-        return [(r.seq, r.outcome) for r in self.told().filter("kind <> 'finish'").orderBy("seq").collect()]
+        return [(r.seq, r.outcome) for r in self.told().filter("kind <> 'finish'").orderBy("seq", "batch").collect()]
 
     def found(self, query="some words"):
         live = service.visible_operations(self.spark, f"{self.root}/ledger").select("operation_id")
