@@ -10,6 +10,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
@@ -98,6 +99,17 @@ class Source:
         return "succeeded"
 
 
+def _answer(source: Source, r: dict, at_once: bool) -> tuple:
+    """The outcome of a request, its job, and the source's state after it: the columns that OUTCOME adds to REQUEST."""
+    if r["kind"] == "finish":
+        outcome, job = source.finish(r["job"], r["error"]), r["job"]
+    else:
+        outcome, job = source.submit(r)
+        if at_once and outcome == "accepted":
+            source.finish(job, None)
+    return outcome, job, source.revision, source.enabled, source.deleted, source.active
+
+
 def fold_source(requests: pd.DataFrame, at_once: bool = True, source: Source | None = None) -> pd.DataFrame:
     """The outcome of each request of one source, in order of arrival, and the state after it.
 
@@ -109,26 +121,43 @@ def fold_source(requests: pd.DataFrame, at_once: bool = True, source: Source | N
     for r in requests.sort_values("seq").to_dict("records"):
         r = {k: None if nothing(v) else v for k, v in r.items()}
         if r["kind"] == "finish":
-            outcome, job = source.finish(int(r["job"]), r["error"]), int(r["job"])
-        else:
-            outcome, job = source.submit(r)
-            if at_once and outcome == "accepted":
-                source.finish(job, None)
-        out.append({**r, "outcome": outcome, "job_seq": job, "revision_after": source.revision, "enabled_after": source.enabled, "deleted_after": source.deleted, "active_job_after": source.active})
+            r["job"] = int(r["job"])
+        out.append((*r.values(), *_answer(source, r, at_once)))
     names = [x.split()[0] for x in OUTCOME.split(", ")]
     return pd.DataFrame(out, columns=names).astype({c: "Int64" for c in ("revision", "job", "job_seq", "revision_after", "active_job_after")})
 
 
-def _by_source(requests: DataFrame):
+def _full(requests: DataFrame) -> DataFrame:
     ship(requests.sparkSession)
     have = set(requests.columns)
-    full = requests.select(*(F.col(n) if n in have else F.lit(None).cast(t).alias(n) for n, t in (x.split() for x in REQUEST.split(", "))))
-    return full.groupBy("corpus", "source_id")
+    return requests.select(*(F.col(n).cast(t).alias(n) if n in have else F.lit(None).cast(t).alias(n) for n, t in (x.split() for x in REQUEST.split(", "))))
+
+
+def _by_source(requests: DataFrame):
+    return _full(requests).groupBy("corpus", "source_id")
 
 
 def fold(requests: DataFrame, at_once: bool = True) -> DataFrame:
-    """Columns of REQUEST that requests lacks are null: queue_full is pending_full() of the service when the request came."""
-    return _by_source(requests).applyInPandas(lambda p: fold_source(p, at_once), OUTCOME)
+    """Columns of REQUEST that requests lacks are null: queue_full is pending_full() of the service when the request came.
+
+    Sources are dealt over tasks and lie in each by source and seq, so that a task reads its rows as a stream and holds the state of one source at a time.
+    """
+    added = {"outcome": pa.string(), "job_seq": pa.int64(), "revision_after": pa.int64(), "enabled_after": pa.bool_(), "deleted_after": pa.bool_(), "active_job_after": pa.int64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, source = None, Source()
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                at = r["corpus"], r["source_id"]
+                if at != last:
+                    last, source = at, Source()
+                out.append(_answer(source, r, at_once))
+            columns = zip(*out, strict=True) if out else [()] * len(added)
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, t) for c, t in zip(columns, added.values(), strict=True))], [*b.schema.names, *added])
+
+    ordered = _full(requests).repartition("corpus", "source_id").sortWithinPartitions("corpus", "source_id", F.col("seq").asc_nulls_last())
+    return ordered.mapInArrow(run, OUTCOME)
 
 
 def fold_stream(requests: DataFrame, at_once: bool = True) -> DataFrame:
