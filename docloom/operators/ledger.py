@@ -216,10 +216,21 @@ def usage(log: DataFrame, service: str = "service_id", ts: str = "ts") -> DataFr
 
 
 def lockouts(failures: DataFrame, user: str, ts: str = "ts", limit: int = LOCKOUT_FAILURES, seconds: int = LOCKOUT_SECONDS) -> DataFrame:
-    """recent: failures in the last ``seconds`` (strictly less), this one included; locked once they reach limit."""
-    w = Window.partitionBy(user).orderBy("__us").rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    df = failures.withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("recent", F.count(F.lit(1)).over(w))
-    return df.withColumn("locked", F.col("recent") >= limit).drop("__us")
+    """recent: failures in the last ``seconds`` (strictly less), this one included; locked once they reach limit.
+
+    Time is cut into buckets of ``seconds``, and each bucket is given the one before it as well, which together hold every window that ends in it. Within a bucket two running
+    counts are subtracted: a frame that moves at both ends is counted anew for each row, and a user's whole record would be one task. Rows without a time count each other.
+    """
+    width = seconds * 1_000_000
+    df = failures.withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp")))
+    df = df.withColumn("__bucket", F.expr(f"(__us - pmod(__us, {width}L)) div {width}L"))
+    own = df.withColumn("__own", F.lit(True))
+    past = df.filter("__us IS NOT NULL").select(F.col(user), "__us", (F.col("__bucket") + 1).alias("__bucket"), F.lit(False).alias("__own"))
+    w = Window.partitionBy(user, "__bucket").orderBy("__us")
+    n = F.count(F.lit(1))
+    upto, gone = n.over(w.rangeBetween(Window.unboundedPreceding, 0)), n.over(w.rangeBetween(Window.unboundedPreceding, -width))
+    both = own.unionByName(past, allowMissingColumns=True).withColumn("recent", F.when(F.col("__us").isNull(), upto).otherwise(upto - gone)).filter("__own")
+    return both.withColumn("locked", F.col("recent") >= limit).drop("__us", "__bucket", "__own")
 
 
 def lockouts_cleared(attempts: DataFrame, user: str, success: Column, ts: str = "ts", order: str = "seq", limit: int = LOCKOUT_FAILURES, seconds: int = LOCKOUT_SECONDS) -> DataFrame:

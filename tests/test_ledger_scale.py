@@ -1,5 +1,7 @@
 """The ledger's folds and windows at scale: same results, without a cost for each source or a frame that is counted anew for each row."""
 
+from pyspark.sql import functions as F
+
 from docloom.operators import ledger
 from docloom.plans import catalogue
 
@@ -25,3 +27,16 @@ def test_fold_streams_sources_over_batches(spark, sf):
     finally:
         spark.conf.set(RECORDS, before)
     assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and (got[k][1] == want[k][1] or got[k][1] is None) for k in want)
+
+
+def test_lockouts_count_within_buckets_of_time(spark):
+    times = [0, 0, 1, 4_999_999, 5_000_000, 5_000_001, 9_999_999, 10_000_000, 14_999_999, 15_000_000, -1, -5_000_000, None, None]
+    rows = [(i, u, t) for i, (u, t) in enumerate((u, t) for u in ("a", "b", None) for t in times)]
+    df = spark.createDataFrame(rows, "id long, u string, t long").withColumn("ts", F.expr("timestamp_micros(t)"))
+    out = ledger.lockouts(df, "u", limit=4, seconds=5)
+    # windows that move at both ends are counted anew for each row
+    assert "RangeFrame, -" not in plan(out) and out.columns == [*df.columns, "recent", "locked"]
+    got = {r.id: (r.recent, r.locked) for r in out.collect()}
+    for i, u, t in rows:
+        n = sum(v == u and ((s is None) if t is None else s is not None and t - 5_000_000 < s <= t) for _, v, s in rows)
+        assert got[i] == (n, n >= 4), (i, u, t)
