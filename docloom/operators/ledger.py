@@ -23,6 +23,7 @@ PENDING_CAP = 100
 LEASE_SECONDS = 300
 LOCKOUT_FAILURES, LOCKOUT_SECONDS = 8, 300
 DEFAULT_RPM = 120
+PART = 1 << 16  # requests of a part, where numbers of requests have no gaps
 
 REQUEST = (
     "seq long, service_id string, corpus string, source_id string, kind string, revision long, idempotency_key string, source_version_id string, checksum string, "
@@ -253,9 +254,15 @@ def pending_before(outcomes: DataFrame) -> DataFrame:
     began = outcomes.filter("outcome = 'accepted'").select("service_id", F.col("seq").alias("job"))
     ended = outcomes.filter("outcome IN ('succeeded', 'superseded', 'failed')").select("seq", F.col("job_seq").alias("job")).join(began, "job").select("service_id", "seq", F.lit(-1).alias("step"))
     asked = outcomes.filter("kind <> 'finish'").select("service_id", "seq", (F.col("outcome") == "accepted").cast("int").alias("step"))
-    before = Window.partitionBy("service_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    steps = asked.withColumn("asks", F.lit(True)).unionByName(ended.withColumn("asks", F.lit(False)))
-    return steps.withColumn("pending", F.coalesce(F.sum("step").over(before), F.lit(0))).filter("asks").select("seq", "pending")
+    steps = asked.withColumn("asks", F.lit(True)).unionByName(ended.withColumn("asks", F.lit(False))).withColumn("__part", F.expr(f"seq div {PART}"))
+    # Running sums by parts of a service, to which the sums of its earlier parts are added: no service is one task.
+    sums = steps.groupBy("service_id", "__part").agg(F.sum("step").alias("__step"))
+    earlier = Window.partitionBy("service_id").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(F.col("service_id").alias("__service"), F.col("__part").alias("__p"), F.coalesce(F.sum("__step").over(earlier), F.lit(0)).alias("__base"))
+    before = Window.partitionBy("service_id", "__part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    within = steps.withColumn("__within", F.coalesce(F.sum("step").over(before), F.lit(0))).filter("asks")
+    there = F.col("service_id").eqNullSafe(F.col("__service")) & F.col("__part").eqNullSafe(F.col("__p"))
+    return within.join(base, there).select("seq", (F.col("__base") + F.col("__within")).alias("pending"))
 
 
 def fold_capped(requests: DataFrame, cap: int = PENDING_CAP) -> DataFrame:
@@ -267,10 +274,12 @@ def fold_capped(requests: DataFrame, cap: int = PENDING_CAP) -> DataFrame:
     """
     spark = requests.sparkSession
     path = new_path(spark, "capped")
+    ship(spark)
+    requests.drop("queue_full").write.parquet(f"{path}/requests")  # made once, not in each round
+    requests = spark.read.schema(requests.drop("queue_full").schema).parquet(f"{path}/requests")
     flags, n = None, 0
     while True:
-        told = requests.drop("queue_full")
-        told = told.withColumn("queue_full", F.lit(False)) if flags is None else told.join(flags, "seq", "left").withColumn("queue_full", F.coalesce("queue_full", F.lit(False)))
+        told = requests.withColumn("queue_full", F.lit(False)) if flags is None else requests.join(flags, "seq", "left").withColumn("queue_full", F.coalesce("queue_full", F.lit(False)))
         n += 1
         fold(told, at_once=False).write.parquet(f"{path}/{n}")
         outcomes = spark.read.schema(OUTCOME).parquet(f"{path}/{n}")

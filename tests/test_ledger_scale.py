@@ -40,3 +40,15 @@ def test_lockouts_count_within_buckets_of_time(spark):
     for i, u, t in rows:
         n = sum(v == u and ((s is None) if t is None else s is not None and t - 5_000_000 < s <= t) for _, v, s in rows)
         assert got[i] == (n, n >= 4), (i, u, t)
+
+
+def test_queue_counts_run_by_parts_of_a_service(spark, monkeypatch):
+    monkeypatch.setattr(ledger, "PART", 4, raising=False)
+    rows = [(i, s, "finish" if i % 5 == 0 else "index", "succeeded" if i % 5 == 0 else "accepted" if i % 3 else "stale", i - 1 if i % 5 == 0 else None) for i in range(1, 60) for s in [("a", None, "b")[i % 7 % 3]]]
+    df = spark.createDataFrame(rows, "seq long, service_id string, kind string, outcome string, job_seq long")
+    got = ledger.pending_before(df)
+    assert "service_id, __part" in " ".join(x.strip() for x in __import__("re").sub(r"#\d+L?", "", plan(got)).split())  # a service is not one task
+    service = {r[0]: r[1] for r in rows}
+    began = {r[0] for r in rows if r[3] == "accepted"}
+    steps = [(seq, s, 1) for seq, s, *_ in rows if seq in began] + [(r[0], service[r[4]], -1) for r in rows if r[2] == "finish" and r[4] in began]
+    assert {r.seq: r.pending for r in got.collect()} == {seq: sum(n for at, v, n in steps if at < seq and v == s) for seq, s, kind, *_ in rows if kind != "finish"}
