@@ -9,9 +9,11 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.shipping import ship
+
 # Fixed values.
 BATCH = 100
 TRIES = 5
@@ -70,6 +72,8 @@ def embed_all(embedder: Embedder, texts: list[str], prefix: str = "", batch: int
 
 
 def embedded(text: Column, embedder: Embedder, prefix: str = "") -> Column:
+    ship(SparkSession.active())
+
     @F.pandas_udf("array<float>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
@@ -81,6 +85,8 @@ def embedded(text: Column, embedder: Embedder, prefix: str = "") -> Column:
 def embedded_or_error(text: Column, embedder: Embedder, prefix: str = "") -> Column:
     """struct<embedding, error>: a batch that fails, retries included, is tried once more text by text, so that an error stays with its own texts."""
 
+    ship(SparkSession.active())
+
     @F.pandas_udf("embedding array<float>, error string")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         def one(t: str) -> tuple:

@@ -3,6 +3,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from docloom.functions.embedding import CharBucketEmbedder, embedded
 from docloom.shipping import BATCH_BYTES, SMALL_BYTES, ship
 
 
@@ -28,3 +29,13 @@ def test_batches_are_bounded_by_bytes(spark):
         assert SMALL_BYTES + 20_000 < largest() <= (8 << 20) + 20_000
     finally:
         spark.conf.set(BATCH_BYTES, before)
+
+
+def test_embedded_texts_come_in_small_batches(spark):
+    before = spark.conf.get(BATCH_BYTES)
+    try:
+        spark.conf.unset(BATCH_BYTES)
+        embedded(F.col("t"), CharBucketEmbedder(4))
+        assert spark.conf.get(BATCH_BYTES) == str(SMALL_BYTES)
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
