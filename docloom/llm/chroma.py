@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import io
 import math
+import sys
 import wave
 from collections.abc import Callable, Iterator
 
@@ -37,8 +38,10 @@ OVERLAP = 4  # positions that an alignment covers at least, or all of a shorter
 BLOCK = 2_000_000  # integers of queries that a task holds at a time: about 40 MB with their index
 EXPANDED = 2_000_000  # meetings or positions that a task counts together
 BATCH = 2000  # recordings that meet a block together, of at most about BLOCK integers
-TILE = 450_000  # correlations that are made together: they and their spectra stay in a core's caches
-HELD = 8_000_000  # complex numbers of recordings' spectra that are kept from one tile of queries to the next: 64 MB
+TILE = 900_000  # sums that are made together: they and their spectra stay in a core's caches
+HELD = 64_000_000  # bytes of recordings' spectra that are kept from one tile of queries to the next
+LANES, LANE_BITS = 3, 16  # recordings whose correlations share a double, and the bits of each
+LANE_POSITIONS = 1000  # up to which a correlation, 32 a position, fits its lane, and rounding stays far below 1
 A4 = 440.0
 
 
@@ -220,37 +223,45 @@ class QueryBlock:
         """(recording, query, offset, bit error) of all alignments within max_bit_error over at least ``overlap`` positions, or all of a shorter recording.
 
         Bits as signs are correlated at every offset by Fourier transforms, 32 channels summed before the way back; bits are counted exactly afterwards.
-        Recordings and queries are grouped by powers of two and go in tiles of about TILE correlations. The queries' spectra serve all recordings of
+        Recordings and queries are grouped by powers of two and go in tiles of about TILE sums. The queries' spectra serve all recordings of
         a call, and the recordings' spectra all queries if they fit in HELD. Products of spectra are real matrix products over parts, which run faster.
+        Correlations are whole numbers, so LANES recordings are added up as digits of one signal of doubles, and each sum holds their correlations side by side;
+        recordings or queries too long for that go one by one, in single precision.
         """
         size = np.array([len(p) for p in prints], dtype=np.int64)
         room, query_room = _padded(size), _padded(self.size)
         for q_len in np.unique(query_room):
             for r_len in np.unique(room):
-                n = _smooth(2 * int(max(1, self.size[query_room == q_len].max(), size[room == r_len].max())))
+                longest = int(max(1, self.size[query_room == q_len].max(), size[room == r_len].max()))
+                n = _smooth(2 * longest)
+                lanes, real = (LANES, np.float64) if longest <= LANE_POSITIONS else (1, np.float32)
+                whole = np.result_type(real, np.complex64)
                 offset = np.arange(n)
                 offset[n // 2 :] -= n
+                offset = offset[:, None, None, None]
                 side = math.isqrt(max(1, TILE // (2 * n)))
                 queries, mine = _tiles(np.flatnonzero(query_room == q_len), 2 * side | 1), np.flatnonzero(room == r_len)
-                parts = _tiles(mine, side | 1)
-                product, sums = (np.empty(shape * len(parts[0]) * len(queries[0]), np.float32) for shape in (4 * (n // 2 + 1), n))
-                spectra = lambda rec: _spectra([prints[k].view(np.uint32) for k in rec], n).view(np.float32)
-                held = [spectra(rec) for rec in parts] if 16 * n * len(mine) <= HELD else None
+                parts = _tiles(np.r_[mine, np.full(-len(mine) % lanes, -1)].reshape(-1, lanes), side | 1)
+                product, sums = (np.empty(shape * len(parts[0]) * len(queries[0]), real) for shape in (4 * (n // 2 + 1), n))
+                spectra = lambda rec: _spectra([[prints[k].view(np.uint32) for k in row if k >= 0] for row in rec], n, real).view(real)
+                held = [spectra(rec) for rec in parts] if 32 * (n // 2 + 1) * sum(map(len, parts)) * whole.itemsize <= HELD else None
                 waiting, found = [], 0
                 for query in queries:
-                    theirs = _facing(_spectra([self.flat[self.start[k] : self.start[k] + self.size[k]] for k in query], n))
+                    theirs = _facing(_spectra([[self.flat[self.start[k] : self.start[k] + self.size[k]]] for k in query], n, real))
                     for at_part, rec in enumerate(parts):
                         pairs = len(rec) * len(query)
                         both = np.matmul(held[at_part] if held else spectra(rec), theirs, out=product[: 2 * (n // 2 + 1) * pairs].reshape(n // 2 + 1, len(rec), -1))
-                        agree = np.fft.irfft(both.view(np.complex64), n, axis=0, out=sums[: n * pairs].reshape(n, len(rec), -1))
-                        r, q, o = _one(size[rec])[None, :, None], _one(self.size[query])[None, None, :], offset[:, None, None]
-                        common = np.minimum(r, q + o) - np.maximum(0, o)
+                        agree = np.fft.irfft(both.view(whole), n, axis=0, out=sums[: n * pairs].reshape(n, len(rec), -1))
+                        own = size[np.where(rec < 0, rec[0, 0], rec)][:, [*range(lanes), *[0] * (lanes > 1)]]
+                        r, q = own[:1, None, :1] if (own == own[0, 0]).all() else own[:, None, :], _one(self.size[query])[:, None]
+                        common = np.minimum(r, q + offset) - np.maximum(0, offset)
                         least = 32 * common * (1 - 2 * max_bit_error) - (1 + 1e-6 * 32 * n)
-                        least = np.where(common >= np.minimum(overlap, np.minimum(r, q)), least, np.inf).astype(np.float32)
-                        hits = np.flatnonzero(agree >= least)
+                        least = np.where(common >= np.minimum(overlap, np.minimum(r, q)), least, np.inf)
+                        hits = _set(_split(agree) >= _lane(least) if lanes > 1 else agree >= least[..., 0].astype(real))
                         if len(hits):
-                            at, i, k = np.unravel_index(hits, agree.shape)
-                            waiting.append((rec[i], query[k], offset[at]))
+                            at, i, k, lane = np.unravel_index(hits, (*agree.shape, 4 if lanes > 1 else 1))
+                            one = np.where(lane < lanes, rec[i, lane % lanes], -1)
+                            waiting.append((one[one >= 0], query[k[one >= 0]], offset[at[one >= 0], 0, 0, 0]))
                             found += len(hits)
                         if found > EXPANDED // 100:
                             yield self.judged(prints, *map(np.concatenate, zip(*waiting, strict=True)), max_bit_error)
@@ -298,20 +309,45 @@ def _one(size: np.ndarray) -> np.ndarray:
     return size[:1] if (size == size[0]).all() else size
 
 
-def _spectra(prints: list[np.ndarray], n: int) -> np.ndarray:
-    """frequencies x prints x 32, of the bits as signs."""
-    signs = np.zeros((len(prints), 32, n), np.float32)
-    for k, p in enumerate(prints):
-        signs[k, :, : len(p)] = np.unpackbits(p.astype(">u4").view(np.uint8)).reshape(-1, 32).T * np.float32(2) - 1
+def _spectra(prints: list[list[np.ndarray]], n: int, real: type) -> np.ndarray:
+    """frequencies x rows x 32, of the bits as signs; a row's prints are added up as digits, the first one the lowest."""
+    signs = np.zeros((len(prints), 32, n), real)
+    for k, row in enumerate(prints):
+        for lane, p in enumerate(row):
+            bits = np.unpackbits(p.astype(">u4").view(np.uint8)).reshape(-1, 32).T
+            signs[k, :, : len(p)] += (bits * real(2) - 1) * real(2 ** (LANE_BITS * lane))
     return np.ascontiguousarray(np.fft.rfft(signs, axis=2).transpose(2, 0, 1))
 
 
 def _facing(spectra: np.ndarray) -> np.ndarray:
     """A real matrix for each frequency: parts of a recording's spectrum times it are parts of the products with these, conjugated, summed over channels."""
     turned = spectra.conj().transpose(0, 2, 1)
-    both = np.empty((len(spectra), 32, 2, spectra.shape[1]), np.complex64)
+    both = np.empty((len(spectra), 32, 2, spectra.shape[1]), spectra.dtype)
     both[:, :, 0], both[:, :, 1] = turned, 1j * turned
-    return both.reshape(len(spectra), 64, -1).view(np.float32)
+    return both.reshape(len(spectra), 64, -1).view(spectra.real.dtype)
+
+
+def _set(flags: np.ndarray) -> np.ndarray:
+    """flatnonzero() of few flags: eight at a time, then one by one."""
+    flat = flags.reshape(-1)
+    eights = flat[: len(flat) // 8 * 8]
+    some = np.flatnonzero(eights.view(np.uint64) != 0)
+    at, bit = np.nonzero(eights.reshape(-1, 8)[some])
+    return np.r_[some[at] * 8 + bit, len(eights) + np.flatnonzero(flat[len(eights) :])]
+
+
+def _split(sums: np.ndarray) -> np.ndarray:
+    """Sums, overwritten, as four lanes of 16 bits: each correlation above 2^15, lowest first, and a last lane without meaning.
+
+    Added to 2^52, a double's low bits are the nearest whole number; 2^15 in each lane keeps digits from borrowing of the next."""
+    sums += 2.0**52 + sum(2.0 ** (LANE_BITS * lane + LANE_BITS - 1) for lane in range(LANES))
+    lanes = sums.view(np.uint16).reshape(*sums.shape, 4)
+    return lanes if sys.byteorder == "little" else np.ascontiguousarray(lanes[..., ::-1])
+
+
+def _lane(least: np.ndarray) -> np.ndarray:
+    """Limits as _split() tells correlations."""
+    return np.clip(np.ceil(least) + 2 ** (LANE_BITS - 1), 0, 2**LANE_BITS - 1).astype(np.uint16)
 
 
 def _arrays(lists: pa.ListArray) -> list[np.ndarray]:
