@@ -69,9 +69,9 @@ def is_single(text: Column, hint: int = HINT) -> Column:
     return (F.length(text) > 0) & (F.length(text) <= hint)
 
 
-def chunks(text: Column, size: int = SIZE, overlap: int = OVERLAP, hint: int = HINT, whole: Column | None = None) -> Column:
-    """array<string> of a stripped text; only texts that are split pass through Python: those longer than the hint, or those that are not ``whole``."""
-    whole = F.length(text) <= hint if whole is None else whole
+def chunks(text: Column, size: int = SIZE, overlap: int = OVERLAP, hint: int = HINT) -> Column:
+    """array<string> of a stripped text; only texts that are split pass through Python: those longer than the hint."""
+    whole = F.length(text) <= hint
 
     @F.pandas_udf("array<string>")
     def split(s: pd.Series) -> pd.Series:
@@ -83,11 +83,15 @@ def chunks(text: Column, size: int = SIZE, overlap: int = OVERLAP, hint: int = H
     return F.when(F.length(text) == 0, F.array().cast("array<string>")).when(whole, F.array(text)).otherwise(split(long_only))
 
 
-def counted_tokens(text: Column, count_tokens: TokenCounter) -> Column:
-    """Tokens of each text by a batched counter; where it fails for a batch, texts are tried one by one, and where it fails for a text, the heuristic stands in."""
+def counted_chunks(text: Column, count_tokens: TokenCounter, size: int = SIZE, overlap: int = OVERLAP) -> Column:
+    """struct<tokens:int,chunks:array<string>> of each stripped text by a batched counter; chunks are null of a text that stays whole.
 
-    @F.pandas_udf("int")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    Where the counter fails for a batch, texts are tried one by one, and where it fails for a text, the heuristic stands in. Texts are counted and split in one
+    pass: every further function of Python would take a worker of its own beside each task, with its own copy of the batch.
+    """
+
+    @F.pandas_udf("tokens int, chunks array<string>")
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         def one(t: str) -> int | None:
             try:
                 return count_tokens([t])[0]
@@ -101,21 +105,26 @@ def counted_tokens(text: Column, count_tokens: TokenCounter) -> Column:
                 found = None
             return found if found is not None and len(found) == len(texts) else [one(t) for t in texts]
 
-        for s in parts:
-            yield pd.Series(counts(s.fillna("").tolist()), dtype="Int32")
+        for s, estimate in parts:
+            texts = s.fillna("").tolist()
+            tokens = [int(e) if n is None else n for n, e in zip(counts(texts), estimate, strict=True)]
+            cut = [split_text(t, size, overlap) if t and n > MAX_INPUT_TOKENS else None for t, n in zip(texts, tokens, strict=True)]
+            yield pd.DataFrame({"tokens": pd.Series(tokens, dtype="int32"), "chunks": pd.Series(cut, dtype=object)})
 
-    return F.coalesce(run.asNondeterministic()(text), estimated_tokens(text))
+    return run.asNondeterministic()(text, F.coalesce(estimated_tokens(text), F.lit(1)))
 
 
 def with_chunks(df: DataFrame, text: str = "text", count_tokens: TokenCounter | None = None, **sizes: int) -> DataFrame:
-    """One row for each chunk: chunk_index from 0, n_chunks of the document, document.
+    """One row for each chunk: chunk_index from 0, n_chunks of the document, document; with a counter, n_tokens of the document before them. No text, no row.
 
     With a counter, a text is one chunk if it has at most MAX_INPUT_TOKENS tokens, however long it is, and is split if it has more, however short.
     """
     cut = df.withColumn("__text", strip(F.col(text)))
     if count_tokens is not None:
-        cut = cut.withColumn("__whole", counted_tokens(F.col("__text"), count_tokens) <= MAX_INPUT_TOKENS)
-        cut = cut.withColumn("__chunks", chunks(F.col("__text"), whole=F.col("__whole"), **sizes)).drop("__whole")
+        sizes = {k: v for k, v in sizes.items() if k != "hint"}
+        whole = F.when(F.length("__text") > 0, F.array("__text")).otherwise(F.array().cast("array<string>"))
+        cut = cut.withColumn("__counted", counted_chunks(F.col("__text"), count_tokens, **sizes))
+        cut = cut.withColumn("n_tokens", F.col("__counted.tokens")).withColumn("__chunks", F.coalesce(F.col("__counted.chunks"), whole)).drop("__counted")
     else:
         cut = cut.withColumn("__chunks", chunks(F.col("__text"), **sizes))
     return cut.withColumn("n_chunks", F.size("__chunks")).select("*", F.posexplode("__chunks").alias("chunk_index", "document")).drop("__chunks", "__text")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as X
-from docloom.functions.chunking import counted_tokens, is_single, with_chunks, with_page_chunks
+from docloom.functions.chunking import is_single, with_chunks, with_page_chunks
 from docloom.functions.embedding import CharBucketEmbedder, embed_query, embedded
 from docloom.operators import ann, index, ledger, managed, search
 from docloom.operators.kinds import INVENTION, PLAIN, compile_where
@@ -253,7 +253,7 @@ def chunk_by_tokens(spark: SparkSession, sf: str) -> DataFrame:
     ship(spark)
     d = documents(spark, sf).select("doc_id", X.strip(F.col("text")).alias("t"))
     cut = with_chunks(d, "t", count_tokens=words_as_tokens)
-    first = cut.filter("chunk_index = 0").select("doc_id", (F.col("document") == F.col("t")).alias("whole"), "t", counted_tokens(F.col("t"), words_as_tokens).alias("tokens"))
+    first = cut.filter("chunk_index = 0").select("doc_id", F.col("n_tokens").alias("tokens"), (F.col("document") == F.col("t")).alias("whole"), "t")
     return first.select("doc_id", "tokens", "whole", (F.col("whole") != (F.length("t") <= 5500)).alias("overruled"))
 
 
