@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import io
 import math
-import sys
 import wave
 from collections.abc import Callable, Iterator
 
@@ -40,8 +39,10 @@ EXPANDED = 2_000_000  # meetings or positions that a task counts together
 BATCH = 2000  # recordings that meet a block together, of at most about BLOCK integers
 TILE = 900_000  # sums that are made together: they and their spectra stay in a core's caches
 HELD = 64_000_000  # bytes of recordings' spectra that are kept from one tile of queries to the next
-LANES, LANE_BITS = 3, 16  # recordings whose correlations share a double, and the bits of each
-LANE_POSITIONS = 1000  # up to which a correlation, 32 a position, fits its lane, and rounding stays far below 1
+#: (positions, lanes, bits): up to so many positions, so many recordings' correlations share a double, in so many bits each. Half a correlation is 16 a position; less its limit,
+#: it stays within half a lane, and the sums' rounding errors stay within ROUNDING.
+LANES = ((125, 4, 13), (1000, 3, 16))
+ROUNDING = 4
 A4 = 440.0
 
 
@@ -225,7 +226,7 @@ class QueryBlock:
         Bits as signs are correlated at every offset by Fourier transforms, 32 channels summed before the way back; bits are counted exactly afterwards.
         Recordings and queries are grouped by powers of two and go in tiles of about TILE sums. The queries' spectra serve all recordings of
         a call, and the recordings' spectra all queries if they fit in HELD. Products of spectra are real matrix products over parts, which run faster.
-        Correlations are whole numbers, so LANES recordings are added up as digits of one signal of doubles, and each sum holds their correlations side by side;
+        Halves of correlations are whole numbers, so recordings are added up as digits of one signal of doubles (LANES), and each sum holds their correlations side by side;
         recordings or queries too long for that go one by one, in single precision.
         """
         size = np.array([len(p) for p in prints], dtype=np.int64)
@@ -234,7 +235,7 @@ class QueryBlock:
             for r_len in np.unique(room):
                 longest = int(max(1, self.size[query_room == q_len].max(), size[room == r_len].max()))
                 n = _smooth(2 * longest)
-                lanes, real = (LANES, np.float64) if longest <= LANE_POSITIONS else (1, np.float32)
+                lanes, bits, real = next(((lanes, bits, np.float64) for most, lanes, bits in LANES if longest <= most), (1, 0, np.float32))
                 whole = np.result_type(real, np.complex64)
                 offset = np.arange(n)
                 offset[n // 2 :] -= n
@@ -243,7 +244,7 @@ class QueryBlock:
                 queries, mine = _tiles(np.flatnonzero(query_room == q_len), 2 * side | 1), np.flatnonzero(room == r_len)
                 parts = _tiles(np.r_[mine, np.full(-len(mine) % lanes, -1)].reshape(-1, lanes), side | 1)
                 product, sums = (np.empty(shape * len(parts[0]) * len(queries[0]), real) for shape in (4 * (n // 2 + 1), n))
-                spectra = lambda rec: _spectra([[prints[k].view(np.uint32) for k in row if k >= 0] for row in rec], n, real).view(real)
+                spectra = lambda rec: _spectra([[prints[k].view(np.uint32) for k in row if k >= 0] for row in rec], n, real, bits).view(real)
                 held = [spectra(rec) for rec in parts] if 32 * (n // 2 + 1) * sum(map(len, parts)) * whole.itemsize <= HELD else None
                 waiting, found = [], 0
                 for query in queries:
@@ -252,15 +253,19 @@ class QueryBlock:
                         pairs = len(rec) * len(query)
                         both = np.matmul(held[at_part] if held else spectra(rec), theirs, out=product[: 2 * (n // 2 + 1) * pairs].reshape(n // 2 + 1, len(rec), -1))
                         agree = np.fft.irfft(both.view(whole), n, axis=0, out=sums[: n * pairs].reshape(n, len(rec), -1))
-                        own = size[np.where(rec < 0, rec[0, 0], rec)][:, [*range(lanes), *[0] * (lanes > 1)]]
+                        own = size[np.where(rec < 0, rec[0, 0], rec)]
                         r, q = own[:1, None, :1] if (own == own[0, 0]).all() else own[:, None, :], _one(self.size[query])[:, None]
                         common = np.minimum(r, q + offset) - np.maximum(0, offset)
                         least = 32 * common * (1 - 2 * max_bit_error) - (1 + 1e-6 * 32 * n)
-                        least = np.where(common >= np.minimum(overlap, np.minimum(r, q)), least, np.inf)
-                        hits = _set(_split(agree) >= _lane(least) if lanes > 1 else agree >= least[..., 0].astype(real))
+                        far = common < np.minimum(overlap, np.minimum(r, q))
+                        if lanes > 1:
+                            hits, lane = _reached(agree, np.where(far, 16 * longest + 2 * ROUNDING, np.floor(least / 2) - ROUNDING), bits, lanes)
+                        else:
+                            hits = np.flatnonzero(agree >= np.where(far, np.inf, least)[..., 0].astype(real))
+                            lane = np.zeros(len(hits), np.int64)
                         if len(hits):
-                            at, i, k, lane = np.unravel_index(hits, (*agree.shape, 4 if lanes > 1 else 1))
-                            one = np.where(lane < lanes, rec[i, lane % lanes], -1)
+                            at, i, k = np.unravel_index(hits, agree.shape)
+                            one = rec[i, lane]
                             waiting.append((one[one >= 0], query[k[one >= 0]], offset[at[one >= 0], 0, 0, 0]))
                             found += len(hits)
                         if found > EXPANDED // 100:
@@ -309,13 +314,12 @@ def _one(size: np.ndarray) -> np.ndarray:
     return size[:1] if (size == size[0]).all() else size
 
 
-def _spectra(prints: list[list[np.ndarray]], n: int, real: type) -> np.ndarray:
-    """frequencies x rows x 32, of the bits as signs; a row's prints are added up as digits, the first one the lowest."""
+def _spectra(prints: list[list[np.ndarray]], n: int, real: type, lane_bits: int = 0) -> np.ndarray:
+    """frequencies x rows x 32, of the bits as signs, or as half signs if a row's prints are added up as digits of lane_bits, the first one the lowest."""
     signs = np.zeros((len(prints), 32, n), real)
     for k, row in enumerate(prints):
         for lane, p in enumerate(row):
-            bits = np.unpackbits(p.astype(">u4").view(np.uint8)).reshape(-1, 32).T
-            signs[k, :, : len(p)] += (bits * real(2) - 1) * real(2 ** (LANE_BITS * lane))
+            signs[k, :, : len(p)] += (np.unpackbits(p.astype(">u4").view(np.uint8)).reshape(-1, 32).T * real(2) - 1) * real(2 ** (lane_bits * lane) / (2 if lane_bits else 1))
     return np.ascontiguousarray(np.fft.rfft(signs, axis=2).transpose(2, 0, 1))
 
 
@@ -327,27 +331,18 @@ def _facing(spectra: np.ndarray) -> np.ndarray:
     return both.reshape(len(spectra), 64, -1).view(spectra.real.dtype)
 
 
-def _set(flags: np.ndarray) -> np.ndarray:
-    """flatnonzero() of few flags: eight at a time, then one by one."""
-    flat = flags.reshape(-1)
-    eights = flat[: len(flat) // 8 * 8]
-    some = np.flatnonzero(eights.view(np.uint64) != 0)
-    at, bit = np.nonzero(eights.reshape(-1, 8)[some])
-    return np.r_[some[at] * 8 + bit, len(eights) + np.flatnonzero(flat[len(eights) :])]
+def _reached(sums: np.ndarray, least: np.ndarray, bits: int, lanes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, lane) where a lane of the sums, which are overwritten, is at least ``least`` (whole numbers, their last axis the lanes).
 
-
-def _split(sums: np.ndarray) -> np.ndarray:
-    """Sums, overwritten, as four lanes of 16 bits: each correlation above 2^15, lowest first, and a last lane without meaning.
-
-    Added to 2^52, a double's low bits are the nearest whole number; 2^15 in each lane keeps digits from borrowing of the next."""
-    sums += 2.0**52 + sum(2.0 ** (LANE_BITS * lane + LANE_BITS - 1) for lane in range(LANES))
-    lanes = sums.view(np.uint16).reshape(*sums.shape, 4)
-    return lanes if sys.byteorder == "little" else np.ascontiguousarray(lanes[..., ::-1])
-
-
-def _lane(least: np.ndarray) -> np.ndarray:
-    """Limits as _split() tells correlations."""
-    return np.clip(np.ceil(least) + 2 ** (LANE_BITS - 1), 0, 2**LANE_BITS - 1).astype(np.uint16)
+    Each lane gets half its range less its limit, so that its highest bit tells; added to 2^52, a double's low bits are the nearest whole number."""
+    units = 2.0 ** (bits * np.arange(lanes))
+    sums += 2.0**52 + ((2.0 ** (bits - 1) - least) * units).sum(-1)
+    tops = np.uint64(sum(2 ** (bits * lane + bits - 1) for lane in range(lanes)))
+    told = sums.view(np.uint64).reshape(-1)
+    told &= tops
+    some = np.flatnonzero(told != 0)
+    at, lane = np.nonzero(told[some, None] >> (bits * np.arange(lanes) + bits - 1).astype(np.uint64) & np.uint64(1))
+    return some[at], lane
 
 
 def _arrays(lists: pa.ListArray) -> list[np.ndarray]:

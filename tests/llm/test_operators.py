@@ -521,8 +521,8 @@ def test_alignments_equal_all_offsets(monkeypatch, expanded):
     assert {(k, o) for _, k, o in got[13]} >= {(0, 0)} and {(k, o) for _, k, o in got[18]} >= {(0, -9)}
 
 
-@pytest.mark.parametrize("longest", [chroma.LANE_POSITIONS - 1, chroma.LANE_POSITIONS, chroma.LANE_POSITIONS + 1])
-def test_recordings_share_sums_and_keep_alignments(monkeypatch, longest):
+@pytest.mark.parametrize(("longest", "lanes"), [(124, 4), (125, 4), (126, 3), (999, 3), (1000, 3), (1001, 1)])
+def test_recordings_share_sums_and_keep_alignments(monkeypatch, longest, lanes):
     """Equal, opposite and random neighbours in one sum, to the longest that fit and beyond; a sum for each pair only where they do not fit."""
     sums, way_back = [0], np.fft.irfft
 
@@ -535,7 +535,7 @@ def test_recordings_share_sums_and_keep_alignments(monkeypatch, longest):
     one = rng.integers(0, 2**32, longest, dtype=np.uint64).astype(np.uint32)
     near = one ^ ((rng.random((longest, 32)) < 0.24) @ (1 << np.arange(32, dtype=np.uint64))).astype(np.uint32)
     other = rng.integers(0, 2**32, longest - 1, dtype=np.uint64).astype(np.uint32)
-    prints = [one, ~one, near, ~near, near, ~one, ~one, other, one[1:], near, near, near, one[:-300], ~one[:-300]]
+    prints = [one, ~one, near, ~near, near, ~one, ~one, other, one[1:], near, near, near, one[: -longest // 3], ~one[: -longest // 3]]
     queries = [0, 1, 7]
     block = chroma.QueryBlock(np.array(queries), [prints[i].view(np.int32) for i in queries])
     rec, query, offset, error = block.links([p.view(np.int32) for p in prints], 4, 0.25)
@@ -550,7 +550,7 @@ def test_recordings_share_sums_and_keep_alignments(monkeypatch, longest):
                     want.append((r, e, k, o))
     assert list(zip(rec.tolist(), error.tolist(), query.tolist(), offset.tolist(), strict=True)) == sorted(want)
     assert {(2, 0, 0), (8, 0, -1), (12, 0, 0), (13, 1, 0)} <= set(zip(rec.tolist(), query.tolist(), offset.tolist(), strict=True))
-    assert sums[0] == len(queries) * (-(-len(prints) // 3) if longest <= chroma.LANE_POSITIONS else len(prints))
+    assert sums[0] == len(queries) * -(-len(prints) // lanes)
 
 
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
