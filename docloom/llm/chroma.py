@@ -37,8 +37,10 @@ OVERLAP = 4  # positions that an alignment covers at least, or all of a shorter
 BLOCK = 2_000_000  # integers of queries that a task holds at a time: about 40 MB with their index
 EXPANDED = 2_000_000  # meetings or positions that a task counts together
 BATCH = 2000  # recordings that meet a block together, of at most about BLOCK integers
+PAIRS = 8_250_000  # or as many recordings as make so many pairs with the block's queries, if that is more: the queries' spectra are made once for all of them
+BINS = 2**22  # that tell pairs with an alignment, a power of two
 TILE = 900_000  # sums that are made together: they and their spectra stay in a core's caches
-HELD = 64_000_000  # bytes of recordings' spectra that are kept from one tile of queries to the next
+HELD = 128_000_000  # bytes of recordings' spectra that are kept from one tile of queries to the next
 #: (positions, lanes, bits): up to so many positions, so many recordings' correlations share a double, in so many bits each. Half a correlation is 16 a position; less its limit,
 #: it stays within half a lane, and the sums' rounding errors stay within ROUNDING.
 LANES = ((125, 4, 13), (1000, 3, 16))
@@ -161,25 +163,29 @@ class QueryBlock:
         self.flat = np.concatenate(prints).view(np.uint32)
         keys = self.flat >> np.uint32(32 - KEY_BITS)
         by_key = np.argsort(keys, kind="stable")
-        self.keys = keys[by_key]
+        self.keys, self.first, self.times = np.unique(keys[by_key], return_index=True, return_counts=True)
         self.owner = np.repeat(np.arange(len(prints), dtype=np.int32), self.size)[by_key]
         self.pos = (np.arange(len(keys)) - np.repeat(self.start, self.size))[by_key]
 
-    def candidates(self, flat: np.ndarray, size: np.ndarray, min_votes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(recording, query, offset): the offset with most votes, and of those the smallest, of each pair with enough votes."""
+    def candidates(self, flat: np.ndarray, size: np.ndarray, min_votes: int, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(recording, query, offset): the offset with most votes, and of those the smallest, of each pair with enough votes; of all pairs, or at least of those that ``bins`` gave ``among``."""
         keys = flat >> np.uint32(32 - KEY_BITS)
-        lo, hi = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        lo, met = self.first[place], np.where(self.keys[place] == keys, self.times[place], 0)
         rec = np.repeat(np.arange(len(size)), size)
         pos = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
         longest = int(self.size.max())
         span, n_queries = longest + int(size.max()), len(self.ids)
-        met = hi - lo
         ends, codes, counts, i = np.cumsum(met), np.empty(0, np.int64), np.empty(0, np.int64), 0
         while i < len(flat):
             j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + EXPANDED, "right")))
             m = met[i:j]
             at = np.repeat(lo[i:j] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
-            code = (np.repeat(rec[i:j], m) * n_queries + self.owner[at]) * span + np.repeat(pos[i:j], m) - self.pos[at] + longest
+            pair, here = np.repeat(rec[i:j] * n_queries, m) + self.owner[at], np.repeat(pos[i:j], m)
+            if among is not None:
+                kept = np.flatnonzero(among[pair & (BINS - 1)])
+                pair, here, at = pair[kept], here[kept], at[kept]
+            code = pair * span + here - self.pos[at] + longest
             code, n = np.unique(code, return_counts=True)
             if len(codes):
                 code, back = np.unique(np.concatenate([codes, code]), return_inverse=True)
@@ -211,11 +217,17 @@ class QueryBlock:
         near = error <= max_bit_error
         return rec[near], query[near], offset[near], error[near]
 
-    def best(self, prints: list[np.ndarray], min_votes: int, max_bit_error: float) -> list[tuple[float, object, int] | None]:
-        """(bit error, query, offset) of each recording's best voted alignment, or None."""
+    def bins(self, rec: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Whether pairs are among these, by bins that pairs may share."""
+        among = np.zeros(BINS, bool)
+        among[(rec * len(self.ids) + query) & (BINS - 1)] = True
+        return among
+
+    def best(self, prints: list[np.ndarray], min_votes: int, max_bit_error: float, among: np.ndarray | None = None) -> list[tuple[float, object, int] | None]:
+        """(bit error, query, offset) of each recording's best voted alignment, or None; pairs that are not ``among`` have none."""
         found = [None] * len(prints)
         size = np.array([len(p) for p in prints], dtype=np.int64)
-        rec, query, offset, error = self.judged(prints, *self.candidates(np.concatenate(prints).view(np.uint32), size, min_votes), max_bit_error)
+        rec, query, offset, error = self.judged(prints, *self.candidates(np.concatenate(prints).view(np.uint32), size, min_votes, among), max_bit_error)
         for e, r, q, o in sorted(zip(error, rec, query, offset, strict=True), reverse=True):
             found[r] = (float(e), self.ids[q], int(o))
         return found
@@ -274,17 +286,29 @@ class QueryBlock:
                 if waiting:
                     yield self.judged(prints, *map(np.concatenate, zip(*waiting, strict=True)), max_bit_error)
 
-    def links(self, prints: list[np.ndarray], overlap: int, max_bit_error: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(recording, query, offset, bit error) of all alignments of recordings with queries of other fingerprints, by recording, then bit error, query and offset."""
+    def met(self, prints: list[np.ndarray], overlap: int, max_bit_error: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What ``near`` finds, together."""
+        none = (np.empty(0, np.int64),) * 3 + (np.empty(0),)
+        return tuple(map(np.concatenate, zip(none, *self.near(prints, overlap, max_bit_error), strict=True)))
+
+    def foreign(self, prints: list[np.ndarray], rec: np.ndarray, query: np.ndarray, offset: np.ndarray, error: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Those of the alignments with queries of other fingerprints, by recording, then bit error, query and offset."""
         named: dict[bytes, int] = {}
         name = np.array([named.setdefault(self.flat[b : b + n].tobytes(), len(named)) for b, n in zip(self.start, self.size, strict=True)])
         own = np.array([named.get(p.tobytes(), -1) for p in prints])
-        none = (np.empty(0, np.int64),) * 3 + (np.empty(0),)
-        rec, query, offset, error = map(np.concatenate, zip(none, *self.near(prints, overlap, max_bit_error), strict=True))
         kept = np.flatnonzero(own[rec] != name[query])
         kept = kept[np.lexsort((offset[kept], query[kept], error[kept], rec[kept]))]
         return rec[kept], query[kept], offset[kept], error[kept]
 
+    def links(self, prints: list[np.ndarray], overlap: int, max_bit_error: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(recording, query, offset, bit error) of all alignments of recordings with queries of other fingerprints, by recording, then bit error, query and offset."""
+        return self.foreign(prints, *self.met(prints, overlap, max_bit_error))
+
+    def best_and_links(self, prints: list[np.ndarray], min_votes: int, overlap: int, max_bit_error: float) -> tuple[list[tuple[float, object, int] | None], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """``best`` and ``links``. An alignment with votes at ``overlap`` positions or more is among all alignments, so only pairs that have any need a count of votes."""
+        met = self.met(prints, overlap, max_bit_error)
+        return self.best(prints, min_votes, max_bit_error, self.bins(*met[:2]) if min_votes >= overlap else None), self.foreign(prints, *met)
+
     def others(self, prints: list[np.ndarray], overlap: int, max_bit_error: float) -> list[list[tuple[float, object, int]]]:
         """(bit error, query, offset) of the links of each recording."""
         found: list[list[tuple[float, object, int]]] = [[] for _ in prints]
@@ -349,11 +373,11 @@ def _arrays(lists: pa.ListArray) -> list[np.ndarray]:
     return np.split(lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False).cumsum()[:-1])
 
 
-def _spans(size: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of at most BATCH recordings and about BLOCK integers."""
-    ends, i = np.cumsum(size), 0
+def _spans(size: np.ndarray, queries: int) -> Iterator[tuple[int, int]]:
+    """Runs of at most BATCH recordings, or PAIRS pairs, and about BLOCK integers."""
+    ends, most, i = np.cumsum(size), max(BATCH, PAIRS // queries), 0
     while i < len(size):
-        j = min(i + BATCH, max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + BLOCK, "right"))))
+        j = min(i + most, max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + BLOCK, "right"))))
         yield i, j
         i = j
 
@@ -391,11 +415,10 @@ def align(prints: DataFrame, query_condition: str = "id % 50 = 0", min_votes: in
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for i, j in _spans(b.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)):
+                for i, j in _spans(b.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), len(shared.value.ids)):
                     part = b.slice(i, j - i)
                     prints = _arrays(part.column(1))
-                    best = shared.value.best(prints, min_votes, max_bit_error)
-                    rec, query, offset, error = shared.value.links(prints, OVERLAP, max_bit_error)
+                    best, (rec, query, offset, error) = shared.value.best_and_links(prints, min_votes, OVERLAP, max_bit_error)
                     ends = np.searchsorted(rec, np.arange(len(prints) + 1)).astype(np.int32)
                     named = pa.array(shared.value.ids, arrow.field("query").type).take(pa.array(query))
                     others = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(error), named, pa.array(offset.astype(np.int32))], fields=list(arrow)))

@@ -553,6 +553,54 @@ def test_recordings_share_sums_and_keep_alignments(monkeypatch, longest, lanes):
     assert sums[0] == len(queries) * -(-len(prints) // lanes)
 
 
+@pytest.mark.parametrize("bins", [1, 2**22])
+def test_votes_are_counted_for_pairs_with_alignments_only(monkeypatch, bins):
+    """The same best queries as from votes of all pairs, of which few are counted; unrelated recordings share keys, but no alignment."""
+    monkeypatch.setattr(chroma, "BINS", bins)
+    monkeypatch.setattr(chroma, "EXPANDED", 500)
+    rng = np.random.default_rng(12)
+    prints = [rng.integers(0, 2**32, 60, dtype=np.uint64).astype(np.uint32) for _ in range(40)]
+    for p in prints:
+        p[20:24] = [1 << 8, 2 << 8, 3 << 8, 4 << 8]
+    prints += [prints[0][8:], prints[5] ^ np.uint32(3), prints[10][:30], prints[0]]
+    queries = list(range(0, 40, 5))
+    block = chroma.QueryBlock(np.array(queries), [prints[i].view(np.int32) for i in queries])
+    prints = [p.view(np.int32) for p in prints]
+    counted, unique = [0], np.unique
+
+    def counting(codes, **kw):
+        counted[0] += len(codes)
+        return unique(codes, **kw)
+
+    best, links = block.best(prints, 4, 0.25), block.links(prints, 4, 0.25)
+    monkeypatch.setattr(np, "unique", counting)
+    found, others = block.best_and_links(prints, 4, 4, 0.25)
+    assert found == best and all(np.array_equal(x, y) for x, y in zip(others, links, strict=True))
+    assert found[40][1:] == (0, -8) and found[41][1:] == (5, 0) and found[42][1:] == (10, 0) and found[1] is None
+    if bins > 1:
+        some, counted[0] = counted[0], 0
+        block.best(prints, 4, 0.25)
+        assert some < counted[0] / 2
+    assert block.best_and_links(prints, 3, 4, 0.25)[0] == block.best(prints, 3, 0.25)
+
+
+def test_queries_spectra_serve_a_batch(monkeypatch):
+    """A task's 5,000 recordings meet a few queries in one run: the queries' spectra are made once. With many queries a run stays bounded."""
+    made, spectra = [0], chroma._spectra
+
+    def counting(prints, n, real, lane_bits=0):
+        made[0] += 0 if lane_bits else len(prints)
+        return spectra(prints, n, real, lane_bits)
+
+    monkeypatch.setattr(chroma, "_spectra", counting)
+    prints = [np.full(20, i, np.int32) for i in range(5000)]
+    block = chroma.QueryBlock(np.arange(3), prints[:3])
+    assert list(chroma._spans(np.full(5000, 20), 20_000)) == [(0, 2000), (2000, 4000), (4000, 5000)]
+    for i, j in chroma._spans(np.full(5000, 20), len(block.ids)):
+        block.best_and_links(prints[i:j], 4, 4, 0.01)
+    assert made[0] == 3
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     import corpus_pipeline as p
 
